@@ -44,8 +44,8 @@ def with_block(df: DataFrame, order: str, tie: str | None = None, n: int = BLOCK
 
 
 def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | str]],
-            tie: str | None = None, n: int = BLOCKS) -> DataFrame:
-    """Add ordered columns per key. `outs` maps a new name to (kind, column):
+            tie: str | None = None, n: int = BLOCKS, then: tuple[str, ...] = ()) -> DataFrame:
+    """Add ordered columns per key. `tie` is numeric; `then` only orders rows equal on (order, tie). `outs` maps a new name to (kind, column):
 
     sum (inclusive running sum), total (sum over the key), last / next (nearest non-null at or
     before / at or after the row), lag / lead (value of the row before / after), max (running).
@@ -54,7 +54,7 @@ def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | s
     by = listed(by)
     blocked = with_block(df, order, tie, n)
     keys = by + ["_blk"]
-    place = [F.col(order)] + ([F.col(tie)] if tie else [])
+    place = [F.col(order)] + ([F.col(tie)] if tie else []) + [F.col(c) for c in then]
 
     partial, carry, final = [], [], []
     over_blocks = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
@@ -108,12 +108,12 @@ def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | s
 
 
 def row_numbers(df: DataFrame, by, order: str, tie: str | None = None, name: str = "rank",
-                total: str | None = None, n: int = BLOCKS) -> DataFrame:
+                total: str | None = None, n: int = BLOCKS, then: tuple[str, ...] = ()) -> DataFrame:
     """1-based rank by ascending (order, tie) per key, as `row_number` would give."""
     outs = {name: ("sum", F.lit(1).cast("bigint"))}
     if total:
         outs[total] = ("total", F.lit(1).cast("bigint"))
-    return running(df, by, order, outs, tie, n)
+    return running(df, by, order, outs, tie, n, then)
 
 
 def quantiles(df: DataFrame, by, wants: dict[str, tuple[str, float]], n: int = BLOCKS) -> DataFrame:
