@@ -67,8 +67,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src"
             seen = cut(seen)
 
 
-def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str]) -> DataFrame:
-    """Sum of each value over a node and all its descendants, by pointer doubling.
+def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], largest: tuple[str, ...] = ()) -> DataFrame:
+    """Sum (or maximum, for `largest`) of each value over a node and all its descendants, by pointer doubling.
 
     After round k a node holds the sum over descendants fewer than 2^k steps below it; the node
     exactly 2^k above takes it in. Rows stay at one per node, rounds grow with log(depth).
@@ -77,14 +77,24 @@ def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str]) ->
                           *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values]))
     while not cur.where("a is not null").isEmpty():
         gain = cur.where("a is not null").groupBy(F.col("a").alias("n")).agg(
-            *[F.sum(v).alias(f"_{v}") for v in values])
+            *[(F.max(v) if v in largest else F.sum(v)).alias(f"_{v}") for v in values])
         jump = cur.select(F.col("n").alias("a"), F.col("a").alias("_aa"))
         grown = cur.join(gain, "n", "left").join(jump, "a", "left")
         cur = cut(grown.select("n", F.col("_aa").alias("a"),
-                               *[(F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0.0))).alias(v) for v in values]))
+                               *[(F.greatest(v, f"_{v}") if v in largest else F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0.0))).alias(v)
+                                 for v in values]))
     return cur.select(F.col("n").alias(node), *values)
 
 
+def root_sums(tree: DataFrame, node: str, parent: str, value: str) -> DataFrame:
+    """Sum of a value over the path from each node up to its root (node included), by pointer doubling."""
+    cur = cut(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))
+    while not cur.where("a is not null").isEmpty():
+        up = cur.select(F.col("n").alias("a"), F.col("v").alias("_v"), F.col("a").alias("_a"))
+        cur = cut(cur.join(up, "a", "left").select("n", F.col("_a").alias("a"), (F.col("v") + F.coalesce("_v", F.lit(0.0))).alias("v")))
+    return cur.select(F.col("n").alias(node), F.col("v").alias(value))
+
+
 def drains_to(reaches: DataFrame, outlets: DataFrame, node: str, down: str, outlet: str) -> DataFrame:
     """Every (node, outlet) where the downstream path of node meets that outlet first, node included.
 

@@ -1,4 +1,4 @@
 """The operators bound to the supplied tables, each with the SQL it must agree with."""
 
 from .base import QUERIES, SQL
-from . import events, extremes, fields, flows, peaks  # noqa: F401
+from . import events, extremes, fields, flows, impact, network, outcomes, peaks  # noqa: F401

@@ -55,9 +55,9 @@ def realize_driver_reweighted(t):
     return V.realize_driver(c, part_members(t), "rainfall", "target", "value", 3, reuse_penalty=0.15, rounds=2)
 
 
-@query("draw_lags", f"""WITH p AS (SELECT event_id, value AS lag, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM (SELECT event_id, value FROM events)),
-v AS (SELECT i, n, lag FROM p)
-SELECT o_orderkey AS event_id, v.lag AS lag_hours FROM orders JOIN v ON v.i = CAST(floor({U_SQL.format(key="'4|lag|' || o_orderkey")} * v.n) AS BIGINT) + 1""")
+@query("draw_lags", f"""WITH p AS (SELECT value AS lag, row_number() OVER (ORDER BY value) AS i FROM events), n AS (SELECT count(*) AS n FROM events),
+o AS (SELECT o_orderkey, CAST(floor({U_SQL.format(key="'4|lag|' || o_orderkey")} * n) AS BIGINT) + 1 AS i FROM orders, n)
+SELECT o_orderkey AS event_id, lag AS lag_hours FROM o JOIN p USING (i)""")
 def draw_lags(t):
     return V.draw_lags(orders_time(t), t.events.select(F.col("value").alias("lag_hours")), 4)
 
@@ -100,8 +100,9 @@ def pair_permuted(t):
 
 @query("pair_seasonal", f"""WITH {MEMBERS_SQL}, ds AS (SELECT DISTINCT dayofyear(o_orderdate) AS dy FROM orders),
 x AS (SELECT ds.dy, m.member_id, row_number() OVER (PARTITION BY ds.dy ORDER BY dayofyear(member_time), member_id) AS r, count(*) OVER (PARTITION BY ds.dy) AS n
-  FROM ds JOIN m ON least(abs(ds.dy - dayofyear(member_time)), 366 - abs(ds.dy - dayofyear(member_time))) <= 45)
-SELECT o_orderkey AS event_id, x.member_id FROM orders JOIN x ON x.dy = dayofyear(o_orderdate) AND x.r = CAST(floor({U_SQL.format(key="'2|season|' || o_orderkey")} * x.n) AS BIGINT) + 1""")
+  FROM ds JOIN m ON least(abs(ds.dy - dayofyear(member_time)), 366 - abs(ds.dy - dayofyear(member_time))) <= 45),
+o AS (SELECT o_orderkey, dayofyear(o_orderdate) AS dy, CAST(floor({U_SQL.format(key="'2|season|' || o_orderkey")} * c.n) AS BIGINT) + 1 AS r FROM orders JOIN (SELECT dy, max(n) AS n FROM x GROUP BY dy) c ON c.dy = dayofyear(o_orderdate))
+SELECT o_orderkey AS event_id, x.member_id FROM o JOIN x USING (dy, r)""")
 def pair_seasonal(t):
     return V.pair_seasonal(orders_time(t), part_members(t), 45, 2)
 
