@@ -213,7 +213,7 @@ def window_demand(t):
     return I.block_demand(demand(t), t.supplier.select(F.col("s_suppkey").alias("load_asset_id"), F.col("s_nationkey").alias("block_id")))
 
 
-@query("demand_bounds", f"WITH {WIN_SQL} SELECT event_id, load_asset_id, step, kw * 0.9 AS lower_kw, kw * 1.1 AS upper_kw FROM dm", lower_kw=4, upper_kw=4)
+@query("demand_bounds", f"WITH {WIN_SQL} SELECT event_id, load_asset_id, step, kw * 0.9 AS lower_kw, kw * 1.1 AS upper_kw FROM dm", lower_kw=7, upper_kw=7)
 def demand_bounds(t):
     return I.demand_bounds(demand(t), 0.1).select("event_id", "load_asset_id", F.col("step").cast("bigint").alias("step"), "lower_kw", "upper_kw")
 

@@ -51,7 +51,7 @@ SELECT pc.event_id, any_value(steps) AS available_time_steps, CAST((SELECT count
  avg(dur) AS mean_incremental_flood_duration_h, count_if(dur >= 12) * 0.0025 AS area_incremental_flooded_ge_12h_km2, any_value(mh) * 0.0025 AS peak_incremental_flooded_area_km2,
  any_value(mn) * 0.0025 AS peak_newly_flooded_area_km2, any_value(sh) * 0.0025 * 3 AS cumulative_incremental_flooded_area_km2h, max(peak) * 3.28084 AS peak_incremental_land_depth_ft,
  any_value(mh) * 0.0025 * 247.105381467 AS peak_incremental_flooded_area_acres FROM pc JOIN bs USING (event_id) GROUP BY pc.event_id""",
-       raw_peak_domain_zs_m=5, peak_ocean_zs_m=5, peak_incremental_land_depth_m=5, peak_total_land_depth_m=5, mean_total_land_depth_m=5, flood_volume_m3=2, mean_peak_incremental_land_depth_m=5,
+       raw_peak_domain_zs_m=5, peak_ocean_zs_m=5, peak_incremental_land_depth_m=5, peak_total_land_depth_m=5, mean_total_land_depth_m=5, flood_volume_m3=0, mean_peak_incremental_land_depth_m=5,
        median_peak_incremental_land_depth_m=5, p90_peak_incremental_land_depth_m=5, p90_incremental_flood_duration_h=4, anytime_incremental_flooded_area_km2=6, anytime_newly_flooded_area_km2=6,
        longest_incremental_flood_duration_h=4, mean_incremental_flood_duration_h=5, area_incremental_flooded_ge_12h_km2=6, peak_incremental_flooded_area_km2=6, peak_newly_flooded_area_km2=6,
        cumulative_incremental_flooded_area_km2h=5, peak_incremental_land_depth_ft=5, peak_incremental_flooded_area_acres=4)
