@@ -13,38 +13,56 @@ from pyspark.sql import functions as F
 
 from .common import finite, listed
 
-BLOCKS = 32
+# Ordered cuts: a few on a small session, more where the session plans for many shuffle partitions.
+FEW, MANY, LEAF = 32, 256, 16
 
 
-def _code(value: Column, bounds: Column) -> Column:
+def cut_count(spark) -> int:
+    return FEW if int(spark.conf.get("spark.sql.shuffle.partitions")) <= 2 * FEW else MANY
+
+
+def _at_most(value: Column, bounds: Column, lo: int, hi: int, step: int) -> Column:
+    """Number of bounds <= value as a search tree over bounds[lo:hi], in units of `step` bounds."""
+    if lo == hi:
+        return F.lit(lo * step)
+    mid = (lo + hi) // 2
+    bound = F.get(bounds, F.lit(mid * step + step - 1))
+    return F.when(value >= bound, _at_most(value, bounds, mid + 1, hi, step)).otherwise(_at_most(value, bounds, lo, mid, step))
+
+
+def _code(value: Column, bounds: Column, n: int) -> Column:
     """Ordered block number; a value equal to a bound has a block of its own."""
-    below = F.size(F.filter(bounds, lambda b: b < value))
-    upto = F.size(F.filter(bounds, lambda b: b <= value))
-    return (below + upto).cast("bigint")
+    if n <= 2 * FEW:
+        idx = _at_most(value, bounds, 0, n - 1, 1)
+    else:
+        # Coarse tree first, then only one leaf of bounds is looked at.
+        base = _at_most(value, bounds, 0, (n - 1) // LEAF, LEAF)
+        idx = base + F.size(F.filter(F.slice(bounds, base + 1, F.lit(LEAF)), lambda b: b <= value))
+    own = F.coalesce(F.get(bounds, idx - 1) == value, F.lit(False))
+    return (2 * idx - own.cast("int")).cast("bigint")
 
 
-def with_block(df: DataFrame, order: str, tie: str | None = None, n: int = BLOCKS,
-               name: str = "_blk") -> DataFrame:
+def with_block(df: DataFrame, order: str, tie: str | None = None, n: int | None = None, name: str = "_blk") -> DataFrame:
     """Add the ordered block of each row. Hot order values are cut further along `tie`."""
+    n = n or cut_count(df.sparkSession)
     steps = [i / n for i in range(1, n)]
-    cols = [F.array_distinct(F.percentile_approx(F.col(order).cast("double"), steps, 1000)).alias("v")]
+    cols = [F.percentile_approx(F.col(order).cast("double"), steps, 4 * n).alias("v")]
     if tie is not None:
-        cols.append(F.array_distinct(F.percentile_approx(F.col(tie).cast("double"), steps, 1000)).alias("t"))
+        cols.append(F.percentile_approx(F.col(tie).cast("double"), steps, 4 * n).alias("t"))
     # The cuts are one row of at most 2n numbers, so every row can carry them.
-    one = df.agg(F.struct(*cols).alias("_cuts"))
-    df = df.join(F.broadcast(one))
-    cuts = F.col("_cuts")
-    value = F.col(order).cast("double")
-    code = _code(value, cuts["v"])
+    one = df.agg(F.struct(*cols).alias("_cuts")).select("_cuts.*").toDF(*[f"_cut{i}" for i in range(len(cols))])
+    df = df.join(F.broadcast(one)).withColumn(
+        "_blkv", F.col(order).cast("double")).withColumn("_blkc", _code(F.col("_blkv"), F.col("_cut0"), n))
+    code = F.col("_blkc")
     if tie is not None:
-        hot = F.array_contains(cuts["v"], value)
-        inner = F.when(hot, _code(F.col(tie).cast("double"), cuts["t"])).otherwise(F.lit(0))
+        # Odd numbers are values equal to a bound, the only ones that can be hot.
+        inner = F.when(F.col("_blkc") % 2 == 1, _code(F.col(tie).cast("double"), F.col("_cut1"), n)).otherwise(F.lit(0))
         code = code * F.lit(2 * n + 2) + inner
-    return df.withColumn(name, F.coalesce(code, F.lit(-1)).cast("bigint")).drop("_cuts")
+    return df.withColumn(name, F.coalesce(code, F.lit(-1)).cast("bigint")).drop("_cut0", "_cut1", "_blkv", "_blkc")
 
 
 def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | str]],
-            tie: str | None = None, n: int = BLOCKS, then: tuple[str, ...] = ()) -> DataFrame:
+            tie: str | None = None, n: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
     """Add ordered columns per key. `tie` is numeric; `then` only orders rows equal on (order, tie). `outs` maps a new name to (kind, column):
 
     sum (inclusive running sum), total (sum over the key), last / next (nearest non-null at or
@@ -108,7 +126,7 @@ def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | s
 
 
 def row_numbers(df: DataFrame, by, order: str, tie: str | None = None, name: str = "rank",
-                total: str | None = None, n: int = BLOCKS, then: tuple[str, ...] = ()) -> DataFrame:
+                total: str | None = None, n: int | None = None, then: tuple[str, ...] = ()) -> DataFrame:
     """1-based rank by ascending (order, tie) per key, as `row_number` would give."""
     outs = {name: ("sum", F.lit(1).cast("bigint"))}
     if total:
@@ -116,7 +134,7 @@ def row_numbers(df: DataFrame, by, order: str, tie: str | None = None, name: str
     return running(df, by, order, outs, tie, n, then)
 
 
-def quantiles(df: DataFrame, by, wants: dict[str, tuple[str, float]], n: int = BLOCKS) -> DataFrame:
+def quantiles(df: DataFrame, by, wants: dict[str, tuple[str, float]], n: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key; `wants` maps output name to (column, q).
 
     Values are first reduced to counts, so copies cost nothing, then located by running counts.

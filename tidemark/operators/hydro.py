@@ -90,7 +90,7 @@ def transfer_attributes(rivers: DataFrame, reference: DataFrame, k: int = 5, rid
         lg = lambda c: F.log10(F.greatest(F.coalesce(finite(c), F.lit(0.0)), F.lit(1e-6)))
         return df.select(F.col(key), lg("area").alias(f"{p}_a"), (F.greatest(F.coalesce(finite("order"), F.lit(0.0)), F.lit(0.0)) * 2.0).alias(f"{p}_o"), lg("length").alias(f"{p}_l"), *more)
     dist = F.sqrt((F.col("t_a") - F.col("m_a")) ** 2 + (F.col("t_o") - F.col("m_o")) ** 2 + (F.col("t_l") - F.col("m_l")) ** 2)
-    near = knn(feats(rivers, "t", rid), feats(reference, "m", ref_id, "width_m", "depth_m"), rid, ref_id, ["a"], dist, k, F.abs(F.col("t_a") - F.col("m_a")))
+    near = knn(feats(rivers, "t", rid), feats(reference, "m", ref_id, "width_m", "depth_m"), rid, ref_id, ["a"], dist, k, F.abs(F.col("t_a") - F.col("m_a")), start=256)
     # At most k rows per river, so the built-in exact median is bounded.
     return near.groupBy(rid).agg(F.percentile("width_m", 0.5).alias("width_m"), F.percentile("depth_m", 0.5).alias("depth_m"), F.max("distance").alias("farthest"))
 

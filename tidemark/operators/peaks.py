@@ -74,18 +74,18 @@ def _slope_by_counting(pts: DataFrame, by: list[str], steps: int = 70) -> DataFr
         F.sum("n_exceeding").alias("_pairs"))
     span = p.groupBy(*key).agg((F.max("_y") - F.min("_y")).alias("_r"))
     both = dx.join(span, key).join(tot, key).where("_pairs > 0").select(
-        *key, "_pairs", F.explode(F.array(F.lit(0), F.lit(1))).alias("_w"), (F.col("_r") / F.col("_dx") + 1e-9).alias("_b"))
+        *key, "_pairs", F.explode(F.array(F.lit(0), F.lit(1))).alias("_half"), (F.col("_r") / F.col("_dx") + 1e-9).alias("_b"))
     # Bracket of the lower and upper middle slope (0-based ranks floor and ceil of (pairs - 1) / 2).
-    br = cut(both.select(*key, "_w", F.floor((F.col("_pairs") - 1 + F.col("_w")) / 2).alias("_k"),
+    br = cut(both.select(*key, "_half", F.floor((F.col("_pairs") - 1 + F.col("_half")) / 2).alias("_k"),
                          (-F.col("_b")).alias("_lo"), F.col("_b").alias("_hi")))
     for _ in range(steps):
         mid = br.withColumn("_m", (F.col("_lo") + F.col("_hi")) / 2)
-        z = p.join(mid.select(*key, "_w", "_m"), key).select(
-            "_id", *key, "_w", "_x", (F.col("_m") * F.col("_x") - F.col("_y")).alias("_nz"))
-        less = count_exceeding(z, z.drop("_id"), "_id", ["_x", "_nz"], key + ["_w"]).groupBy(*key, "_w").agg(
+        z = p.join(mid.select(*key, "_half", "_m"), key).select(
+            "_id", *key, "_half", "_x", (F.col("_m") * F.col("_x") - F.col("_y")).alias("_nz"))
+        less = count_exceeding(z, z.drop("_id"), "_id", ["_x", "_nz"], key + ["_half"]).groupBy(*key, "_half").agg(
             F.sum("n_exceeding").alias("_c"))
         low = F.col("_c") <= F.col("_k")
-        br = cut(mid.join(less, key + ["_w"]).select(*key, "_w", "_k", F.when(low, F.col("_m")).otherwise(F.col("_lo")).alias("_lo"),
+        br = cut(mid.join(less, key + ["_half"]).select(*key, "_half", "_k", F.when(low, F.col("_m")).otherwise(F.col("_lo")).alias("_lo"),
                                                      F.when(low, F.col("_hi")).otherwise(F.col("_m")).alias("_hi")))
     return br.groupBy(*by).agg(F.avg((F.col("_lo") + F.col("_hi")) / 2).alias("slope"))
 
