@@ -236,7 +236,8 @@ def confirmed(blocks: DataFrame, plan: Plan) -> DataFrame:
                 s = shingles((m["text"] or "").encode(), words)
                 if class_of(s) == m["class"]:
                     sets[m["class"]] = s
-            u, v = forest(list(sets), list(sets.values()), num, den)
+            names = sorted(sets)
+            u, v = forest(names, [sets[c] for c in names], num, den)
             us += u
             vs += v
         return pa.RecordBatch.from_pydict({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
@@ -245,7 +246,8 @@ def confirmed(blocks: DataFrame, plan: Plan) -> DataFrame:
 
 
 def forest(names: list[bytes], sets: list[np.ndarray], num: int, den: int) -> tuple[list[bytes], list[bytes]]:
-    """Links that connect what den x intersection >= num x union connects."""
+    """Links that connect what den x intersection >= num x union connects, each from the first name of its component: blocks
+    of different bands then tend to give the same links."""
     n = len(sets)
     linked = similar(sets, num, den)
     us, vs, seen = [], [], np.zeros(n, bool)
@@ -256,8 +258,9 @@ def forest(names: list[bytes], sets: list[np.ndarray], num: int, den: int) -> tu
         front = linked[root] & ~seen
         while front.any():
             seen |= front
-            us += [names[root]] * int(front.sum())
-            vs += [names[i] for i in np.flatnonzero(front)]
+            at = np.flatnonzero(front)
+            us += [names[root]] * len(at)
+            vs += [names[i] for i in at]
             front = linked[front].any(0) & ~seen
     return us, vs
 
@@ -288,7 +291,7 @@ def links(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     wanted = live.select("class").distinct().join(members.select("class", F.col("doc_id").alias("_id")), "class")
     rows = documents(docs)
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
-    return cut(confirmed(gathered(live.join(texts, "class"), "text"), plan))
+    return cut(confirmed(gathered(live.join(texts, "class"), "text"), plan).distinct())
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
