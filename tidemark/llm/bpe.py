@@ -1,8 +1,9 @@
 """Byte-level BPE by ranked merges, and its inverse, as Spark expressions.
 
 A text is cut into pre-tokens by the tokenizer's pattern. A distinct word is encoded by a fold over its array of bytes:
-each step merges the leftmost adjacent pair of lowest rank and asks the ranks of the two new pairs only. The rank map is
-one constant of the plan, an array of small maps addressed by a hash, so a look-up does not search 50,000 keys.
+each step merges the leftmost adjacent pair of lowest rank and asks the ranks of the two new pairs only. A piece is held
+as its id, which is its rank, so the map gives for two ids the rank of their joined bytes. The rank map is one constant of
+the plan, an array of small maps addressed by a hash, so a look-up does not search all pairs.
 
 Words that are frequent in a bounded sample of documents are folded once and their pieces become a second constant; the
 other words are folded where they stand. Which words are frequent changes the time only: the pieces are the same.
@@ -28,15 +29,18 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L
            r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+")
 NONE = 2**31 - 1
 RANK_SLOTS = 1 << 16
-WORD_SLOTS = 1 << 18
+PAIR_SLOTS = 1 << 18
+WORD_SLOTS = 1 << 19
+#: Above any id; parts the two ids of a pair in one long.
+WIDE = 1 << 24
 #: Documents that choose the frequent words, and most frequent words kept: bounds on the second constant.
-SAMPLE_DOCS = 16_000
-MOST_WORDS = 200_000
+SAMPLE_DOCS = 60_000
+MOST_WORDS = 600_000
 
 
-def slots(df: DataFrame, key: str, value: Column, n: int) -> Column:
-    """A constant array of n small maps that holds (key, value) at the slot of the key's hash."""
-    small = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("slot")).agg(
+def slots(df: DataFrame, key: str, value: Column, n: int, at: Column | None = None) -> Column:
+    """A constant array of n small maps that holds (key, value) at the slot of the key's hash, or at the slot given."""
+    small = df.groupBy((F.pmod(F.xxhash64(key), F.lit(n)) if at is None else at).alias("slot")).agg(
         F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))).alias("m"))
     every = df.sparkSession.range(n).select(F.col("id").alias("slot")).join(small, "slot", "left")
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "m"))), lambda s: F.map_from_entries(s["m"])).alias("slots")).scalar()
@@ -62,46 +66,63 @@ class Bpe:
             lines = f.read()
         one = spark.createDataFrame([(lines,)], "lines string")
         cut_line = F.split("line", " ")
-        self.vocab = one.select(F.explode(F.split("lines", "\n")).alias("line")).where("line <> ''").select(
-            F.unbase64(cut_line[0]).alias("piece"), cut_line[1].cast("int").alias("id"))
+        self.vocab = cut(one.select(F.explode(F.split("lines", "\n")).alias("line")).where("line <> ''").select(
+            F.unbase64(cut_line[0]).alias("piece"), cut_line[1].cast("int").alias("id")))
         # Ids may have gaps: the piece of id i stands at place i.
         by_id = spark.range(self.vocab.agg(F.max("id")).first()[0] + 1).select(F.col("id").cast("int").alias("id")).join(
             self.vocab, "id", "left")
         pieces = by_id.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.hex("piece").alias("h")))), lambda s: s["h"])
                            .alias("pieces")).scalar()
-        self.constants = {"ranks": slots(self.vocab, "piece", F.col("id"), RANK_SLOTS), "pieces": pieces}
+        halves = self.vocab.where(F.length("piece") > 1).select("piece", "id", F.explode(F.sequence(F.lit(1), F.length("piece") - 1)).alias("k")).select(
+            F.substring("piece", F.lit(1), F.col("k")).alias("l"), F.substring("piece", F.col("k") + 1, F.length("piece")).alias("r"), "id")
+        part = lambda side: self.vocab.select(F.col("piece").alias(side), F.col("id").alias(f"{side}_id"))
+        pairs = cut(halves.join(part("l"), "l").join(part("r"), "r").select(
+            pair_key(F.col("l_id"), F.col("r_id")).alias("pair"), pair_slot(F.col("l_id"), F.col("r_id")).alias("at"), "id"))
+        every = spark.range(256).select(F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("piece"), F.col("id").alias("b"))
+        single = every.join(self.vocab, "piece", "left").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("b", F.coalesce("id", F.lit(NONE)).alias("id")))), lambda x: x["id"]).alias("bytes")).scalar()
+        self.constants = {"ranks": slots(self.vocab, "piece", F.col("id"), RANK_SLOTS), "pairs": slots(pairs, "pair", F.col("id"), PAIR_SLOTS, F.col("at")),
+                          "bytes": single, "pieces": pieces}
 
 
-def rank(c: Column, piece: Column) -> Column:
-    return F.coalesce(look_up(c["ranks"], RANK_SLOTS, piece), F.lit(NONE))
+def pair_key(a: Column, b: Column) -> Column:
+    return a.cast("long") * WIDE + b
+
+
+def pair_slot(a: Column, b: Column) -> Column:
+    return (a.cast("long") * 40503 + b) % PAIR_SLOTS
+
+
+def rank(c: Column, a: Column, b: Column) -> Column:
+    """Rank of two joined pieces, or NONE."""
+    return F.coalesce(F.try_element_at(F.get(c["pairs"], pair_slot(a, b)), pair_key(a, b)), F.lit(NONE))
 
 
 def fold(c: Column, word: Column) -> Column:
-    """Ids of one word (binary): ranked merges folded over its bytes."""
-    return let(rank(c, word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(merged(c, word)))
+    """Ids of one word (binary): itself if it is a piece, else ranked merges folded over its bytes."""
+    return let(look_up(c["ranks"], RANK_SLOTS, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(c, word)))
 
 
 def merged(c: Column, word: Column) -> Column:
     def step(acc: Column, _: Column) -> Column:
-        parts, ranks = acc["parts"], acc["ranks"]
+        ids, ranks = acc["ids"], acc["ranks"]
         return let(F.array_min(ranks), lambda low: F.when(F.coalesce(low, F.lit(NONE)) == NONE, acc).otherwise(
-            let(F.array_position(ranks, low).cast("int"), lambda i: joined(parts, ranks, i))))
+            let(F.array_position(ranks, low).cast("int"), lambda i: joined(ids, ranks, low, i))))
 
-    def joined(parts: Column, ranks: Column, i: Column) -> Column:
-        left, right = F.get(parts, i - 2), F.get(parts, i + 1)
-        return let(F.concat(F.get(parts, i - 1), F.get(parts, i)), lambda new: F.struct(
-            F.concat(F.slice(parts, F.lit(1), i - 1), F.array(new), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+    def joined(ids: Column, ranks: Column, new: Column, i: Column) -> Column:
+        left, right = F.get(ids, i - 2), F.get(ids, i + 1)
+        return F.struct(
+            F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
             F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                     F.when(left.isNotNull(), F.array(rank(c, F.concat(left, new)))).otherwise(no_ids()),
-                     F.when(right.isNotNull(), F.array(rank(c, F.concat(new, right)))).otherwise(no_ids()),
-                     F.slice(ranks, i + 2, F.size(parts))).alias("ranks")))
-
-    size = F.length(word)
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))).alias("parts"),
-        F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(c, F.substring(word, i, F.lit(2)))))
-        .otherwise(no_ids()).alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda acc: F.transform(acc["parts"], lambda p: rank(c, p)))
+                     F.when(left.isNotNull(), F.array(rank(c, left, new))).otherwise(no_ids()),
+                     F.when(right.isNotNull(), F.array(rank(c, new, right))).otherwise(no_ids()),
+                     F.slice(ranks, i + 2, F.size(ranks))).alias("ranks"))
+
+    # Bytes as the characters of a one-byte character set, for their numbers.
+    chars = F.decode(word, "ISO-8859-1")
+    singles = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(c["bytes"], F.ascii(F.substring(chars, i, F.lit(1)))))
+    return let(singles, lambda ids: F.aggregate(ids, F.struct(ids.alias("ids"), F.when(F.size(ids) > 1, F.transform(
+        F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: rank(c, a, F.get(ids, i + 1)))).otherwise(no_ids()).alias("ranks")), step, lambda acc: acc["ids"]))
 
 
 def no_ids() -> Column:
