@@ -1,0 +1,322 @@
+"""Text operators against brute-force versions, on a table with nulls, empty and long texts, ties and clashing columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from tidemark.llm import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, quality, sharding, token_counts
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, slot string, digest string"
+WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "Tö", "su") for b in ("ran", "bel", "dit") for c in ("", "o", "ens", "!")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(4)
+    base = [prose(rng, n) for n in (60, 80, 120, 300, 64, 70)]
+    out = [(i, t, "en" if i % 2 else "de", f"src{i % 3}") for i, t in enumerate(base)]
+    out += [(10, base[0].upper(), "en", "src0"), (11, base[0], None, None), (12, base[3] + " extra", "en", "src0"), (13, base[3].replace("ran", "ren", 1), "en", "src9")]
+    out += [(20, None, None, "src0"), (21, "", "en", None), (22, " \t\n ", "en", "src1"), (None, "one two", "en", "src1"), (23, "one two", "en", "src1"),
+            (24, prose(rng, 9000), "en", "src0"), (25, "It's  naïve — 日本語 'll\r\n\x0b x y ①  ", "fr", "src2"), (26, "word " * 200, "en", "src2")]
+    out += [(1, base[1], "en", "src1"), (30, "Licensed under the Apache License, Version 2.0.\nAll rights reserved. CC BY cc-by x", "en", "src0")]
+    return [(*r, len(r[1] or ""), "clash", "clash", "clash") for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def folded(t):
+    return (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def measured(t):
+    t = t or ""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+    tri = list(zip(ws, ws[1:], ws[2:], strict=False))
+    rep = {k + d for k, g in enumerate(tri) if tri.count(g) > 1 for d in range(3)} if len(ws) < 2000 else None
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), None if rep is None else len(rep)
+
+
+def test_quality_measures_and_order(docs, rows, nothing):
+    got = quality.measured_verdicts(docs).collect()
+    assert len(got) == len(rows)
+    want = sorted((r[0] is None, r[0] or 0, *measured(r[1])[:4]) for r in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) for r in got) == want
+    rep = {r[0]: measured(r[1])[4] for r in rows}
+    assert all(rep[r.doc_id] is None or rep[r.doc_id] == r.n_repeat_words for r in got)
+    kept = {(r.doc_id, r.kept) for r in got}
+    # Any order of the rules gives the same verdicts.
+    for order in (quality.RULES, quality.RULES[::-1]):
+        lazy = quality.cascade(docs, order, quality.from_text(docs["text"])).collect()
+        assert {(r.doc_id, r.kept) for r in lazy} == kept
+    assert quality.verdicts(nothing).count() == 0 and quality.measured_verdicts(nothing).count() == 0
+
+
+def test_quality_order_prefers_cheap_rejections(spark):
+    df = spark.createDataFrame([(i, "a b c") for i in range(50)] + [(99, prose(random.Random(1), 80))], "doc_id long, text string")
+    assert quality.cascade_order(df)[0].name == "few_words"
+
+
+def test_quality_plan_is_native(docs):
+    plan = quality.measured_verdicts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_license_scan(docs, rows, nothing):
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    x = got[30]
+    assert (x.n_base, x.base_labels, x.labels, x.score) == (3, "cc-by,reserved", "apache-2.0,cc-by,reserved", 1.0)
+    assert got[20].n_words == 0 and got[20].first_word is None and got[20].labels == ""
+    for r in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(r[1]))
+        places = [i for p in licenses.BASE for i in range(len(words)) if words[i:i + len(p.split())] == p.split()]
+        g = got[r[0]]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
+    assert licenses.scan(nothing).count() == 0
+
+
+def test_license_templates():
+    a = licenses.compiled({"t": "grant of <<beginOptional>>the free <<beginOptional>>full<<endOptional>> <<endOptional>>use <<var;max=2>> to all"})
+    label = lambda s: [m for m in a.matches(licenses.tokens(s.encode())) if m[2] == "t"]
+    assert label("grant of use to all") == [(0, 5, "t")]
+    assert label("x grant of the free use of it to all") == [(1, 9, "t")] and label("Grant of the free full use to all")
+    assert not label("grant of the use to all") and not label("grant of use of it now to all") and not label("grant use to all")
+    with pytest.raises(ValueError):
+        licenses.compiled({"bad": "<<var;max=2>> opens"})
+
+
+def tiktoken_ids():
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(spark, docs, rows, nothing):
+    from pyspark.sql import functions as F
+
+    coder, model = tiktoken_ids(), bpe.Bpe(spark)
+    encoded = bpe.encode(docs, model)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(encoded).collect())
+    want = []
+    for r in rows:
+        ids = coder.encode_ordinary(r[1] or "")
+        want.append((r[0] or -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    # The general interface: ids as an array, and back to the text.
+    back = bpe.decode(encoded.select("text", bpe.ids_of(F.col("pieces")).alias("ids")), model).collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") and list(r.ids) == coder.encode_ordinary(r.text or "") for r in back)
+    assert bpe.digests(bpe.encode(nothing, model)).count() == 0
+
+
+def test_token_counts(docs, rows, nothing):
+    import sentencepiece
+
+    coder = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    want = sorted((r[0] or -1, len((r[1] or "").encode()), len(coder.encode(r[1] or "")), len(coder.encode(r[1] or "")) > 4096) for r in rows)
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs).collect()) == want
+    lengths = token_counts.Lengths({}, token_counts.MODEL)
+    for x in ["a  b\n c\t ﬁ①  ", " a", "", " ", "<s> x</s><unk>", "▁a ▁", "a ", "  ", "   a    b ", "a▁▁b", "\n\n  \n"]:
+        assert sum(lengths[k] for k in token_counts.pre_tokens(x)) == len(coder.encode(x)), x
+    assert token_counts.token_counts(nothing).count() == 0
+
+
+def test_token_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE", 3)
+    lengths = token_counts.Lengths({" a": 1}, token_counts.MODEL)
+    assert [lengths[f" w{k}"] for k in range(20)] and len(lengths) <= 6 and lengths[" "] == 1
+
+
+def test_language_held_out_accuracy(spark, nothing):
+    rng, tables = random.Random(3), {"aa": ["lok", "mir", "tan"], "bb": ["ües", "grö", "tän"], "cc": ["qui", "oux", "eau"]}
+    data = [(i, " ".join("".join(rng.choices(tables[k], k=3)) for _ in range(40)), k) for i, k in zip(range(400), itertools.cycle(tables), strict=False)]
+    data += [(900, None, "aa"), (901, "12 -- 34", "bb"), (902, "quieau", None)]
+    df = spark.createDataFrame([(*r, "clash") for r in data], "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r for r in language.predict(df, language.fit(df)).collect()}
+    truth = {r[0]: r[2] for r in data[:400]}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in truth)
+    held = [i for i in truth if got[i].held_out]
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.97 * len(held)
+    assert (got[900].lang_pred, got[901].lang_pred, got[900].score) == ("und", "und", 0.0) and 0 <= got[902].score <= 1
+    empty = nothing.select("doc_id", "text", "lang")
+    assert language.fit(empty) is None and language.predict(empty, None).count() == 0
+
+
+def test_folded_tables_equal_the_network():
+    net = language.ByteNet(["x", "y"], seed=1)
+    x = np.random.default_rng(0).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
+    h, _ = net.pooled(x)
+    z = h @ net.dense + net.bias
+    assert np.allclose(net.log_probabilities(x, net.folded()), z - np.log(np.exp(z).sum(1, keepdims=True)), atol=1e-4)
+
+
+def test_mixing(docs, rows, nothing):
+    weights = {"src0": 3.0, "src1": 1.0, "*": 1.0}
+    got = mixing.mixed(docs, weights, 5).collect()
+    group = lambda s: s if s in ("src0", "src1") else "*"
+    size = {g: sum(len(r[1] or "") for r in rows if group(r[3]) == g) for g in weights}
+    want = []
+    for r in rows:
+        rate = weights[group(r[3])] / 5 * sum(size.values()) / size[group(r[3])]
+        u = (int(hashlib.md5(f"mix5|{'' if r[0] is None else r[0]}".encode()).hexdigest()[:15], 16) + 0.5) / 16**15
+        k, term = 0, np.exp(-rate)
+        total = term
+        while total < u:
+            k += 1
+            term *= rate / k
+            total += term
+        want += [(r[0] or -1, c) for c in range(1, k + 1)]
+    assert sorted((r.doc_id or -1, r["copy"]) for r in got) == sorted(want)
+    assert mixing.mixed(nothing, weights).count() == 0
+    with pytest.raises(ValueError):
+        mixing.rates(docs, {"a": 0.0})
+
+
+def test_mixing_reaches_its_weights(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "if(id % 3 = 0, 'big', 'small') AS source")
+    got = {r["source"]: r["count"] for r in mixing.mixed(df, {"big": 3.0, "small": 1.0}, 1).groupBy("source").count().collect()}
+    assert abs(got["big"] / sum(got.values()) - 0.75) < 0.02 and abs(sum(got.values()) - 6000) < 250
+
+
+def test_exact_dedup(docs, rows, nothing):
+    got = exact_dedup.decisions(docs).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(folded(r[1]), []).append(r[0])
+    order = lambda i: -1 if i is None else i
+    want = sorted((order(r[0]), order(max(groups[folded(r[1])], key=order)), len(groups[folded(r[1])]), r[0] == max(groups[folded(r[1])], key=order),
+                   hashlib.sha256(folded(r[1]).encode()).hexdigest()) for r in rows)
+    assert sorted((order(r.doc_id), order(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
+    left = exact_dedup.survivors(docs)
+    assert left.columns == docs.columns and sorted(folded(r.text) for r in left.collect()) == sorted(groups)
+    assert exact_dedup.decisions(nothing).count() == 0 and exact_dedup.survivors(nothing).count() == 0
+
+
+def test_key_collisions_are_chained(docs, rows, monkeypatch):
+    import pyarrow as pa
+
+    dealt = exact_dedup.merged_batches(lambda batches: (b for b in batches))
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert [b.num_rows for b in dealt(iter([batch, batch]))] == [4]
+
+
+def test_directory_doubles_where_buckets_are_full():
+    slots = exact_dedup.directory({0: 5, 1: 5, 9: 1}, 5, deepest=4)
+    assert slots[0] != slots[1] and len(set(slots[8:])) == 1 and list(slots) == sorted(slots)
+    assert set(exact_dedup.directory({3: 99}, 5, deepest=4)) >= {0} and len(set(exact_dedup.directory({}, 1, deepest=4))) == 1
+
+
+def brute_components(rows, words, num, den):
+    def shingles(t):
+        ws = folded(t).translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")
+        ws = [w for w in ws if w]
+        return {tuple(ws[i:i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
+
+    sets = [shingles(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        inter = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and den * inter >= num * len(sets[i] | sets[j]):
+            parent[root(i)] = root(j)
+    out = []
+    for i, r in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
+        out.append((-1 if r[0] is None else r[0], len(sets[i]), min(ids, default=None)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("plan", [near_dedup.Plan(3, 85, 100), near_dedup.Plan(5, 80, 100)])
+def test_near_duplicates(docs, rows, nothing, plan):
+    got = near_dedup.near_duplicates(docs, plan).collect()
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, plan.words, plan.num, plan.den)
+    assert near_dedup.near_duplicates(nothing, plan).count() == 0 and near_dedup.survivors(nothing, plan).count() == 0
+
+
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(8)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(60):
+        ws = list(base)
+        for _ in range(rng.randrange(6)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(ws)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Plan(3, 85, 100)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 3, 85, 100)
+
+
+def test_sketch_tells_similar_from_distant():
+    plan, rng = near_dedup.Plan(3, 85, 100), np.random.default_rng(1)
+    keys = near_dedup.sample_keys(plan.bands * near_dedup.ROWS)
+    a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+    bits = lambda x, y: int(np.bitwise_count(near_dedup.odd_sketch(near_dedup.samples(x, keys)) ^ near_dedup.odd_sketch(near_dedup.samples(y, keys))).sum())
+    near = np.concatenate([a[:920], rng.integers(0, 1 << 63, 80).astype(np.uint64)])
+    far = np.concatenate([a[:300], rng.integers(0, 1 << 63, 700).astype(np.uint64)])
+    assert bits(a, a) == 0 and bits(a, near) <= plan.most_bits < bits(a, far)
+    assert (1 - (1 - 0.85**near_dedup.ROWS) ** plan.bands) >= 1 - near_dedup.MISS
+
+
+def test_sharding(docs, rows, nothing, tmp_path, spark):
+    names = ["a", "b", "c"]
+    owner = sharding.claims(names, 101)
+    assert -1 not in owner and max(owner.count(k) for k in range(3)) - min(owner.count(k) for k in range(3)) <= 1
+    fewer = sharding.claims(["a", "b"], 101)
+    assert sum(x != y for x, y in zip(owner, fewer, strict=True) if x != 2) <= 30
+    got = {r.doc_id: (r.slot, r.shard) for r in sharding.placed(docs, names).collect()}
+    for r in rows:
+        slot = int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16) % sharding.SLOTS
+        assert got[r[0]] == (slot, names[sharding.claims(names)[slot]])
+    assert sharding.placed(nothing, names).count() == 0
+    sharding.write_shards(docs.select("doc_id", "text"), names, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows)
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.claims(bad, 101)
+    with pytest.raises(ValueError):
+        sharding.claims(names, 100)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (None, ""), ("", ""), ("just text &amp; more", "just text & more"), ("<html><body></body></html>", ""),
+    ("<body><nav><a href=x>Home</a></nav><article><h1>Ti tle</h1><p>One<b> two<br>three<p>Four &lt;5&gt;  six</article><footer>f</footer>", "Ti tle One two three Four <5> six"),
+    ("<body><div class='sidebar'><p>side side side</p></div><div id=content><p>Body text of the page, long enough to win.</p><p>Second.</p></div>"
+     "<section class='comments'><p>first!</p></section><form><p>mail</p></form>", "Body text of the page, long enough to win. Second."),
+    ("<body><article><p>a</p><aside>no</aside><script>var t='</p>';</script><p>b &copy", "a b ©"),
+    ("<body><header><p>site</p></header><div class=cookie-notice>We use</div><main><section><p>x y</p></section><section><p>z</p></section></main>", "x y z"),
+])
+def test_main_text(page, text):
+    assert html_text.main_text(page or "") == text
+
+
+def test_html_frame(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>", "c"), (1, "u", "<p>a</p>", "c"), (None, None, None, "c"), (2, "v", "<div>" * 5000 + "deep", "c")], "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect())
+    assert got == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "deep", 4)]
+    assert html_text.extract(df.limit(0)).count() == 0

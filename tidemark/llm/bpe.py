@@ -34,8 +34,8 @@ WORD_SLOTS = 1 << 19
 #: Above any id; parts the two ids of a pair in one long.
 WIDE = 1 << 24
 #: Documents that choose the frequent words, and most frequent words kept: bounds on the second constant.
-SAMPLE_DOCS = 60_000
-MOST_WORDS = 600_000
+SAMPLE_DOCS = 50_000
+MOST_WORDS = 350_000
 
 
 def slots(df: DataFrame, key: str, value: Column, n: int, at: Column | None = None) -> Column:
@@ -162,13 +162,14 @@ def frequent(docs: DataFrame, bpe: Bpe) -> Column:
     step = 1 << 20
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) < max(1, int(share * step)))
     seen = cut(sample.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").count())
-    # The lowest count, as a power of two, that leaves at most MOST_WORDS words.
-    sizes = {r["p"]: r["n"] for r in seen.groupBy(F.floor(F.log2("count")).alias("p")).agg(F.count("*").alias("n")).collect()}
-    low, kept = max(sizes, default=0) + 1, 0
-    while low > 0 and kept + sizes.get(low - 1, 0) <= MOST_WORDS:
+    # The lowest count that leaves at most MOST_WORDS words; counts from `top` on are taken together.
+    top = 1_000
+    sizes = {r["c"]: r["n"] for r in seen.groupBy(F.least("count", F.lit(top)).alias("c")).agg(F.count("*").alias("n")).collect()}
+    low, kept = top + 1, 0
+    while low > 1 and kept + sizes.get(low - 1, 0) <= MOST_WORDS:
         low -= 1
         kept += sizes.get(low, 0)
-    common = with_constants(seen.where(F.col("count") >= 2**low).select("word"), "code", bpe.constants, lambda c: coded(c, F.col("word")))
+    common = with_constants(seen.where(F.col("count") >= low).select("word"), "code", bpe.constants, lambda c: coded(c, F.col("word")))
     return slots(common, "word", F.col("code"), WORD_SLOTS)
 
 
@@ -182,8 +183,8 @@ def encode(docs: DataFrame, bpe: Bpe) -> DataFrame:
 def ids_of(pieces: Column) -> Column:
     """The ids of encoded pieces as an array of integers."""
     h = F.array_join(F.transform(pieces, lambda p: p["ids"]), "")
-    return let(h, lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), F.length(s) / 8 - 1), lambda i: F.conv(
-        F.concat(*[F.substring(s, (i * 8 + at).cast("int"), F.lit(2)) for at in (7, 5, 3, 1)]), 16, 10).cast("int"))).otherwise(
+    return let(h, lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), (F.length(s) / 8 - 1).cast("int")), lambda i: F.conv(
+        F.concat(*[F.substring(s, i * 8 + at, F.lit(2)) for at in (7, 5, 3, 1)]), 16, 10).cast("int"))).otherwise(
         F.array().cast("array<int>")))
 
 

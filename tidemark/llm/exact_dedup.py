@@ -191,28 +191,28 @@ def merged_batches(fn, rows: int = 10_000):
     return run
 
 
-def decisions(docs: DataFrame, *more: str, index: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and last_rows (rows that repeat the id that stays) of every row.
-
-    With more column names the rows carry their text and these columns along.
-    """
-    spark = docs.sparkSession
-    index = index or build_index(docs)
-    entries = spark.read.parquet(f"{index}/buckets").select("digest", F.struct("keep_id", "rows", "last_rows").alias("e"))
+def told(docs: DataFrame, index: str, carry: bool) -> DataFrame:
+    """Every row with its digest and entry `e`; with `carry` its text too, and the other columns of `docs` in `rest`."""
+    entries = docs.sparkSession.read.parquet(f"{index}/buckets").select("digest", F.struct("keep_id", "rows", "last_rows").alias("e"))
     total = entries.agg(F.sum("e.rows")).first()[0] or 0
     hot_from = max(2, -(-total // HOT_SHARE))
-    rows = documents(docs, *more)
-    signed = arrow_pass(rows, with_digest if more else digest_only, columns_of(rows if more else rows.select("doc_id")) + ", digest binary")
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    rows = documents(docs, rest.alias("rest")) if carry else documents(docs)
+    signed = arrow_pass(rows, with_digest if carry else digest_only, columns_of(rows if carry else rows.select("doc_id")) + ", digest binary")
     hot = F.broadcast(entries.where(F.col("e.rows") >= hot_from).select(  # at most HOT_SHARE rows: each holds a thousandth
         "digest", F.col("e").alias("hot")))
     # Rows that found a hot entry join on a key of their own, which is spread and meets nothing.
-    told = signed.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(
+    keyed = signed.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(
         F.concat(F.lit(b"row"), F.unhex(F.hex(F.coalesce(F.col("doc_id"), F.lit(0)))))))
     cold = entries.where(F.col("e.rows") < hot_from).select(F.col("digest").alias("key"), F.col("e").alias("cold"))
-    found = told.join(cold, "key", "left").withColumn("e", F.coalesce("hot", "cold"))
-    return found.select(*[c for c in signed.columns if c != "digest"], F.col("e.keep_id").alias("keep_id"), F.col("e.rows").alias("group_size"),
-                        F.col("doc_id").eqNullSafe(F.col("e.keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-                        F.col("e.last_rows").alias("last_rows"))
+    return keyed.join(cold, "key", "left").select(*signed.columns, F.coalesce("hot", "cold").alias("e"))
+
+
+def decisions(docs: DataFrame, index: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and last_rows (rows that repeat the id that stays) of every row."""
+    found = told(docs, index or build_index(docs), False)
+    return found.select("doc_id", F.col("e.keep_id").alias("keep_id"), F.col("e.rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("e.keep_id")).alias("kept"),
+                        F.lower(F.hex("digest")).alias("text_sha256"), F.col("e.last_rows").alias("last_rows"))
 
 
 def columns_of(df: DataFrame) -> str:
@@ -232,7 +232,7 @@ def digest_only(batch: pa.RecordBatch) -> pa.RecordBatch:
 def survivors(docs: DataFrame, index: str | None = None) -> DataFrame:
     """Rows of `docs` that stay: of equal texts the row with the largest id, one of them where it is repeated."""
     index = index or build_index(docs)
-    kept = decisions(docs, *[c for c in docs.columns if c not in ("doc_id", "text")], index=index).where("kept")
+    kept = told(docs, index, True).where(F.col("doc_id").eqNullSafe(F.col("e.keep_id")))
     if not docs.sparkSession.read.parquet(f"{index}/buckets").where("last_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text_sha256"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
