@@ -30,12 +30,12 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L
 NONE = 2**31 - 1
 RANK_SLOTS = 1 << 16
 PAIR_SLOTS = 1 << 18
-WORD_SLOTS = 1 << 19
+WORD_SLOTS = 1 << 17
 #: Above any id; parts the two ids of a pair in one long.
 WIDE = 1 << 24
 #: Documents that choose the frequent words, and most frequent words kept: bounds on the second constant.
-SAMPLE_DOCS = 50_000
-MOST_WORDS = 350_000
+SAMPLE_DOCS = 24_000
+MOST_WORDS = 120_000
 
 
 def slots(df: DataFrame, key: str, value: Column, n: int, at: Column | None = None) -> Column:

@@ -142,9 +142,15 @@ def cascade(docs: DataFrame, order, measure: Measure) -> DataFrame:
     return docs.withColumn("rejected_by", chain).withColumn("kept", F.col("rejected_by").isNull())
 
 
+#: Measures that most rules ask for; taken once, ahead of the cascade.
+SHARED = ("n_words", "word_chars")
+
+
 def verdicts(docs: DataFrame, rules=RULES) -> DataFrame:
-    """`docs` with rejected_by and kept, measures taken only where the cascade reaches them."""
-    return cascade(docs, cascade_order(docs, rules), from_text(F.col("text")))
+    """`docs` with rejected_by and kept; beyond the shared measures, one is taken only where the cascade reaches it."""
+    ahead = docs.withColumns({f"_{n}": MEASURES[n](F.col("text")) for n in SHARED})
+    told = cascade(ahead, cascade_order(docs, rules), lambda n: F.col(f"_{n}") if n in SHARED else MEASURES[n](F.col("text")))
+    return told.drop(*[f"_{n}" for n in SHARED])
 
 
 def measured_verdicts(docs: DataFrame, rules=RULES) -> DataFrame:
