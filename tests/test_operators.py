@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import mathx
+from tidemark.kit.apportion import apportion
+from tidemark.kit.intervals import nearest
 from tidemark.operators import events as V
 from tidemark.operators import extremes as X
 from tidemark.operators import flows as H
@@ -57,11 +59,43 @@ def test_selection_weights(spark):
     per = {r.severity_band: (r.n, r.w, r.p) for r in got.groupBy("severity_band").agg(F.count("*").alias("n"), F.max("sampling_weight").alias("w"), F.sum("probability_weight").alias("p")).collect()}
     assert per["mild"][:2] == (20, pytest.approx(390 / 400 / 0.5)) and per["rare"][0] == 20  # ten members drawn with replacement
     assert per["mild"][2] + per["rare"][2] == pytest.approx(1.0)
-    assert X.largest_remainder({"a": 0.5, "b": 0.3, "c": 0.2}, 11) == {"a": 6, "b": 3, "c": 2}
 
 
-def test_band_targets_spread_shortfall():
-    assert V.band_targets({"a": 100, "b": 2, "c": 100}, {"a": 0.5, "b": 0.3, "c": 0.2}, 20) == {"a": 12, "b": 2, "c": 6}
+def test_apportion(spark):
+    f = {"a": 0.5, "b": 0.3, "c": 0.2}
+    assert apportion(spark, f, 11) == {"a": 6, "b": 3, "c": 2}
+    # Seats beyond the room of a label go to the others, larger fractions first.
+    assert apportion(spark, f, 20, {"a": 100, "b": 2, "c": 100}) == {"a": 12, "b": 2, "c": 6}
+    assert apportion(spark, f, 20, {"a": 3, "b": 2}) == {"a": 3, "b": 2} and apportion(spark, f, 5, {}) == {}
+
+
+def test_degenerate_groups_give_nulls(spark):
+    one = spark.createDataFrame([("a", 1.0, 5.0), ("b", 1.0, 5.0), ("b", 2.0, 5.0), ("c", 1.0, 1.0), ("c", 2.0, 2.0), ("c", 3.0, 4.0)], "k string, x double, value double")
+    assert {r.k for r in X.fit_tail(one, ["k"]).collect()} == {"c"}
+    got = {r.k: r.tau for r in P.mann_kendall(one, "x", "value", ["k"]).collect()}
+    assert got["a"] is None and got["b"] is None and got["c"] == pytest.approx(1.0)
+    flat = spark.createDataFrame([("e", i, 1.0) for i in range(4)], "event_id string, time int, value double")
+    r = H.hydrograph_scores(flat, flat, ["event_id"]).first()
+    assert r.n == 4 and r.kge is None and r.nse is None
+
+
+def test_flat_hydrographs_are_duplicates(spark):
+    q = spark.createDataFrame([("e", s, float(t), v) for s, f in (("a", 0), ("b", 0), ("c", 1)) for t, v in enumerate((1.0 + f * k for k in range(5)))],
+                              "event_id string, source_id string, time double, q double")
+    assert [(r.source_id, r.other_source) for r in H.shape_duplicates(q).collect()] == [("a", "b")]
+
+
+def test_nested_outlets_and_cycles(spark):
+    r = spark.createDataFrame([(3, 2), (2, 1), (1, None), (7, 8), (8, 9), (9, 7)], "hydroseq int, dnhydroseq int")
+    got = {(x.hydroseq, x.outlet) for x in Y.upstream(r, spark.createDataFrame([(1,), (2,)], "outlet int")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (2, 2), (3, 2)}
+
+
+def test_far_points_still_find_a_cell(spark):
+    pts = spark.createDataFrame([(1, 1e6, 0.0), (2, None, 0.0)], "pid int, x double, y double")
+    cells = spark.createDataFrame([(9, 0.0, 0.0)], "cid int, cx double, cy double")
+    got = nearest(pts, cells, "pid", "x", "y", "cid", "cx", "cy", 1e-3, unbounded=True).collect()
+    assert [(r.pid, r.cid, r.distance) for r in got] == [(1, 9, 1e6)]
 
 
 def test_realize_draws_only_near_members(spark):

@@ -45,6 +45,11 @@ def finite(c) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
 
 
+def over(c: Column) -> Column:
+    """A divisor: null in place of zero, so that a degenerate group gives null and does not end the job."""
+    return F.when(c != 0, c)
+
+
 def clip(c: Column, lo, hi) -> Column:
     """Clip that keeps null as null (least/greatest skip nulls)."""
     lo = lo if isinstance(lo, Column) else F.lit(float(lo))
@@ -59,10 +64,12 @@ def listed(by) -> list[str]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only when none is set."""
+    """Use the shared folder the cluster names; a temporary one only on a local master that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 

@@ -67,6 +67,11 @@ def bfs(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src"
             seen = cut(seen)
 
 
+def doublings(nodes: DataFrame) -> int:
+    """Rounds of pointer doubling after which every pointer of a forest has left it."""
+    return max(1, nodes.count()).bit_length() + 1
+
+
 def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], largest: tuple[str, ...] = ()) -> DataFrame:
     """Sum (or maximum, for `largest`) of each value over a node and all its descendants, by pointer doubling.
 
@@ -75,7 +80,9 @@ def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], lar
     """
     cur = cut(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"),
                           *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values]))
-    while not cur.where("a is not null").isEmpty():
+    for _ in range(doublings(cur)):
+        if cur.where("a is not null").isEmpty():
+            break
         gain = cur.where("a is not null").groupBy(F.col("a").alias("n")).agg(
             *[(F.max(v) if v in largest else F.sum(v)).alias(f"_{v}") for v in values])
         jump = cur.select(F.col("n").alias("a"), F.col("a").alias("_aa"))
@@ -83,30 +90,47 @@ def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], lar
         cur = cut(grown.select("n", F.col("_aa").alias("a"),
                                *[(F.greatest(v, f"_{v}") if v in largest else F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0.0))).alias(v)
                                  for v in values]))
-    return cur.select(F.col("n").alias(node), *values)
+    # Pointers that are left stand on a cycle or lead into one; such nodes have no finite subtree.
+    return cur.select(F.col("n").alias(node), *[F.when(F.col("a").isNull(), F.col(v)).alias(v) for v in values])
 
 
 def root_sums(tree: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """Sum of a value over the path from each node up to its root (node included), by pointer doubling."""
     cur = cut(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))
-    while not cur.where("a is not null").isEmpty():
+    for _ in range(doublings(cur)):
+        if cur.where("a is not null").isEmpty():
+            break
         up = cur.select(F.col("n").alias("a"), F.col("v").alias("_v"), F.col("a").alias("_a"))
         cur = cut(cur.join(up, "a", "left").select("n", F.col("_a").alias("a"), (F.col("v") + F.coalesce("_v", F.lit(0.0))).alias("v")))
-    return cur.select(F.col("n").alias(node), F.col("v").alias(value))
+    return cur.select(F.col("n").alias(node), F.when(F.col("a").isNull(), F.col("v")).alias(value))
 
 
 def drains_to(reaches: DataFrame, outlets: DataFrame, node: str, down: str, outlet: str) -> DataFrame:
-    """Every (node, outlet) where the downstream path of node meets that outlet first, node included.
+    """Every (node, outlet) where the downstream path of node meets the outlet, node included.
 
-    Outlets end a path; other reaches double their downstream pointer each round.
+    A first pass gives each reach the outlet it meets first: outlets end a path, other reaches double their
+    downstream pointer each round. Outlets below outlets follow by joining pairs of outlets only. A reach with several
+    downstream links follows all of them; paths that run into a cycle without an outlet end there.
     """
     o = outlets.select(F.col(outlet).alias("n"), F.col(outlet).alias("o")).distinct()
-    cur = cut(reaches.select(F.col(node).alias("n"), F.col(down).alias("d")).dropDuplicates(["n"]).join(
-        o, "n", "left").select("n", "o", F.when(F.col("o").isNull(), F.col("d")).alias("d")))
-    while not cur.where("o is null and d is not null").isEmpty():
+    links = cut(reaches.select(F.col(node).alias("n"), F.col(down).alias("d")).distinct())
+    cur = cut(links.join(o, "n", "left").select("n", "o", F.when(F.col("o").isNull(), F.col("d")).alias("d")).distinct())
+    for _ in range(doublings(cur)):
+        if cur.where("o is null and d is not null").isEmpty():
+            break
         nxt = cur.select(F.col("n").alias("d"), F.col("o").alias("_o"), F.col("d").alias("_d"))
-        # A pointer that leaves the table, or loops back to its own node, ends there.
         step = cur.join(nxt, "d", "left").select("n", F.coalesce("o", "_o").alias("o"), F.when(
             F.col("o").isNull() & F.col("_o").isNull() & (F.col("_d") != F.col("n")), F.col("_d")).alias("d"))
-        cur = cut(step)
-    return cur.where("o is not null").select(F.col("n").alias(node), F.col("o").alias(outlet))
+        cur = cut(step.distinct())
+    first = cur.where("o is not null").select("n", "o").distinct()
+    # The outlet below an outlet is the first one its own downstream reach meets.
+    below = links.join(o.select("n"), "n").select(F.col("n").alias("a"), F.col("d").alias("n")).join(first, "n").select("a", F.col("o").alias("b"))
+    pairs = cut(below.where("a <> b").distinct())
+    while True:
+        more = cut(pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).unionByName(pairs)
+                   .where("a <> b").distinct())
+        if more.count() == pairs.count():
+            break
+        pairs = more
+    deeper = first.join(pairs.withColumnRenamed("a", "o"), "o").select("n", F.col("b").alias("o"))
+    return first.unionByName(deeper).distinct().select(F.col("n").alias(node), F.col("o").alias(outlet))

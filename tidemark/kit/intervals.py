@@ -49,21 +49,23 @@ def asof(left: DataFrame, right: DataFrame, lt: str, rt: str, values: list[str],
 
 
 def nearest(points: DataFrame, cells: DataFrame, pid: str, px: str, py: str, cid: str, cx: str, cy: str,
-            radius: float, unbounded: bool = False, max_rounds: int = 60) -> DataFrame:
+            radius: float, unbounded: bool = False) -> DataFrame:
     """Nearest cell of each point: (pid, cid, distance); ties take the smallest cid.
 
     Points look at the 3x3 grid squares of size `radius`. With `unbounded`, points that found
-    nothing within the square size try again with squares twice as large, against one
-    representative square table first, so far-off points do not meet every cell.
+    nothing within the square size try again with squares twice as large, until every point has its
+    cell. Points and cells without finite coordinates take no part.
     """
     # Cells on the same spot are one candidate; copies collapse before any join.
     spots = cells.groupBy(F.col(cx).cast("double").alias("_cx"), F.col(cy).cast("double").alias("_cy")).agg(
         F.min(cid).alias(cid))
-    pts = points.select(pid, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"))
+    spots = spots.where(F.abs("_cx") + F.abs("_cy") < float("inf"))
+    pts = points.select(pid, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py")).where(
+        F.abs("_px") + F.abs("_py") < float("inf"))
     if unbounded:
         spots, pts = cut(spots), cut(pts)
     size, out, left = float(radius), None, pts
-    for _ in range(max_rounds):
+    while True:
         found = _ring(left, spots, pid, cid, size)
         hits = found.where(F.col("distance") <= size)
         if not unbounded:
@@ -74,7 +76,6 @@ def nearest(points: DataFrame, cells: DataFrame, pid: str, px: str, py: str, cid
         if left.isEmpty() or spots.isEmpty():
             return out
         size *= 2.0
-    return out
 
 
 def _ring(pts: DataFrame, spots: DataFrame, pid: str, cid: str, size: float) -> DataFrame:
@@ -126,7 +127,8 @@ def knn(targets: DataFrame, members: DataFrame, tid: str, mid: str, dims: list[s
 
     Target columns are `t_<dim>`, member columns `m_<dim>`. `first_gap` is a lower bound of `distance`
     from the first dimension alone. A target is settled once its k-th distance is no larger than the
-    lower bound at both window edges; only unsettled targets widen (x4).
+    lower bound at both window edges; only unsettled targets widen (x4). Where no distance can be
+    taken, for a null coordinate, it counts as 0 and the window first looked at gives the members.
     """
     m0, t0 = f"m_{dims[0]}", f"t_{dims[0]}"
     ranked = cut(row_numbers(members.withColumn("_tie", F.xxhash64(mid).cast("double")), None, m0, "_tie", "_rk").drop("_tie"))
@@ -141,14 +143,14 @@ def knn(targets: DataFrame, members: DataFrame, tid: str, mid: str, dims: list[s
         lo, hi = F.greatest(F.lit(1), F.col("_at") - (half - 1)), F.least(F.lit(total), F.col("_at") + half)
         cand = left.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(
             "_rk", F.explode(F.sequence("_lo", "_hi")))
-        near = cand.join(ranked, "_rk").withColumn("distance", distance).withColumn("_edge", first_gap)
+        near = cand.join(ranked, "_rk").withColumn("distance", F.coalesce(distance, F.lit(0.0))).withColumn("_edge", first_gap)
         near = near.withColumn("near_rank", F.row_number().over(w))
         full = Window.partitionBy(tid)
         low_edge = F.max(F.when((F.col("_rk") == F.col("_lo")) & (F.col("_lo") > 1), F.col("_edge"))).over(full)
         high_edge = F.max(F.when((F.col("_rk") == F.col("_hi")) & (F.col("_hi") < total), F.col("_edge"))).over(full)
         kth = F.max(F.when(F.col("near_rank") <= k, F.col("distance"))).over(full)
         settled = (low_edge.isNull() | (kth < low_edge)) & (high_edge.isNull() | (kth < high_edge))
-        near = cut(near.withColumn("_ok", settled).where(F.col("near_rank") <= k))
+        near = cut(near.withColumn("_ok", F.coalesce(settled, F.lit(True))).where(F.col("near_rank") <= k))
         good = near.where("_ok").drop("_ok", "_lo", "_hi", "_rk", "_edge", "_at")
         out = good if out is None else out.unionByName(good)
         rest = left.join(near.where("not _ok").select(tid).distinct(), tid, "left_semi")

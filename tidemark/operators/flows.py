@@ -93,7 +93,7 @@ def align_observations(records: DataFrame, clock: DataFrame, step_s: float, orig
 
 def kge(sim, obs) -> Column:
     """Kling-Gupta efficiency as an aggregate column (population deviations)."""
-    r = F.corr(sim, obs)
+    r = F.covar_pop(sim, obs) / F.nullif(F.stddev_pop(sim) * F.stddev_pop(obs), F.lit(0.0))
     a = F.stddev_pop(sim) / F.nullif(F.stddev_pop(obs), F.lit(0.0))
     b = F.avg(sim) / F.nullif(F.avg(obs), F.lit(0.0))
     return 1.0 - F.sqrt((r - 1) ** 2 + (a - 1) ** 2 + (b - 1) ** 2)
@@ -252,8 +252,8 @@ def shape_duplicates(q: DataFrame, limit: float = 0.9999, event: str = "event_id
     projection on a hashed direction falls in the same or the next bucket of that width, then checked exactly.
     """
     s = q.groupBy(event, source, time).agg(F.avg(finite(flow)).alias("_v")).where("_v is not null")
-    st = s.groupBy(event, source).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_d"), F.count(F.lit(1)).alias("_n")).where("_d > 0")
-    z = s.join(st, [event, source]).withColumn("_z", (F.col("_v") - F.col("_m")) / (F.col("_d") * F.sqrt("_n")))
+    st = s.groupBy(event, source).agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_d"), F.count(F.lit(1)).alias("_n"))
+    z = s.join(st.where("_d > 0"), [event, source]).withColumn("_z", (F.col("_v") - F.col("_m")) / (F.col("_d") * F.sqrt("_n")))
     # A unit direction per event: hashed weights normalised over its instants.
     g = (F.pmod(F.xxhash64(F.col(time).cast("string")), F.lit(2001)) - 1000) / 1000.0
     norm = s.select(event, time).distinct().groupBy(event).agg(F.sqrt(F.sum(g * g)).alias("_gn"))
@@ -269,7 +269,12 @@ def shape_duplicates(q: DataFrame, limit: float = 0.9999, event: str = "event_id
     theirs = z.select(event, F.col(source).alias("_o"), time, F.col("_z").alias("_oz"))
     dot = near.join(mine, [event, source]).join(theirs, [event, "_o", time]).groupBy(event, source, "_o").agg(
         F.sum(F.col("_z") * F.col("_oz")).alias("correlation"))
-    return dot.where(F.col("correlation") >= limit).withColumnRenamed("_o", "other_source")
+    # Flat hydrographs of one length have one shape: each is paired with the first of them.
+    flat = st.where("_d = 0").select(event, source, "_n")
+    first = flat.groupBy(event, "_n").agg(F.min(source).alias("_a"))
+    flats = flat.join(first, [event, "_n"]).where(F.col(source) > F.col("_a")).select(
+        event, F.col("_a").alias(source), F.col(source).alias("_o"), F.lit(1.0).alias("correlation"))
+    return dot.where(F.col("correlation") >= limit).unionByName(flats).withColumnRenamed("_o", "other_source")
 
 
 def initial_depth(q: DataFrame, hours: float, reference_q: float, reference_depth: float, lo: float, hi: float, by,

@@ -185,6 +185,7 @@ def assign_profiles(loads: DataFrame, pool: DataFrame, seed: int, name: str = "l
     return j.withColumn("archetype", F.element_at("_opts", pick)).withColumn("tariff", tariff(finite(kw), F.col("customer_class"))).drop("_opts")
 
 
+# The five schedule shapes in `load_shape`, with their hours, levels and slopes.
 def load_shape(kind: Column, hour: Column) -> Column:
     """Share of peak load at an hour of the year for the five schedule shapes (business hours when unknown)."""
     hod = hour % 24
@@ -192,11 +193,11 @@ def load_shape(kind: Column, hour: Column) -> Column:
     doy = F.floor(hour / 24) % 365
     pi = math.pi
     always = F.least(F.lit(1.0), F.greatest(F.lit(0.62), 0.8 + 0.2 * F.sin(pi * (hod - 1) / 24)))
-    office = F.when(hod.between(9, 17), 0.18 + 0.82 * F.sin(pi * (hod - 8.5) / 9)).otherwise(0.18)
+    office = F.when(hod.between(9, 17), 0.18 + 0.82 * F.sin(pi * (hod - (9 - 0.5)) / 9)).otherwise(0.18)
     office = F.greatest(F.lit(0.0), F.when(dow >= 5, F.least(office, F.lit(0.30))).otherwise(office))
     office = F.when(hour == 61, 1.0).otherwise(office)
-    class_day = F.when(hod.between(7, 15), 0.10 + 0.90 * F.sin(pi * (hod - 6.5) / 9)).otherwise(0.10)
-    school = F.when((dow >= 5) | doy.between(165, 244), 0.05).otherwise(class_day)
+    class_day = F.when(hod.between(7, 15), 0.10 + 0.90 * F.sin(pi * (hod - (7 - 0.5)) / 9)).otherwise(0.10)
+    school = F.when((dow >= 5) | ((doy >= 165) & (doy < 245)), 0.05).otherwise(class_day)
     home = 0.30 + 0.40 * F.exp(-((hod - 7) ** 2) / 6.0) + 0.70 * F.exp(-((hod - 19) ** 2) / 8.0)
     home = F.least(F.lit(1.0), F.when(dow >= 5, home * 1.10).otherwise(home))
     plant = F.greatest(F.lit(0.85), F.least(F.lit(1.0), 0.92 + 0.06 * F.sin(2 * pi * (hod - 6) / 24)))

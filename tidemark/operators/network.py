@@ -197,19 +197,20 @@ def orient_feeders(buses: DataFrame, lines: DataFrame, sources: DataFrame, loads
     """Rooted trees: (component, node, parent, hops, exposure).
 
     Root is the smallest source bus of the component, else the bus with most lines, then most load, then smallest id. Parents come from a
-    breadth-first walk, the lowest id among first arrivals; other edges are dropped as loops or parallels.
+    breadth-first walk, the lowest id among first arrivals; other edges are dropped as loops or parallels. A line
+    without a length counts 1; buses without a line form no feeder.
     """
     comp = cut(bus_components(buses, lines))
     deg = lines.select(F.explode(F.array("from_bus", "to_bus")).alias("bus")).groupBy("bus").agg(F.count(F.lit(1)).alias("_d"))
     kw = loads.groupBy("bus").agg(F.sum(finite("kw")).alias("_kw"))
     c = comp.join(deg, "bus", "left").join(kw, "bus", "left").join(sources.select("bus").distinct().withColumn("_s", F.lit(True)), "bus", "left")
-    pick = c.groupBy("component").agg(F.min(F.when(F.col("_s"), F.col("bus"))).alias("s"), F.min(F.struct(
+    pick = c.where("_d is not null").groupBy("component").agg(F.min(F.when(F.col("_s"), F.col("bus"))).alias("s"), F.min(F.struct(
         (-F.coalesce("_d", F.lit(0))).alias("d"), (-F.coalesce("_kw", F.lit(0.0))).alias("k"), "bus")).alias("m"))
     root = pick.select(F.coalesce("s", "m.bus").alias("node"), F.col("component").alias("label"))
     walk = bfs(root, lines.select(F.col("from_bus").alias("src"), F.col("to_bus").alias("dst")))
     ex = lines.select(F.least("from_bus", "to_bus").alias("_lo"), F.greatest("from_bus", "to_bus").alias("_hi"), finite(exposure).alias("_x")).groupBy("_lo", "_hi").agg(F.min("_x").alias("exposure"))
     j = walk.withColumn("_lo", F.least("node", "parent")).withColumn("_hi", F.greatest("node", "parent")).join(ex, ["_lo", "_hi"], "left")
-    return j.select(F.col("label").alias("component"), "node", "parent", "hops", F.when(F.col("parent").isNotNull(), F.coalesce("exposure", F.lit(0.0))).otherwise(0.0).alias("exposure"))
+    return j.select(F.col("label").alias("component"), "node", "parent", "hops", F.when(F.col("parent").isNotNull(), F.coalesce("exposure", F.lit(1.0))).otherwise(0.0).alias("exposure"))
 
 
 def switch_benefit(tree: DataFrame, loads: DataFrame) -> DataFrame:

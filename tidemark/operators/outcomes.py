@@ -114,6 +114,7 @@ def rp_class(rp: str):
     return out
 
 
+# Names of the response columns.
 RESPONSE_MEDIANS = {"median_rp_years": ("sample_rp_years", 0.5), "median_peak_boundary_m": ("bzs_peak_max_m", 0.5), "median_rainfall_mm": ("rainfall_metric_mm", 0.5),
                     "median_peak_depth_m": ("peak_incremental_land_depth_m", 0.5), "p90_peak_depth_m": ("peak_incremental_land_depth_m", 0.9),
                     "median_peak_area_km2": ("peak_incremental_flooded_area_km2", 0.5), "p90_anytime_area_km2": ("anytime_incremental_flooded_area_km2", 0.9),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.mathx import erf
 from ..kit.blocks import quantiles, row_numbers, running
-from ..kit.common import DAY, HOUR, YEAR, cut, finite, from_secs, listed, secs
+from ..kit.common import DAY, HOUR, YEAR, cut, finite, from_secs, listed, over, secs
 from ..kit.dominance import count_exceeding
 from ..kit.intervals import interval_join
 from ..kit.sessions import anchored_events, greedy_peaks, sessions
@@ -117,10 +117,10 @@ def mann_kendall(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
     n = F.col("n")
     n0 = n * (n - 1) / 2
     s = F.col("_con") - F.col("_dis")
-    tau = s / F.sqrt((n0 - F.col("_tx")) * (n0 - F.col("_ty")))
+    tau = s / over(F.sqrt((n0 - F.col("_tx")) * (n0 - F.col("_ty"))))
     var = (n * (n - 1) * (2 * n + 5) - F.col("_txv") - F.col("_tyv")) / 18.0
-    pval = 1.0 - erf(F.abs(s) / F.sqrt(var) / F.sqrt(F.lit(2.0)))
-    verdict = F.when(pval >= 0.05, "no detectable trend").when(s > 0, "rising trend").otherwise("falling trend")
+    pval = 1.0 - erf(F.abs(s) / over(F.sqrt(var)) / F.sqrt(F.lit(2.0)))
+    verdict = F.when(pval.isNull() | (pval >= 0.05), "no detectable trend").when(s > 0, "rising trend").otherwise("falling trend")
     return base.select(*by, n.cast("bigint").alias("n"), tau.alias("tau"), pval.alias("p_value"), verdict.alias("verdict"))
 
 

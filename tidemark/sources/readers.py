@@ -43,7 +43,7 @@ def flatten_tracks(lines: DataFrame, path: str = "path", line_no: str = "line_no
     size; files spread over tasks.
     """
     p = lines.where(F.trim(text) != "").withColumn("_p", F.transform(F.split(text, ","), lambda x: F.trim(x)))
-    p = p.withColumn("_head", (F.size("_p") >= 3) & F.col("_p")[0].rlike("^[A-Za-z]{2}[0-9]+$") & F.col("_p")[2].try_cast("int").isNotNull())
+    p = p.withColumn("_head", (F.size("_p") >= 3) & (F.size("_p") < 7) & F.get(F.col("_p"), F.lit(2)).try_cast("int").isNotNull())
     w = Window.partitionBy(path).orderBy(line_no)
     p = p.withColumn("_h", F.last(F.when(F.col("_head"), F.struct(F.col(line_no).alias("at"), F.col("_p")[0].alias("id"), F.col("_p")[1].alias("name"), F.col("_p")[2].try_cast("int").alias("n"))), True).over(w))
     # Blank lines do not count, so the place is a rank within the header's block.

@@ -36,7 +36,8 @@ def stream_impacts(stream: DataFrame, assets: DataFrame, curves: DataFrame, mapp
 
 
 def stream_duration_depth(stream: DataFrame, hours: int, stride_hours: int, by: list[str], late: str = "1 hour", time: str = "time", value: str = "value") -> DataFrame:
-    """Sliding rainfall totals per cell; only windows with every hour present."""
+    """Sliding rainfall totals per cell; only windows in which every hour has a reading, however many each has."""
     s = stream.withWatermark(time, late)
-    g = s.groupBy(F.window(time, f"{hours} hours", f"{stride_hours} hours").alias("w"), *by).agg(F.sum(value).alias("depth"), F.count(value).alias("n"))
+    g = s.groupBy(F.window(time, f"{hours} hours", f"{stride_hours} hours").alias("w"), *by).agg(F.sum(value).alias("depth"),
+        F.size(F.collect_set(F.when(F.col(value).isNotNull(), F.date_trunc("hour", F.col(time))))).alias("n"))
     return g.where(F.col("n") == hours).select(*by, F.col("w.start").alias("storm_date"), F.col("w.end").alias("window_end"), "depth")

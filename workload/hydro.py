@@ -11,7 +11,7 @@ from .outcomes import XY, points
 
 
 @query("upstream", """WITH RECURSIVE n AS (SELECT c_custkey AS k, CASE WHEN c_custkey > 0 THEN c_custkey // 2 END AS p, c_mktsegment = 'BUILDING' AS o FROM customer),
-w AS (SELECT k, k AS cur FROM n UNION ALL SELECT w.k, n.p FROM w JOIN n ON n.k = w.cur WHERE NOT n.o AND n.p IS NOT NULL)
+w AS (SELECT k, k AS cur FROM n UNION SELECT w.k, n.p FROM w JOIN n ON n.k = w.cur WHERE n.p IS NOT NULL)
 SELECT w.k AS hydroseq, cur AS outlet FROM w JOIN n ON n.k = cur WHERE n.o""")
 def upstream(t):
     k = F.col("c_custkey")
