@@ -27,12 +27,14 @@ from .common import cut, documents, let
 # is named). The alternatives and their order are those of public_tokenizers.PATTERN.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
            r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+")
-NONE = 2**31 - 1
+#: An entry of the fold: 17 bits of rank, 29 of place and 17 of id. The largest rank stands for "no such pair".
+ID_BITS, START_BITS = 17, 29
+NONE = (1 << ID_BITS) - 1
+CLOSED = NONE << (START_BITS + ID_BITS)
 RANK_SLOTS = 1 << 16
 PAIR_SLOTS = 1 << 18
 WORD_SLOTS = 1 << 17
 #: Above any id; parts the two ids of a pair in one long.
-WIDE = 1 << 24
 #: Documents that choose the frequent words, and most frequent words kept: bounds on the second constant.
 SAMPLE_DOCS = 24_000
 MOST_WORDS = 120_000
@@ -67,12 +69,15 @@ class Bpe:
         one = spark.createDataFrame([(lines,)], "lines string")
         cut_line = F.split("line", " ")
         self.vocab = cut(one.select(F.explode(F.split("lines", "\n")).alias("line")).where("line <> ''").select(
-            F.unbase64(cut_line[0]).alias("piece"), cut_line[1].cast("int").alias("id")))
+            F.unbase64(cut_line[0]).alias("piece"), cut_line[1].cast("long").alias("id")))
+        last, least = self.vocab.agg(F.max("id"), F.count(F.when(F.length("piece") == 1, 1))).first()
+        if last >= NONE or least != 256:
+            raise ValueError(f"a rank file needs every single byte and ids below {NONE}")
         # Ids may have gaps: the piece of id i stands at place i.
-        by_id = spark.range(self.vocab.agg(F.max("id")).first()[0] + 1).select(F.col("id").cast("int").alias("id")).join(
-            self.vocab, "id", "left")
+        by_id = spark.range(last + 1).join(self.vocab, "id", "left")
         pieces = by_id.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.hex("piece").alias("h")))), lambda s: s["h"])
                            .alias("pieces")).scalar()
+        codes = by_id.agg(F.transform(F.sort_array(F.collect_list("id")), id_hex).alias("codes")).scalar()
         halves = self.vocab.where(F.length("piece") > 1).select("piece", "id", F.explode(F.sequence(F.lit(1), F.length("piece") - 1)).alias("k")).select(
             F.substring("piece", F.lit(1), F.col("k")).alias("l"), F.substring("piece", F.col("k") + 1, F.length("piece")).alias("r"), "id")
         part = lambda side: self.vocab.select(F.col("piece").alias(side), F.col("id").alias(f"{side}_id"))
@@ -80,22 +85,32 @@ class Bpe:
             pair_key(F.col("l_id"), F.col("r_id")).alias("pair"), pair_slot(F.col("l_id"), F.col("r_id")).alias("at"), "id"))
         every = spark.range(256).select(F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("piece"), F.col("id").alias("b"))
         single = every.join(self.vocab, "piece", "left").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("b", F.coalesce("id", F.lit(NONE)).alias("id")))), lambda x: x["id"]).alias("bytes")).scalar()
+            F.transform(F.sort_array(F.collect_list(F.struct("b", "id"))), lambda x: x["id"]).alias("bytes")).scalar()
         self.constants = {"ranks": slots(self.vocab, "piece", F.col("id"), RANK_SLOTS), "pairs": slots(pairs, "pair", F.col("id"), PAIR_SLOTS, F.col("at")),
-                          "bytes": single, "pieces": pieces}
+                          "bytes": single, "pieces": pieces, "codes": codes}
+
+
+def id_hex(i: Column) -> Column:
+    """An id as eight hex digits of a little-endian unsigned 32-bit integer."""
+    h = F.lpad(F.hex(i), 8, "0")
+    return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
 
 
 def pair_key(a: Column, b: Column) -> Column:
-    return a.cast("long") * WIDE + b
+    return F.shiftleft(a, ID_BITS).bitwiseOR(b)
 
 
 def pair_slot(a: Column, b: Column) -> Column:
-    return (a.cast("long") * 40503 + b) % PAIR_SLOTS
+    return (a * long(40503) + b).bitwiseAND(long(PAIR_SLOTS - 1))
+
+
+def long(i: int) -> Column:
+    return F.lit(i).cast("long")
 
 
 def rank(c: Column, a: Column, b: Column) -> Column:
-    """Rank of two joined pieces, or NONE."""
-    return F.coalesce(F.try_element_at(F.get(c["pairs"], pair_slot(a, b)), pair_key(a, b)), F.lit(NONE))
+    """Rank of two joined pieces, or NONE, also where one of them is null."""
+    return F.coalesce(F.try_element_at(F.get(c["pairs"], pair_slot(a, b)), pair_key(a, b)), long(NONE))
 
 
 def fold(c: Column, word: Column) -> Column:
@@ -103,30 +118,39 @@ def fold(c: Column, word: Column) -> Column:
     return let(look_up(c["ranks"], RANK_SLOTS, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(c, word)))
 
 
+def entry(c: Column, a: Column, b: Column, start: Column) -> Column:
+    """A piece in the fold, as one long: rank of the pair that it opens, its first byte's place, its id. The least entry
+    is therefore the leftmost pair of lowest rank."""
+    return F.shiftleft(rank(c, a, b), START_BITS + ID_BITS).bitwiseOR(start).bitwiseOR(a)
+
+
+def entry_id(e: Column) -> Column:
+    return e.bitwiseAND(long(NONE))
+
+
 def merged(c: Column, word: Column) -> Column:
     def step(acc: Column, _: Column) -> Column:
-        ids, ranks = acc["ids"], acc["ranks"]
-        return let(F.array_min(ranks), lambda low: F.when(F.coalesce(low, F.lit(NONE)) == NONE, acc).otherwise(
-            let(F.array_position(ranks, low).cast("int"), lambda i: joined(ids, ranks, low, i))))
-
-    def joined(ids: Column, ranks: Column, new: Column, i: Column) -> Column:
-        left, right = F.get(ids, i - 2), F.get(ids, i + 1)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                     F.when(left.isNotNull(), F.array(rank(c, left, new))).otherwise(no_ids()),
-                     F.when(right.isNotNull(), F.array(rank(c, new, right))).otherwise(no_ids()),
-                     F.slice(ranks, i + 2, F.size(ranks))).alias("ranks"))
+        return let(F.array_min(acc), lambda low: F.when(low >= CLOSED, acc).otherwise(
+            let(F.array_position(acc, low).cast("int"), lambda i: let(
+                F.shiftright(low, START_BITS + ID_BITS), lambda new: joined(acc, low, i, new)))))
+
+    def joined(acc: Column, low: Column, i: Column, new: Column) -> Column:
+        here = entry(c, new, entry_id(F.get(acc, i + 1)), start_of(low))
+        after = F.slice(acc, i + 2, F.size(acc))
+        left = lambda e: entry(c, entry_id(e), new, start_of(e))
+        return F.when(i == 1, F.concat(F.array(here), after)).otherwise(
+            F.concat(F.slice(acc, F.lit(1), i - 2), F.array(let(F.get(acc, i - 2), left), here), after))
 
     # Bytes as the characters of a one-byte character set, for their numbers.
     chars = F.decode(word, "ISO-8859-1")
     singles = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(c["bytes"], F.ascii(F.substring(chars, i, F.lit(1)))))
-    return let(singles, lambda ids: F.aggregate(ids, F.struct(ids.alias("ids"), F.when(F.size(ids) > 1, F.transform(
-        F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: rank(c, a, F.get(ids, i + 1)))).otherwise(no_ids()).alias("ranks")), step, lambda acc: acc["ids"]))
+    entries = let(singles, lambda ids: F.transform(ids, lambda a, i: entry(c, a, F.get(ids, i + 1), F.shiftleft(i.cast("long"), ID_BITS))))
+    return let(entries, lambda e: F.aggregate(e, e, step, lambda acc: F.transform(acc, entry_id)))
 
 
-def no_ids() -> Column:
-    return F.array().cast("array<int>")
+def start_of(e: Column) -> Column:
+    """The place in an entry, where it stands."""
+    return e.bitwiseAND(F.lit(((1 << START_BITS) - 1) << ID_BITS))
 
 
 def words(text: Column) -> Column:
@@ -134,16 +158,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def id_hex(i: Column) -> Column:
-    """An id as eight hex digits of a little-endian unsigned 32-bit integer."""
-    h = F.lpad(F.hex(i.cast("long")), 8, "0")
-    return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
-
-
 def coded(c: Column, word: Column) -> Column:
     """struct(ids, raw) of a word as hex strings: its ids, and the bytes that decoding these ids gives."""
     return let(fold(c, F.encode(word, "UTF-8")), lambda ids: F.struct(
-        F.array_join(F.transform(ids, id_hex), "").alias("ids"), decode_hex(c, ids).alias("raw")))
+        F.array_join(F.transform(ids, lambda i: F.get(c["codes"], i)), "").alias("ids"), decode_hex(c, ids).alias("raw")))
 
 
 def decode_hex(c: Column, ids: Column) -> Column:
