@@ -34,7 +34,6 @@ CLOSED = NONE << (START_BITS + ID_BITS)
 RANK_SLOTS = 1 << 16
 PAIR_SLOTS = 1 << 18
 WORD_SLOTS = 1 << 17
-#: Above any id; parts the two ids of a pair in one long.
 #: Documents that choose the frequent words, and most frequent words kept: bounds on the second constant.
 SAMPLE_DOCS = 24_000
 MOST_WORDS = 120_000
@@ -129,17 +128,20 @@ def entry_id(e: Column) -> Column:
 
 
 def merged(c: Column, word: Column) -> Column:
+    # Places in an entry are unique, so an entry is replaced by removing its value and inserting the new one: array_remove
+    # and array_insert copy the array once, where slices and their concatenation go through lazy lists.
     def step(acc: Column, _: Column) -> Column:
-        return let(F.array_min(acc), lambda low: F.when(low >= CLOSED, acc).otherwise(
-            let(F.array_position(acc, low).cast("int"), lambda i: let(
-                F.shiftright(low, START_BITS + ID_BITS), lambda new: joined(acc, low, i, new)))))
+        place = lambda low: F.array_position(acc, low).cast("int")
+        return F.when(F.array_min(acc) >= CLOSED, acc).otherwise(let(F.array_min(acc), lambda low: let(place(low), lambda i: joined(
+            acc, low, i, F.shiftright(low, START_BITS + ID_BITS)))))
 
     def joined(acc: Column, low: Column, i: Column, new: Column) -> Column:
-        here = entry(c, new, entry_id(F.get(acc, i + 1)), start_of(low))
-        after = F.slice(acc, i + 2, F.size(acc))
-        left = lambda e: entry(c, entry_id(e), new, start_of(e))
-        return F.when(i == 1, F.concat(F.array(here), after)).otherwise(
-            F.concat(F.slice(acc, F.lit(1), i - 2), F.array(let(F.get(acc, i - 2), left), here), after))
+        def put(entries: Column, old: Column, at: Column, e: Column) -> Column:
+            return F.array_insert(F.array_remove(entries, old), at, e)
+
+        here = put(F.array_remove(acc, F.get(acc, i)), low, i, entry(c, new, entry_id(F.get(acc, i + 1)), start_of(low)))
+        before = F.get(acc, i - 2)
+        return F.when(i == 1, here).otherwise(put(here, before, i - 1, entry(c, entry_id(before), new, start_of(before))))
 
     # Bytes as the characters of a one-byte character set, for their numbers.
     chars = F.decode(word, "ISO-8859-1")
