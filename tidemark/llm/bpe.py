@@ -176,26 +176,27 @@ def decode(df: DataFrame, bpe: Bpe, ids: str = "ids", to: str = "decoded") -> Da
     return with_constants(df, to, bpe.constants, lambda c: F.unhex(decode_hex(c, F.col(ids))))
 
 
-def frequent(docs: DataFrame, bpe: Bpe) -> Column:
+def frequent(docs: DataFrame, bpe: Bpe, sample_docs: int, most_words: int) -> Column:
     """Constant map from frequent words to their coded form, chosen on a bounded sample of documents."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    share = min(1.0, sample_docs / max(1, docs.count()))
     step = 1 << 20
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) < max(1, int(share * step)))
     seen = cut(sample.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").count())
-    # The lowest count that leaves at most MOST_WORDS words; counts from `top` on are taken together.
+    # The lowest count that leaves at most `most_words` words; counts from `top` on are taken together.
     top = 1_000
     sizes = {r["c"]: r["n"] for r in seen.groupBy(F.least("count", F.lit(top)).alias("c")).agg(F.count("*").alias("n")).collect()}
     low, kept = top + 1, 0
-    while low > 1 and kept + sizes.get(low - 1, 0) <= MOST_WORDS:
+    while low > 1 and kept + sizes.get(low - 1, 0) <= most_words:
         low -= 1
         kept += sizes.get(low, 0)
     common = with_constants(seen.where(F.col("count") >= low).select("word"), "code", bpe.constants, lambda c: coded(c, F.col("word")))
     return slots(common, "word", F.col("code"), WORD_SLOTS)
 
 
-def encode(docs: DataFrame, bpe: Bpe) -> DataFrame:
-    """`docs` with `pieces`: per pre-token its ids and decoded bytes (hex strings), in text order."""
-    constants = bpe.constants | {"known": frequent(documents(docs), bpe)}
+def encode(docs: DataFrame, bpe: Bpe, sample_docs: int = SAMPLE_DOCS, most_words: int = MOST_WORDS) -> DataFrame:
+    """`docs` with `pieces`: per pre-token its ids and decoded bytes (hex strings), in text order. `sample_docs` and
+    `most_words` bound the constant of frequent words, which trades driver memory for time."""
+    constants = bpe.constants | {"known": frequent(documents(docs), bpe, sample_docs, most_words)}
     return with_constants(docs, "pieces", constants, lambda c: F.transform(words(F.col("text")), lambda w: F.coalesce(
         look_up(c["known"], WORD_SLOTS, w), coded(c, w))))
 
