@@ -31,7 +31,7 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encode(docs, bpe.Bpe(spark), sample_docs=48_000, most_words=240_000))
+    return bpe.digests(bpe.encode(docs, bpe.Bpe(spark), sample_docs=48_000, most_words=480_000))
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
