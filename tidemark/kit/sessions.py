@@ -87,8 +87,7 @@ def _round(rem, by, t, v, gap):
 def anchored_events(df: DataFrame, by, t: str, gap: float, name: str = "events") -> DataFrame:
     """Count of distinct events per key: left to right, a new one when >= gap after the last counted one.
 
-    A cell as long as the gap holds at most one counted instant, and input is reduced to distinct
-    instants first. The scan runs per session over bare instants.
+    Input is reduced to distinct instants first. The scan runs per session over bare instants.
     """
     by = listed(by)
     numbered = sessions(df.select(*by, F.col(t).cast("double").alias(t)).distinct(), by, t, gap, "_s")

@@ -148,7 +148,7 @@ def failure_events(states: DataFrame, elements: DataFrame, event: str = "event_i
     s = states.withColumn("_p", F.lag("state").over(w)).where("state = 'failed' and (_p is null or _p <> 'failed')")
     first = s.groupBy(event, "mc_draw", "asset_id").agg(F.min(time).alias("failed_at"))
     t0 = states.groupBy(event).agg(F.min(time).alias("_t0"))
-    j = first.join(F.broadcast(t0), event).join(elements, "asset_id", "left")
+    j = first.join(t0, event).join(elements, "asset_id", "left")
     step = F.greatest(F.lit(1), F.floor((F.col("failed_at") - F.col("_t0")) / 3600).cast("int") + 1)
     return j.select(event, "mc_draw", "asset_id", "failed_at", step.alias("timestep"), "element", F.col("element").isNull().alias("unmapped"))
 

@@ -22,7 +22,7 @@ def masked_depth(cells: DataFrame, static: DataFrame, kind: str = "incremental",
     """Flood depth in feet per (event, cell): peak level minus bed, above the first step's depth, null where not flooded."""
     lv = cells.groupBy(event, cell).agg(F.max(finite("zs")).alias("_top"), F.min(F.struct(t, finite("zs").alias("z"))).alias("_first"))
     first = cells.groupBy(event).agg(F.min(t).alias("_t0"))
-    j = lv.join(F.broadcast(first), event).join(static.select(cell, F.col("zb").cast("double").alias("_zb")), cell)
+    j = lv.join(first, event).join(static.select(cell, F.col("zb").cast("double").alias("_zb")), cell)
     base = F.when(F.col(f"_first.{t}") == F.col("_t0"), F.greatest(F.col("_first.z") - F.col("_zb"), F.lit(0.0)))
     depth = F.col("_top") - F.col("_zb")
     inc = depth - F.coalesce(base, F.lit(0.0))
@@ -36,16 +36,15 @@ def event_stats(cells: DataFrame, static: DataFrame, cell_area_m2: float, dt_hou
                 impact_m: float = 0.1, event: str = "event_id", cell: str = "cell", t: str = "t") -> DataFrame:
     """Flood statistics per event from three levels of aggregation: cell-step, cell, event.
 
-    The baseline depth of a cell comes from a window over its own steps; the per-cell aggregation after it
-    needs no further shuffle. Medians and p90 use counting, so no event's cells meet in one task.
+    The baseline depth of a cell comes from the rows of the event's first step alone. Medians and p90 use counting, so no event's cells meet in one task.
     """
     s = static.select(cell, F.col("zb").cast("double").alias("_zb"), F.col("active").alias("_act")).withColumn(
         "_land", F.col("_act") & (F.col("_zb") > land_above_m))
     first = cells.groupBy(event).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.countDistinct(t).alias("available_time_steps"))
-    rows = cells.join(F.broadcast(first), event).join(s, cell).where("_act")
-    depth = finite("zs") - F.col("_zb")
-    steps = Window.partitionBy(event, cell)  # one row per output step
-    r = rows.withColumn("_d", depth).withColumn("_base", F.when(F.col("_land"), F.max(F.when(F.col(t) == F.col("_t0"), F.greatest("_d", F.lit(0.0)))).over(steps)))
+    # The first step's depth of a cell: one row per cell, so the cell-step rows meet it in an equi join, not in a window.
+    dry = cells.join(first.select(event, F.col("_t0").alias(t)), [event, t], "left_semi").join(s.where("_land"), cell)
+    base = dry.groupBy(event, cell).agg(F.max(F.greatest(finite("zs") - F.col("_zb"), F.lit(0.0))).alias("_base"))
+    r = cells.join(s.where("_act"), cell).withColumn("_d", finite("zs") - F.col("_zb")).join(base, [event, cell], "left")
     inc = F.greatest(F.col("_d") - F.coalesce("_base", F.lit(0.0)), F.lit(0.0))
     r = r.withColumn("_inc", F.when(F.col("_land") & F.col("_d").isNotNull(), inc)).withColumn("_hit", F.coalesce(F.col("_inc") > impact_m, F.lit(False)))
     r = r.withColumn("_wetbase", F.coalesce(F.col("_base") > impact_m, F.lit(False)))
@@ -83,7 +82,7 @@ def event_stats(cells: DataFrame, static: DataFrame, cell_area_m2: float, dt_hou
 def boundary_stats(levels: DataFrame, event: str = "event_id", t: str = "t", point: str = "point", level: str = "level") -> DataFrame:
     """Boundary points, mean and max of the first step, overall max per event."""
     first = levels.groupBy(event).agg(F.min(t).alias("_t0"))
-    j = levels.join(F.broadcast(first), event)
+    j = levels.join(first, event)
     v, at0 = finite(level), F.col(t) == F.col("_t0")
     return j.groupBy(event).agg(F.countDistinct(point).alias("n_boundary_points"), F.avg(F.when(at0, v)).alias("bzs_t0_mean_m"),
                                 F.max(F.when(at0, v)).alias("bzs_t0_max_m"), F.max(v).alias("bzs_peak_max_m"))
@@ -239,7 +238,7 @@ def completed_runs(runs: DataFrame, scenario: str = "design_scenario", event: st
 def run_health(runs: DataFrame, cells: DataFrame, event: str = "event_id", t: str = "t") -> DataFrame:
     """Return code, step count, and the finite share and largest level of the last step."""
     last = cells.groupBy(event).agg(F.max(t).alias("_t1"), F.countDistinct(t).alias("time_steps"))
-    j = cells.join(F.broadcast(last), event).where(F.col(t) == F.col("_t1"))
+    j = cells.join(last, event).where(F.col(t) == F.col("_t1"))
     h = j.groupBy(event).agg(F.max("time_steps").alias("time_steps"), F.avg(finite("zs").isNotNull().cast("double")).alias("finite_share"), F.max(finite("zs")).alias("last_max_zs"))
     out = runs.join(h, event, "left")
     ok = (F.col("returncode") == 0) & (F.coalesce("finite_share", F.lit(0.0)) > 0)

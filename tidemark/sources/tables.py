@@ -29,8 +29,8 @@ def assign_gauge_roles(gauges: DataFrame, rules: DataFrame, handoff: DataFrame,
     name = F.upper(F.coalesce(F.col("site_name"), F.lit("")))
     hit = F.coalesce(F.array_contains("site_nos", F.col(site)), F.lit(False)) | (F.coalesce(F.col("contains"), F.lit("")) != "") & name.contains(F.upper("contains"))
     first = gauges.join(F.broadcast(rules), hit).groupBy(site).agg(F.min(F.struct("rule_order", "basin")).alias("r")).select(site, F.col("r.basin").alias("_basin"))
-    j = gauges.join(first, site, "left").join(F.broadcast(handoff.select(site, "handoff_id")), site, "left").join(
-        F.broadcast(overrides.select(site, F.col("review_status").alias("_st"), F.col("roles").alias("_roles"), F.col("basin").alias("_ob"))), site, "left")
+    j = gauges.join(first, site, "left").join(handoff.select(site, "handoff_id"), site, "left").join(
+        overrides.select(site, F.col("review_status").alias("_st"), F.col("roles").alias("_roles"), F.col("basin").alias("_ob")), site, "left")
     pattern = F.lit(False)
     for p in validation_only:
         pattern = pattern | name.contains(p.upper())
@@ -205,4 +205,4 @@ def unpivot_gauges(wide: DataFrame, gauges: DataFrame, time: str = "time") -> Da
     """Columns ending in _<index> to rows, joined to gauge ids and places."""
     cols = [c for c in wide.columns if c != time and (c.startswith("Q") or c.startswith("river_q"))]
     long = wide.unpivot([time], cols, "column", "q").withColumn("gauge_index", F.regexp_extract("column", r"_(\d+)$", 1).try_cast("bigint"))
-    return long.join(F.broadcast(gauges), "gauge_index").select(time, "gauge_index", *[c for c in gauges.columns if c != "gauge_index"], finite("q").alias("q"))
+    return long.join(gauges, "gauge_index").select(time, "gauge_index", *[c for c in gauges.columns if c != "gauge_index"], finite("q").alias("q"))

@@ -14,7 +14,7 @@ from ..operators.impact import ASSET_CLASS, failure_probability
 def stream_failed_fraction(stream: DataFrame, units: DataFrame, window: str = "15 minutes", late: str = "16 minutes", time: str = "timestamp_observed") -> DataFrame:
     """Failed share per control unit and event-time window; deliveries up to `late` behind still count, repeats once."""
     s = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(["asset_id", time])
-    j = s.join(F.broadcast(units), "asset_id")
+    j = s.join(units, "asset_id")
     return j.groupBy(F.window(time, window).alias("w"), "control_unit_id").agg(
         F.avg((F.col("state") == "failed").cast("double")).alias("failed_fraction"), F.count(F.lit(1)).alias("observations")).select(
         "control_unit_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failed_fraction", "observations")
@@ -30,7 +30,7 @@ def stream_exceedance_sessions(stream: DataFrame, u: float, gap: str, by: str =
 
 def stream_impacts(stream: DataFrame, assets: DataFrame, curves: DataFrame, mapping: dict[str, str] = ASSET_CLASS, at: float = 0.5) -> DataFrame:
     """Depth readings scored against static assets and curves, row by row, without state."""
-    j = stream.join(F.broadcast(assets.select("asset_id", "asset_type")), "asset_id")
+    j = stream.join(assets.select("asset_id", "asset_type"), "asset_id")
     p = failure_probability(j, curves, mapping)
     return p.withColumn("affected", F.coalesce(F.col("failure_probability") >= at, F.lit(False)))
 
