@@ -315,6 +315,40 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+ARTICLE = "<p>Body text of the page, long enough to win.</p><p>Second part.</p>"
+BODY = "Body text of the page, long enough to win. Second part."
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'title="hidden costs"', 'data-id="comments"', 'data-role="menu"', "title='role=menu class=ad'", 'data-hidden hidden="until-found"',
+    'class="has-sidebar"', 'class="content no-sidebar"', 'class="td-post-content no-comments"', 'class="layout_with_left_sidebar"', 'class="social-science"',
+    'id="ad-hoc-methods"', 'class="sidebar-layout"', 'role="form"', 'aria-hidden="true"', 'class="post comments-open"'])
+def test_wrappers_keep_their_article(attributes):
+    page = f"<body><nav><a href=/>Home</a></nav><div {attributes}>{ARTICLE}<div class=sidebar><p>aside</p></div></div><footer>f</footer>"
+    assert html_text.main_text(page) == BODY
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<body><p>See the <a href="/hidden/gems">finest places</a> of the long and quiet coast.</p>', "See the finest places of the long and quiet coast."),
+    # Hints that stand: nothing of the article is in them.
+    (f"<body><div id=post>{ARTICLE}</div><div class=related><article>Other page</article></div>", BODY),
+    (f"<body><div id=post>{ARTICLE}</div><section id=comments>" + "<div class=comment><article class=comment-body>A reader says it.</article></div>" * 9 + "</section>", BODY),
+    (f"<body><div hidden><p>{'secret ' * 40}</p></div><div HIDDEN='false'>x</div>{ARTICLE}", BODY),
+    # Hints that the page overrules.
+    (f"<body><div class='promo-page'><main><p>x y</p></main></div><div class=widget><p>{'w ' * 20}</p></div>", "x y"),
+    ("<body><div class='widget-area'><article>The whole article</article></div><div class=sidebar>" + "<p class=ad>buy this thing</p>" * 9 + "</div>", "The whole article"),
+    # An unclosed named element does not take the rest of the page.
+    (f"<body><ul><li class=menu-item>a<li class=menu-item>b</ul>{ARTICLE}", BODY),
+])
+def test_hints_stand_or_are_overruled(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_attributes_are_names_and_values():
+    got = html_text.attributes_of(""" CLASS = 'a b' data-x=1 hidden id="c&amp;d" class=late href=/x?id=ads "stray" / """)
+    assert got == {"class": "a b", "data-x": "1", "hidden": "", "id": "c&d", "href": "/x?id=ads"}
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "c"), (1, "u", "<p>a</p>", "c"), (None, None, None, "c"), (2, "v", "<div>" * 5000 + "deep", "c")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect())

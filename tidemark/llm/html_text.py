@@ -6,8 +6,10 @@ characters or tags belong to links, by the formula of Sun, Song and Liao (DOM ba
 lowest density on its path up to the body is the threshold: blocks outside the subtree are taken too where a node that
 holds them, below the body, reaches the threshold and its text is not mostly links.
 
-Regions that are no article by their element or their names (menus, headers outside the article, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments of readers) are cut from the tree before densities are taken.
+Regions that are no article by their element (menus, headers outside the article, footers, sidebars, forms, scripts,
+styles) or by the attribute `hidden` are cut while the page is read. Class names, ids, roles and aria-hidden are hints:
+such regions (notices, adverts, comments of readers) are read too and cut before densities are taken, unless they hold the
+page's `main`, its largest `article` or most of its text outside links. See cut_hinted.
 White space inside a block becomes one space; blocks are joined in page order by one space.
 
 Null or empty pages, and pages without text, give an empty text. Broken markup is accepted: unclosed and misnested
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_pass
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute: its name, and its value in double, single or no quotes.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|["'][^"']*["']?""")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
@@ -43,32 +46,55 @@ SCOPES = {"article", "body", "div", "html", "main", "ol", "section", "table", "t
 NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar\w*|"
                    r"footer|header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|"
                    r"recommended|comments?|commentlist|respond|disqus|widget\w*|pagination|pager|toolbar|skip-link)(?=$|[\s_-])", re.I)
+TELLS = re.compile("class|id|role|hidden", re.I)
+#: Before a noise word of the same name these say what a page has or lacks, not what the element is: has-sidebar, no-comments.
+ABOUT = re.compile(r"(?:^|[_-])(?:has|have|no|non|not|with|without)[_-]", re.I)
+#: Regions of readers' texts can be longer than the article.
+READERS = re.compile(r"comment|respond|disqus", re.I)
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "hint")
 
-    def __init__(self, name: str, parent: "Node | None"):
-        self.name, self.parent, self.children = name, parent, []
+    def __init__(self, name: str, parent: "Node | None", hint: str = ""):
+        self.name, self.parent, self.children, self.hint = name, parent, [], hint
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(name: str, attributes: str, in_article: bool) -> bool:
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name, of repeated ones the first; without a value: an empty text."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        if m[1]:
+            out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def is_noise_name(names: str) -> bool:
+    """Whether one of a class attribute's names, or an id, has a noise word."""
+    return any((m := NOISE.search(x)) and not ABOUT.search(x[:m.start() + 1]) for x in names.split())
+
+
+def standing(name: str, attributes: str, in_article: bool) -> str:
+    """How an element stands: 'cut', or as a hint 'readers' or 'noise', or '' for text like any other."""
     if name in CUT and not (name == "header" and in_article):
-        return True
-    if not attributes.strip() or name in ("html", "body", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if key in ("class", "id") and NOISE.search(value):
-            return True
-    return False
+        return "cut"
+    if name in ("html", "body") or not TELLS.search(attributes):
+        return ""
+    given = attributes_of(attributes)
+    roles = given.get("role", "").lower().split()
+    plain = name not in ("article", "main") and "main" not in roles
+    # Any value hides, also "false", but that of text which a search in the page opens.
+    if plain and given.get("hidden", "until-found").lower() != "until-found":
+        return "cut"
+    names = [x for k in ("class", "id") if (x := given.get(k, "")) and is_noise_name(x)]
+    if names and "main" not in roles:
+        return "readers" if any(map(READERS.search, names)) else "noise"
+    if plain and (given.get("aria-hidden", "").lower() == "true" or not NOISE_ROLES.isdisjoint(roles)):
+        return "noise"
+    return ""
 
 
 def tree(page: str) -> Node:
@@ -130,19 +156,66 @@ def tree(page: str) -> Node:
             while up is not None and not in_article:
                 in_article = up.name in ("article", "main")
                 up = up.parent
-            if is_noise(name, m[3], in_article):
+            hint = standing(name, m[3], in_article)
+            if hint == "cut":
                 if not m[3].endswith("/") and name not in VOID:
                     skipped = [name]
                 continue
             if name == "html" and at is root:
                 continue
-            node = Node(name, at)
+            node = Node(name, at, hint)
             at.children.append(node)
             if not m[3].endswith("/"):
                 at = node
+    cut_hinted(root)
     return root
 
 
+def cut_hinted(root: Node) -> None:
+    """Cuts the regions whose names or roles hint that they are no article.
+
+    A hint is overruled where the region holds `main`, or more than half of the page's text outside links (nine tenths of it
+    for readers' comments, which can be longer than the article), or else the largest `article`, if that has more text than
+    all that stands outside hinted regions. Where the page has `main`, such an `article`, or outside hinted regions an `article`
+    of a tenth of the text, only regions inside it are overruled for their share. Regions inside an overruled one are judged by themselves. An `article`
+    named as noise counts as no article but is cut only with the region that it stands in.
+    """
+    nodes = in_order(root)
+    if not any(n.hint for n in nodes):
+        return
+    free, plain, inside = 0, dict.fromkeys(map(id, nodes), 0), {id(root.parent): (False, False)}
+    for n in nodes:
+        linked, hinted = inside[id(n.parent)]
+        linked, hinted = linked or n.name == "a", hinted or n.hint != "" and n.name not in ("article", "main")
+        inside[id(n)] = linked, hinted
+        if not linked:
+            own = plain[id(n)] = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+            free += 0 if hinted else own
+    for n in reversed(nodes):
+        if n is not root:
+            plain[id(n.parent)] += plain[id(n)]
+    whole, holds = plain[id(root)], set()
+    articles = [n for n in nodes if n.name == "article" and not n.hint]
+    largest = max(articles, key=lambda n: plain[id(n)], default=None)
+    if largest is not None and plain[id(largest)] <= free:
+        largest = None
+    for n in nodes:
+        if (n.name == "main" or n is largest) and inside[id(n)][1] and plain[id(n)]:
+            up = n.parent
+            while up is not None and not (up.hint == "readers" and n.name != "main"):
+                holds.add(id(up))
+                up = up.parent
+    anchors = {id(n) for n in nodes if n is largest or n.name == "main" and plain[id(n)]
+               or n.name == "article" and not n.hint and not inside[id(n)][1] and 10 * plain[id(n)] > whole}
+    open_to_share = set()
+    for n in nodes:
+        if not anchors or id(n) in anchors or id(n.parent) in open_to_share:
+            open_to_share.add(id(n))
+    for n in nodes:
+        n.children = [c for c in n.children if isinstance(c, str) or not c.hint or c.name in ("article", "main") or id(c) in holds
+                      or id(c) in open_to_share and (10 * plain[id(c)] > 9 * whole if c.hint == "readers" else 2 * plain[id(c)] > whole)]
+
+
 def after_raw(page: str, pos: int, name: str) -> int:
     """The end of an element whose content is no markup."""
     m = re.compile(rf"</{name}\s*(?:>|\Z)|</{name}[\s/][^>]*(?:>|\Z)", re.I).search(page, pos)
