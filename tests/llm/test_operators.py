@@ -198,6 +198,14 @@ def test_mixing_reaches_its_weights(spark):
     assert abs(got["big"] / sum(got.values()) - 0.75) < 0.02 and abs(sum(got.values()) - 6000) < 250
 
 
+@pytest.mark.parametrize("rate", [650, 750, 1000, 5000])
+def test_mixing_at_large_means(spark, rate):
+    """A rare source's documents: counts of the Poisson mean and variance, not all the largest."""
+    df = spark.range(300).selectExpr("id AS doc_id", "'xxxxxxxxxx' AS text", "'rare' AS source")
+    got = [r["count"] for r in mixing.mixed(df, {"rare": 1.0, "*": 19.0}, 3, total=300 * 10 * 20 * rate).groupBy("doc_id").count().collect()]
+    assert len(got) == 300 and abs(np.mean(got) - rate) < 5 * (rate / 300) ** 0.5 and 0.65 * rate < np.var(got) < 1.4 * rate
+
+
 def test_exact_dedup(docs, rows, nothing):
     got = exact_dedup.decisions(docs).collect()
     groups = {}

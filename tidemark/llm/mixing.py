@@ -2,7 +2,8 @@
 
 A source's repetition rate is weight x total characters / its own characters, so the mixed table holds each source in
 proportion to its weight. Every document inverts the Poisson distribution with that mean at a uniform number hashed from
-its id and the seed, is exploded by its count, and all copies are dealt to partitions and ordered by a second hash.
+its id and the seed (large means: the sum of independent parts, see counts), is exploded by its count, and all copies are
+dealt to partitions and ordered by a second hash.
 
 Weights are a mapping given by the caller; sources outside it, and null sources, form one group with the weight of
 OTHER. So the table of rates has one row per given weight and one more, whatever the data, and is broadcast. A hot source
@@ -21,6 +22,8 @@ from .common import md5_long
 
 OTHER = "*"
 SCALE = float(16**15)
+#: Means up to WHOLE are inverted at one number; larger ones are sums of equal parts with means of at most PART.
+WHOLE, PART = 700.0, 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -57,8 +60,8 @@ def all_groups():
 def copies(u: Column, rate: Column) -> Column:
     """The smallest k whose Poisson cumulative probability reaches u, by adding terms of the distribution.
 
-    The terms end at the first k beyond which the tail is smaller than the spacing of u; a mean of up to 700 keeps
-    exp(-rate) above the smallest double.
+    The terms end at the first k beyond which the tail is smaller than the spacing of u; a mean of up to WHOLE keeps
+    exp(-rate) above the smallest double, larger ones go through counts.
     """
     last = F.ceil(rate + 12.0 * F.sqrt(rate) + 40.0).cast("int")
     start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
@@ -70,11 +73,20 @@ def copies(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
 
 
+def counts(seed: int, doc_id: Column, rate: Column) -> Column:
+    """Poisson copies of a document at any mean: a sum of independent Poisson counts is one of the summed mean, so a mean
+    beyond WHOLE is drawn in parts, each at a uniform number hashed from the part's number too."""
+    key, parts = F.lit(f"mix{seed}"), F.ceil(rate / PART).cast("int")
+    summed = F.aggregate(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0),
+                         lambda n, k: n + copies(uniform(key, doc_id, k), rate / parts))
+    return F.when(rate <= WHOLE, copies(uniform(key, doc_id), rate)).otherwise(summed)
+
+
 def mixed(docs: DataFrame, weights: dict[str, float], seed: int = 0, total: float | None = None) -> DataFrame:
     """Rows of `docs` by their counts, in shuffled order, with rate, copy (from 1) and place, the hash that orders them."""
     table = F.broadcast(rates(docs, weights, total))  # bounded: see rates
     drawn = docs.withColumn("mix_group", group_of(F.col("source"), weights)).join(table, "mix_group").withColumn(
-        "_n", copies(uniform(F.lit(f"mix{seed}"), F.col("doc_id")), F.col("rate")))
+        "_n", counts(seed, F.col("doc_id"), F.col("rate")))
     many = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "mix_group")
     placed = many.withColumn("place", md5_long(F.lit(f"order{seed}"), F.col("doc_id"), F.col("copy")))
     return placed.repartition("place").sortWithinPartitions("place", "doc_id", "copy")
