@@ -104,6 +104,45 @@ def test_license_templates():
         licenses.compiled({"bad": "<<var;max=2>> opens"})
 
 
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+       "“Software”), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+       "distribute, sublicense, and/or sell copies of the Software")
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+       "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+       " * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+       "documentation and/or other materials provided with the distribution.\n")
+NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+         "software without specific prior written permission.\n")
+FSF = ("you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the "
+       "License, or (at your option) any later version.")
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    (MIT, "mit"), (MIT.replace("“Software”", "Program").replace("software", "program"), "mit"), (MIT.replace("merge, ", ""), ""),
+    (BSD + "THIS SOFTWARE IS PROVIDED BY THE AUTHORS", "bsd-2-clause"), (BSD + NAMES + "THIS SOFTWARE IS PROVIDED BY", "bsd-3-clause"),
+    (BSD + "3. The name of the author may not be used" + NAMES.partition("be used")[2], "bsd-3-clause"), (BSD.replace("retain", "keep") + "THIS SOFTWARE IS PROVIDED BY", ""),
+    (FSF.format("General Public License", 2), "gpl,gpl-2.0"), (FSF.format("General Public License", 3), "gpl,gpl-3.0"),
+    (FSF.format("Lesser General Public License", "2.1"), "gpl,lgpl-2.1"), (FSF.format("Lesser General Public License", 3), "gpl,lgpl-3.0"),
+    (FSF.format("Affero General Public License", 3), "agpl-3.0,gpl"), (FSF.format("General Public License", 7), "gpl"),
+    ("licensed under the GNU Lesser General Public License version 3", "gpl,lgpl-3.0"), ("licensed under the GNU Affero General Public License version 3", "agpl-3.0,gpl"),
+    ("Licensed under the GNU GPL General Public License, version 3", "gpl,gpl-3.0"), ("Licensed under the GNU General Public License v2.0", "gpl,gpl-2.0"),
+    ("Licensed under GPLv3", "gpl-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "gpl,gpl-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("Licensed under the Mozilla Public License 1.1", "mpl-1.1"),
+    ("Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc"), ("a Creative Commons Attribution-NonCommercial-ShareAlike License", "cc-by-nc-sa"),
+    ("Creative Commons Attribution 4.0", "cc-by"), ("creative commons attribution non-commercial no derivatives", "cc-by-nc-nd"), ("a creative and common attribution", ""),
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"), ("Licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"),
+    ("licenses this file to you under the Apache License, Version 2.0", "apache-2.0"), ("a copy of the License at http://www.apache.org/", ""),
+    ("You may obtain a copy of the License at\n\n https://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"),
+    (ISC + ", provided that the above copyright notice and this permission notice appear in all copies.", "isc"), (ISC + ".\n\nTHE SOFTWARE IS PROVIDED", "0bsd"),
+    ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+])
+def test_licenses_in_their_own_words(text, labels):
+    a = licenses.compiled()
+    found = licenses.longest(a.matches(licenses.tokens(f"Some words. {text} and more".encode())))
+    assert ",".join(sorted({label.removeprefix("base:") for _, _, label in found})) == labels
+
+
 def tiktoken_ids():
     import tiktoken
 
