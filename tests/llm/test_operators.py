@@ -305,6 +305,27 @@ def test_near_duplicates(docs, rows, nothing, plan):
     assert near_dedup.near_duplicates(nothing, plan).count() == 0 and near_dedup.survivors(nothing, plan).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = prose(rng, 90)
+        ids = [None] * 5 if g < 6 else [7] * 5 if g < 9 else [100 + 5 * g + k for k in range(5)]
+        rows += [(i, base + f" end{k}" * (k > 1), f"{g}") for k, i in enumerate(ids)]
+    rows += [(None, None, "empty"), (None, " \n", "empty"), (7, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan, collected = near_dedup.Plan(3, 85, 100), []
+    gathered = near_dedup.gathered
+    monkeypatch.setattr(near_dedup, "gathered", lambda r, *c: collected.append((c, gathered(r, *c))) or collected[-1][1])
+    left = near_dedup.survivors(docs, plan).collect()
+    assert sorted(r.source for r in left) == sorted([*map(str, range(12)), "empty", "empty", "empty"])
+    # A class has one text in each block that it takes part in.
+    blocks = [b.members for c, frame in collected if c == ("text",) for b in frame.collect()]
+    assert blocks and all(len(b) == len({bytes(m["class"]) for m in b}) for b in blocks)
+    got = near_dedup.near_duplicates(docs, plan).collect()
+    assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 3, 85, 100)
+
+
 def test_near_duplicates_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rng = random.Random(8)

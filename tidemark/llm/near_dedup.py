@@ -16,6 +16,9 @@ over a pair at the threshold only when its estimate is more than five standard d
 Nulls and texts without words have empty sets, linked with nothing. With fewer words than a shingle takes, the whole
 sequence is the one shingle. Rows that repeat an id stay rows; equal texts are one class. Null ids count as larger than
 any other. A component without any id has a null component_id. Long texts are shingled whole.
+
+A class and a component are stood for by a spot, the digest of a row's id and text, of their smallest id; texts and
+survivors are fetched by it, never by the id alone, and one row of equal spots is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kit.graph import components
@@ -131,8 +134,14 @@ def class_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def spot() -> Column:
+    """Digest of a row's id and text."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), text).cast("binary")))
+
+
 def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set), band keys and sketch; the last three null for empty sets."""
+    """doc_id, spot, n_shingles, class (digest of the set), band keys and sketch; the last three null for empty sets."""
     keys = sample_keys(plan.bands * ROWS)
     words = plan.words
 
@@ -150,10 +159,10 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
                 classes.append(None)
                 bands.append(None)
                 sketches.append(None)
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(classes, pa.binary()),
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "spot": batch.column(2), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(classes, pa.binary()),
                                            "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
-    return arrow_pass(documents(docs), sign, "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary")
+    return arrow_pass(documents(docs, spot().alias("spot")), sign, "doc_id long, spot binary, n_shingles long, class binary, bands array<long>, sketch binary")
 
 
 def blocked(members: DataFrame) -> DataFrame:
@@ -287,30 +296,38 @@ def links(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     """(u, v): links between classes that connect all similar ones."""
     placed = blocked(members.select("class", "bands")).join(members.select("class", "bands", "sketch"), "class")
     live = cut(live_members(gathered(placed, "bands", "sketch"), plan))
-    # A class takes its text from the document of its smallest id; texts of other sets under that id are told apart later.
-    wanted = live.select("class").distinct().join(members.select("class", F.col("doc_id").alias("_id")), "class")
-    rows = documents(docs)
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    # A class takes one text, from the row of its spot; rows that repeat id and text are folded before they are collected.
+    wanted = live.select("class").distinct().join(members.select("class", "head.spot"), "class")
+    rows = documents(docs, spot().alias("spot"))
+    texts = rows.join(wanted, "spot").groupBy("class").agg(F.first("text").alias("text"))
     return cut(confirmed(gathered(live.join(texts, "class"), "text"), plan).distinct())
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id and kept of every row."""
-    signed = cut(signatures(docs, plan))
+def classes(docs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
+    """(class, component_id, spot): every class with the id and spot that stand for its component."""
     filled = signed.where(F.col("class").isNotNull())
-    members = cut(filled.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spot")).alias("head")
+    members = cut(filled.groupBy("class").agg(head, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     found = links(docs, members, plan)
     labels = components(found.select(F.col("u").alias("node")).limit(0), found, src="u", dst="v").select(F.col("node").alias("class"), "component")
-    named = members.select("class", "doc_id").join(labels, "class", "left").select(
-        "class", "doc_id", F.coalesce("component", "class").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = cut(named.join(least, "component").select("class", "component_id"))
-    told = filled.select("doc_id", "n_shingles", "class").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
+    named = members.select("class", "head").join(labels, "class", "left").select("class", "head", F.coalesce("component", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("head").alias("best"))
+    return cut(named.join(least, "component").select("class", F.col("best.doc_id").alias("component_id"), F.col("best.spot").alias("spot")))
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """doc_id, n_shingles, component_id and kept (the row's id is the component's, null ids included) of every row."""
+    signed = cut(signatures(docs, plan))
+    of_class = classes(docs, signed, plan).drop("spot")
+    told = signed.where(F.col("class").isNotNull()).select("doc_id", "n_shingles", "class").join(of_class, "class").select(
+        "doc_id", "n_shingles", "component_id")
     alone = signed.where(F.col("class").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return told.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def survivors(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
-    """Rows of `docs` whose id stands for its component; rows that share an id go together."""
-    kept = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of `docs` for each component, that of its spot, and every row without words."""
+    signed = cut(signatures(docs, plan))
+    chosen = classes(docs, signed, plan).select(F.col("spot").alias("_spot")).distinct()
+    standing = docs.withColumn("_spot", spot()).join(chosen, "_spot", "left_semi").dropDuplicates(["_spot"]).select(*docs.columns)
+    return standing.union(docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
