@@ -1,4 +1,4 @@
-"""The ten operators bound to the given tables, with the SQL that says the same where SQL can."""
+"""The operators bound to the given tables, with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, quality, sharding, token_counts
+from . import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, quality, sharding, spelling, token_counts, vector_codes, warc
 
 #: Target weights of the sources; "*" is every other source.
 WEIGHTS = {"src0": 2.0, "src1": 1.0, "src2": 1.0, "src3": 0.5, "*": 15.5}
@@ -65,9 +65,22 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    streams = warc.write_archives(table(spark, folder, "pages"))
+    return warc.read_records(warc.normalise(streams)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_byte_bpe, op4_token_counts, op5_language_id, op6_source_mixing, op7_exact_dedup,
-    op8_near_dedup, op9_sharding, op10_html_text)}
+    op8_near_dedup, op9_sharding, op10_html_text, op11_warc, op12_spelling, op13_vector_codes)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NORMAL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -160,5 +173,68 @@ OP8_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_a
 
 OP6_SQL = f"""SELECT doc_id, source, round(rate, 9) AS rate, copy, place, md5(coalesce(text, '')) AS text_md5 FROM ({mixing_sql("documents", WEIGHTS, SEED)})"""
 
+OP11_SQL = f"""SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN least_id END AS refers_to
+    FROM (SELECT *, payload_bytes >= {warc.SMALLEST_REVISIT} AND least_id IS NOT NULL AND page_id IS DISTINCT FROM least_id AS again
+      FROM (SELECT page_id, strlen(t) AS payload_bytes, sha256(t) AS payload_digest, min(page_id) OVER (PARTITION BY t) AS least_id
+        FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)))"""
+
+
+def crc_table() -> list[int]:
+    """The 256 remainders of the reflected CRC-32 polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+#: Words of whole texts, then pairs by what is left when one place is taken out, then forms followed to their roots.
+OP12_SQL = rf"""WITH RECURSIVE
+    crc AS (SELECT {crc_table()}::BIGINT[] AS t),
+    occ AS (SELECT doc_id, translate(r, '{UPPER}', '{LOWER}') AS r FROM (
+      SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) WHERE length(r) >= 6),
+    dist AS (SELECT doc_id, r, count(*) AS n FROM occ GROUP BY ALL),
+    hexed AS (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM dist),
+    hashed AS (SELECT r, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+        lambda a, b: xor(a >> 8, t[1 + xor(a & 255, b)])), 4294967295::BIGINT) AS h FROM hexed, crc),
+    typed AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+    w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    pair AS (SELECT a.word, b.word AS near, b.n FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT g.word, w.word, w.n FROM gone g JOIN w ON w.word = g.rest
+      UNION SELECT w.word, g.word, g.n FROM gone g JOIN w ON w.word = g.rest),
+    best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pair GROUP BY word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+      FROM w LEFT JOIN best USING (word)),
+    path(word, top, d) AS (SELECT word, word, 0 FROM f UNION ALL SELECT p.word, f.form, d + 1 FROM path p JOIN f ON f.word = p.top WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+    FROM f JOIN (SELECT word, arg_max(top, d) AS root FROM path GROUP BY word) USING (word)"""
+
+
+def codes_sql() -> str:
+    """Product codes with two rounds, each part against every entry."""
+    assign = """SELECT row_id, part, e, d FROM (SELECT x.row_id, x.part, c.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS d,
+        FROM x JOIN {book} c ON c.part = x.part) QUALIFY row_number() OVER (PARTITION BY row_id, part ORDER BY d, e) = 1"""
+    improve = """SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM {book} c LEFT JOIN (SELECT part, e, list(s ORDER BY i) AS v FROM (
+        SELECT a.part, a.e, i, CAST(floor(sum(x.v[i]) / count(*)) AS BIGINT) AS s FROM {at} a JOIN x ON x.row_id = a.row_id AND x.part = a.part,
+        (SELECT unnest(range(1, (SELECT max(len(v)) FROM x) + 1)) AS i) GROUP BY a.part, a.e, i) GROUP BY part, e) m ON m.part = c.part AND m.e = c.e"""
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_id, vec_id, label, embedding FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      x AS MATERIALIZED (SELECT row_id, part, list_transform(embedding[part * (len(embedding) // 16) + 1:(part + 1) * (len(embedding) // 16)],
+        lambda z: CAST(floor(256 * CAST(z AS DOUBLE)) AS BIGINT)) AS v FROM kept, (SELECT unnest(range(0, 16)) AS part)),
+      b0 AS MATERIALIZED (SELECT part, row_id - 1 AS e, v FROM x WHERE row_id <= 64),
+      a0 AS MATERIALIZED ({assign.format(book="b0")}), b1 AS MATERIALIZED ({improve.format(book="b0", at="a0")}),
+      a1 AS MATERIALIZED ({assign.format(book="b1")}), b2 AS MATERIALIZED ({improve.format(book="b1", at="a1")}),
+      a2 AS MATERIALIZED ({assign.format(book="b2")}),
+      coded AS (SELECT row_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY row_id)
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256
+      FROM kept JOIN coded USING (row_id)"""
+
+
+OP13_SQL = codes_sql()
+
 SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_license_scan": OP2_SQL, "op6_source_mixing": OP6_SQL, "op7_exact_dedup": OP7_SQL,
-                       "op8_near_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+                       "op8_near_dedup": OP8_SQL, "op9_sharding": OP9_SQL, "op11_warc": OP11_SQL, "op12_spelling": OP12_SQL, "op13_vector_codes": OP13_SQL}
