@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise on the checkpoint folder, so loops keep a short lineage and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table under the checkpoint folder and read it again, for loops that join a table with itself.
+
+    A checkpoint hands on the planner's size estimate, and each join multiplies the estimates of its sides: after
+    ten rounds they have a million digits and planning takes minutes. A written table has the size of its files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,22 +5,24 @@ Every round is a few joins and aggregates with map-side combine, and ends on a c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, settle
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst",
-               label: str = "component") -> DataFrame:
+               label: str = "component", hold: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, label) with the smallest node id of each connected component.
 
     Parents hook onto the smallest grandparent seen across an edge and then jump to their
-    grandparent, so long chains close in logarithmic rounds.
+    grandparent, so long chains close in logarithmic rounds. `hold` ends each round.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = cut(e.union(e.select("v", "u")).distinct())
-    f = cut(nodes.select(F.col(node).alias("n")).union(both.select("u")).distinct().withColumn("p", F.col("n")))
+    both = hold(e.union(e.select("v", "u")).distinct())
+    f = hold(nodes.select(F.col(node).alias("n")).union(both.select("u")).distinct().withColumn("p", F.col("n")))
     while True:
         up = f.select(F.col("n").alias("p"), F.col("p").alias("g"))
         gp = f.join(up, "p").select("n", "p", "g")
@@ -29,7 +31,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str
             "n", "p", F.least("g", F.coalesce("m", "g")).alias("best"))
         # The node and its parent both learn the best label.
         told = per.select(F.explode(F.array("n", "p")).alias("n"), "best").groupBy("n").agg(F.min("best").alias("b"))
-        nxt = cut(f.join(told, "n").select("n", F.col("p").alias("old"), F.least("p", "b").alias("p")))
+        nxt = hold(f.join(told, "n").select("n", F.col("p").alias("old"), F.least("p", "b").alias("p")))
         changed = not nxt.where("p <> old").isEmpty()
         f = nxt.select("n", "p")
         if not changed:
@@ -78,7 +80,7 @@ def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], lar
     After round k a node holds the sum over descendants fewer than 2^k steps below it; the node
     exactly 2^k above takes it in. Rows stay at one per node, rounds grow with log(depth).
     """
-    cur = cut(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"),
+    cur = settle(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"),
                           *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values]))
     for _ in range(doublings(cur)):
         if cur.where("a is not null").isEmpty():
@@ -87,7 +89,7 @@ def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], lar
             *[(F.max(v) if v in largest else F.sum(v)).alias(f"_{v}") for v in values])
         jump = cur.select(F.col("n").alias("a"), F.col("a").alias("_aa"))
         grown = cur.join(gain, "n", "left").join(jump, "a", "left")
-        cur = cut(grown.select("n", F.col("_aa").alias("a"),
+        cur = settle(grown.select("n", F.col("_aa").alias("a"),
                                *[(F.greatest(v, f"_{v}") if v in largest else F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0.0))).alias(v)
                                  for v in values]))
     # Pointers that are left stand on a cycle or lead into one; such nodes have no finite subtree.
@@ -96,12 +98,12 @@ def subtree_sums(tree: DataFrame, node: str, parent: str, values: list[str], lar
 
 def root_sums(tree: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """Sum of a value over the path from each node up to its root (node included), by pointer doubling."""
-    cur = cut(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))
+    cur = settle(tree.select(F.col(node).alias("n"), F.col(parent).alias("a"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))
     for _ in range(doublings(cur)):
         if cur.where("a is not null").isEmpty():
             break
         up = cur.select(F.col("n").alias("a"), F.col("v").alias("_v"), F.col("a").alias("_a"))
-        cur = cut(cur.join(up, "a", "left").select("n", F.col("_a").alias("a"), (F.col("v") + F.coalesce("_v", F.lit(0.0))).alias("v")))
+        cur = settle(cur.join(up, "a", "left").select("n", F.col("_a").alias("a"), (F.col("v") + F.coalesce("_v", F.lit(0.0))).alias("v")))
     return cur.select(F.col("n").alias(node), F.when(F.col("a").isNull(), F.col("v")).alias(value))
 
 

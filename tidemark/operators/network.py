@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..kit.blocks import quantiles, row_numbers
 from ..kit.common import cut, finite
-from ..kit.graph import bfs, components, root_sums, subtree_sums
+from ..kit.forest import Graph, nearest_seed, simple_edges
+from ..kit.graph import components, subtree_sums
 from ..kit.intervals import within_distance
 
 
@@ -106,7 +107,7 @@ def bus_voltage(lines: DataFrame, sources: DataFrame, tx: DataFrame, loads: Data
     e = lines.select(F.col("from_bus").alias("src"), F.col("to_bus").alias("dst")).join(
         tb.select(F.col("bus").alias("src"), F.lit(1).alias("_a")), "src", "left").join(tb.select(F.col("bus").alias("dst"), F.lit(1).alias("_b")), "dst", "left")
     e = e.where("_a is null or _b is null").select("src", "dst")
-    walk = bfs(one.select(F.col("bus").alias("node"), F.col("bus").alias("label")), e)
+    walk = nearest_seed(one.select(F.col("bus").alias("node"), F.col("bus").alias("label")), e)
     return walk.join(one.select(F.col("bus").alias("label"), "kv"), "label").select(F.col("node").alias("bus"), "kv", F.col("label").alias("seed_bus"), "hops")
 
 
@@ -197,7 +198,8 @@ def orient_feeders(buses: DataFrame, lines: DataFrame, sources: DataFrame, loads
     """Rooted trees: (component, node, parent, hops, exposure).
 
     Root is the smallest source bus of the component, else the bus with most lines, then most load, then smallest id. Parents come from a
-    breadth-first walk, the lowest id among first arrivals; other edges are dropped as loops or parallels. A line
+    breadth-first walk, the lowest id among first arrivals; other edges are dropped as loops or parallels. Trees are rooted in
+    logarithmic rounds; only the hops inside loop blocks are walked. A line
     without a length counts 1; buses without a line form no feeder.
     """
     comp = cut(bus_components(buses, lines))
@@ -207,7 +209,7 @@ def orient_feeders(buses: DataFrame, lines: DataFrame, sources: DataFrame, loads
     pick = c.where("_d is not null").groupBy("component").agg(F.min(F.when(F.col("_s"), F.col("bus"))).alias("s"), F.min(F.struct(
         (-F.coalesce("_d", F.lit(0))).alias("d"), (-F.coalesce("_kw", F.lit(0.0))).alias("k"), "bus")).alias("m"))
     root = pick.select(F.coalesce("s", "m.bus").alias("node"), F.col("component").alias("label"))
-    walk = bfs(root, lines.select(F.col("from_bus").alias("src"), F.col("to_bus").alias("dst")))
+    walk = Graph(simple_edges(lines, "from_bus", "to_bus")).walk(root)
     ex = lines.select(F.least("from_bus", "to_bus").alias("_lo"), F.greatest("from_bus", "to_bus").alias("_hi"), finite(exposure).alias("_x")).groupBy("_lo", "_hi").agg(F.min("_x").alias("exposure"))
     j = walk.withColumn("_lo", F.least("node", "parent")).withColumn("_hi", F.greatest("node", "parent")).join(ex, ["_lo", "_hi"], "left")
     return j.select(F.col("label").alias("component"), "node", "parent", "hops", F.when(F.col("parent").isNotNull(), F.coalesce("exposure", F.lit(1.0))).otherwise(0.0).alias("exposure"))
@@ -309,35 +311,51 @@ def nearest_standard(df: DataFrame, value: str, sizes: list[float], out: str = "
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.array_min(opts)["s"]))
 
 
-def graph_metrics(buses: DataFrame, lines: DataFrame, sources: DataFrame, loads: DataFrame, length: str = "length") -> DataFrame:
-    """Average degree, mean path length and weighted diameter of every radial component.
+def graph_metrics(lines: DataFrame, feeder: str = "feeder_id", length: str = "length") -> DataFrame:
+    """Per feeder: buses, average degree, mean shortest path and weighted diameter of its largest component, loops included.
 
-    On a tree each edge lies on below * (n - below) shortest paths, so the mean needs subtree counts, not all pairs. The diameter is
-    the best sum of two branch heights at a node. Looped components have null path figures.
+    A bridge with m of n buses behind it lies on m (n - m) shortest paths, so distances between all pairs are taken inside loop
+    blocks only, weighted by the buses that hang on each. The diameter is a double sweep: the farthest bus from the smallest
+    one (smallest id on ties), then the greatest distance from there. Missing and negative lengths count 0; lines without both
+    ends count for the degree alone. Of equally large components the one with the smallest bus is taken.
     """
-    deg = lines.select(F.explode(F.array("from_bus", "to_bus")).alias("bus")).groupBy("bus").agg(F.count(F.lit(1)).alias("_d"))
-    tree = cut(orient_feeders(buses, lines, sources, loads, length))
-    depth = cut(root_sums(tree, "node", "parent", "exposure").withColumnRenamed("exposure", "_depth"))
-    t = cut(tree.join(depth, "node").withColumn("_one", F.lit(1.0)).withColumn("_low", F.col("_depth")))
-    sub = cut(subtree_sums(t.select("node", "parent", "_one", "_low"), "node", "parent", ["_one", "_low"], ("_low",)))
-    size = t.groupBy("component").agg(F.count(F.lit(1)).alias("bus_count"))
-    e = t.select("component", "node", "parent", "exposure").join(sub, "node").join(size, "component")
-    path = e.where("parent is not null").groupBy("component").agg(F.sum(F.col("exposure") * F.col("_one") * (F.col("bus_count") - F.col("_one"))).alias("_sum"))
-    # Two deepest branches under each node: the deepest, then the deepest of the others.
-    kids = e.where("parent is not null").select(F.col("parent").alias("_p"), F.col("node").alias("_k"), "_low")
-    top = kids.groupBy("_p").agg(F.max(F.struct("_low", "_k")).alias("_m"))
-    second = kids.join(top, "_p").where("_k <> _m._k").groupBy("_p").agg(F.max("_low").alias("_b"))
-    h = t.join(top, F.col("node") == F.col("_p"), "left").drop("_p").join(second, F.col("node") == F.col("_p"), "left")
-    reach = F.coalesce(F.col("_m._low") - F.col("_depth"), F.lit(0.0)) + F.coalesce(F.col("_b") - F.col("_depth"), F.lit(0.0))
-    diam = h.groupBy("component").agg(F.max(reach).alias("_diam"))
-    real = lines.select(F.least("from_bus", "to_bus").alias("bus"), F.greatest("from_bus", "to_bus").alias("_o")).where("bus <> _o").distinct().join(
-        tree.select(F.col("node").alias("bus"), "component"), "bus").groupBy("component").agg(F.count(F.lit(1)).alias("_edges"))
-    ad = tree.join(deg, F.col("node") == F.col("bus"), "left").groupBy("component").agg(F.avg(F.coalesce("_d", F.lit(0))).alias("average_degree"))
-    j = size.join(ad, "component").join(path, "component", "left").join(diam, "component").join(real, "component", "left")
-    radial = F.coalesce("_edges", F.lit(0)) == F.col("bus_count") - 1
-    pairs = F.col("bus_count") * (F.col("bus_count") - 1) / 2
-    return j.select("component", "bus_count", "average_degree", F.when(radial, F.coalesce(F.col("_sum") / F.nullif(pairs, F.lit(0.0)), F.lit(0.0))).alias("mean_path_length"),
-                    F.when(radial, F.col("_diam")).alias("diameter"))
+    name = lambda c: F.when(F.col(c).cast("string") != "", F.concat_ws("\0", F.col(feeder).cast("string"), F.col(c).cast("string"))).alias(c)
+    named = lines.select(F.col(feeder).alias("_f"), name("from_bus"), name("to_bus"), F.greatest(F.coalesce(finite(length), F.lit(0.0)), F.lit(0.0)).alias("w"))
+    whole = named.where("from_bus is not null and to_bus is not null")
+    nodes = cut(whole.select("_f", F.explode(F.array("from_bus", "to_bus")).alias("node")).distinct())
+    count = named.groupBy("_f").agg(F.count(F.lit(1)).alias("_lines")).join(nodes.groupBy("_f").agg(F.count(F.lit(1)).alias("bus_count")), "_f", "left")
+    graph = Graph(simple_edges(whole, "from_bus", "to_bus", "w"))
+    largest = graph.sizes.join(nodes.withColumnRenamed("node", "component"), "component").groupBy("_f").agg(F.min(F.struct((-F.col("nodes")).alias("k"), "component")).alias("m"))
+    roots = cut(largest.select("_f", F.col("m.component").alias("label"), (-F.col("m.k")).alias("n")))
+    seen = graph.seen_from(roots.select(F.col("label").alias("node"), "label"))
+    within = graph.block_distances() if graph.loops else None
+    far = graph.distances(seen, within).groupBy("label").agg(F.min(F.struct((-F.col("distance")).alias("d"), "node")).alias("m")).select("label", F.col("m.node").alias("node"))
+    reach = graph.distances(graph.seen_from(far), within).groupBy("label").agg(F.max("distance").alias("diameter"))
+
+    down = seen.where("parent is not null").select("label", "node", "parent", "size", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v")).join(graph.edges, ["u", "v"])
+    if within is not None:
+        down = down.join(graph.on_loops.select("u", "v"), ["u", "v"], "left_anti")
+    down = cut(down.join(roots.select("label", "n"), "label"))
+    total = down.select("label", (F.col("w") * F.col("size") * (F.col("n") - F.col("size"))).alias("s"))
+    if within is not None:
+        total = total.unionByName(_block_paths(graph, seen, down, within, roots))
+    total = total.groupBy("label").agg(F.sum("s").alias("_sum"))
+    j = count.join(roots, "_f", "left").join(total, "label", "left").join(reach, "label", "left")
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    zero = F.lit(0.0)
+    return j.select(F.col("_f").alias(feeder), F.coalesce("bus_count", F.lit(0)).cast("long").alias("bus_count"), F.coalesce(2 * F.col("_lines") / F.col("bus_count"), zero).alias("average_degree"),
+                    F.coalesce(F.col("_sum") / pairs, zero).alias("mean_path_length"), F.coalesce("diameter", zero).alias("diameter"))
+
+
+def _block_paths(graph: Graph, seen: DataFrame, down: DataFrame, within: DataFrame, roots: DataFrame) -> DataFrame:
+    """(label, s): summed lengths of the parts of all shortest paths that lie inside each loop block."""
+    hung = down.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("_below"))
+    inner = graph.block.join(seen.select("node", "label"), "node").join(hung, "node", "left").join(graph.entries(seen), "block").withColumn("hang", 1 + F.coalesce("_below", F.lit(0)))
+    # The rest of the component hangs on the node by which the block is entered.
+    rest = inner.where("node <> entry").groupBy("block", "label").agg(F.sum("hang").alias("_in")).join(roots.select("label", "n"), "label").select("block", (F.col("n") - F.col("_in")).alias("_rest"))
+    weight = cut(inner.join(rest, "block").select("node", "label", F.when(F.col("node") == F.col("entry"), F.col("_rest")).otherwise(F.col("hang")).alias("hang")))
+    pair = within.where("source < node").join(weight, "node").join(weight.select(F.col("node").alias("source"), F.col("hang").alias("_h")), "source")
+    return pair.select("label", (F.col("distance") * F.col("hang") * F.col("_h")).alias("s"))
 
 
 def switch_rows(edges: DataFrame, lines: DataFrame) -> DataFrame:

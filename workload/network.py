@@ -100,7 +100,20 @@ def control_filter(t):
     return N.control_filter(g.buses, g.lines, g.tx, 100.0)
 
 
-@query("bus_voltage")
+VOLTAGE_SQL = f"""WITH RECURSIVE n AS (SELECT c_custkey AS k, c_custkey // 2 AS p, c_custkey > 0 AND c_mktsegment = 'MACHINERY' AS tx, c_acctbal FROM customer),
+s AS (SELECT k, 12.47 AS kv, 0 AS pr, '' AS o, 0 AS pos FROM n WHERE c_acctbal > 9000
+  UNION ALL SELECT p, 12.47, 1, 't' || k, 0 FROM n WHERE tx UNION ALL SELECT k, 0.24, 1, 't' || k, 1 FROM n WHERE tx
+  UNION ALL SELECT k, 0.24, 2, 'd' || k, 0 FROM n WHERE abs(c_acctbal) / 1000 > 9.5),
+one AS (SELECT k, kv FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY pr, o, pos) = 1),
+wd AS (SELECT k FROM n WHERE tx UNION SELECT p FROM n WHERE tx),
+l AS (SELECT k, p FROM n WHERE k > 0 AND NOT tx AND NOT (k IN (SELECT k FROM wd) AND p IN (SELECT k FROM wd))),
+a AS (SELECT k AS u, p AS v FROM l UNION ALL SELECT p, k FROM l),
+w(seed, node, prev, h) AS (SELECT k, k, CAST(NULL AS BIGINT), 0 FROM one UNION ALL SELECT w.seed, a.v, a.u, h + 1 FROM w JOIN a ON a.u = w.node WHERE w.prev IS DISTINCT FROM a.v),
+m AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY node ORDER BY h, seed) = 1)
+SELECT {BUS.format(k='node')} AS bus, CAST(kv AS DOUBLE) AS kv, {BUS.format(k='seed')} AS seed_bus, CAST(h AS INTEGER) AS hops FROM m JOIN one ON one.k = m.seed"""
+
+
+@query("bus_voltage", VOLTAGE_SQL)
 def bus_voltage(t):
     g = Net(t)
     return N.bus_voltage(g.lines, g.sources, g.tx, g.loads.where(F.col("kw") > 9.5))
@@ -162,7 +175,16 @@ def derive_fuses(t):
     return N.derive_fuses(Net(t).lines)
 
 
-@query("orient_feeders")
+ORIENT_SQL = f"""WITH RECURSIVE l AS (SELECT c_custkey AS k, c_custkey // 2 AS p, CAST(c_custkey % 50 + 1 AS DOUBLE) AS ex FROM customer WHERE c_custkey > 0 AND c_mktsegment <> 'MACHINERY'),
+a AS (SELECT k AS u, p AS v, ex FROM l UNION ALL SELECT p, k, ex FROM l),
+up AS (SELECT DISTINCT u AS k, u AS cur FROM a UNION ALL SELECT up.k, l.p FROM up JOIN l ON l.k = up.cur),
+comp AS (SELECT k, min(cur) AS c FROM up GROUP BY k), d AS (SELECT u AS k, count(*) AS d FROM a GROUP BY u),
+root AS (SELECT c, coalesce(min(CASE WHEN c_acctbal > 9000 THEN k END), first(k ORDER BY d DESC, coalesce(abs(c_acctbal) / 1000, 0) DESC, k)) AS r FROM comp JOIN d USING (k) LEFT JOIN customer ON c_custkey = k GROUP BY c),
+w AS (SELECT c, r AS node, CAST(NULL AS BIGINT) AS parent, 0 AS hops, CAST(0 AS DOUBLE) AS ex FROM root UNION ALL SELECT w.c, a.v, a.u, hops + 1, a.ex FROM w JOIN a ON a.u = w.node WHERE w.parent IS DISTINCT FROM a.v)
+SELECT {BUS.format(k='c')} AS component, {BUS.format(k='node')} AS node, CASE WHEN parent IS NOT NULL THEN {BUS.format(k='parent')} END AS parent, CAST(hops AS INTEGER) AS hops, ex AS exposure FROM w"""
+
+
+@query("orient_feeders", ORIENT_SQL)
 def orient_feeders(t):
     g = Net(t)
     return N.orient_feeders(g.buses, g.lines, g.sources, g.loads)
@@ -243,10 +265,36 @@ def nearest_standard(t):
     return N.nearest_standard(t.part.select("p_partkey", (F.col("p_size") * 12.5).alias("kva")), "kva", [25, 50, 75, 100, 167, 300, 500]).select("p_partkey", "standard_kva")
 
 
-@query("graph_metrics")
+def looped_lines(t):
+    """Feeders of 40 buses: a binary tree with some lines missing and some that close loops."""
+    k = F.col("c_custkey")
+    i = k % 40
+    base = k - i
+    line = lambda cond, to, x: t.customer.where(cond).select(F.floor(k / 40).alias("feeder_id"), bus(k).alias("from_bus"), bus(to).alias("to_bus"), x.cast("double").alias("length"))
+    tree = line((i > 0) & (k % 17 != 3), base + F.floor(i / 2), k % 50 + 1)
+    return tree.unionByName(line((i > 3) & (k % 13 == 5), k - 3, k % 7))
+
+
+def doubled(x: str, y: str) -> str:
+    return f"{y} AS (SELECT l.f, l.a, r.b, min(l.d + r.d) AS d FROM {x} l JOIN {x} r ON r.f = l.f AND r.a = l.b GROUP BY ALL)"
+
+
+METRICS_SQL = f"""WITH l AS (SELECT c_custkey // 40 AS f, c_custkey AS a, c_custkey - c_custkey % 40 + c_custkey % 40 // 2 AS b, CAST(c_custkey % 50 + 1 AS DOUBLE) AS d FROM customer WHERE c_custkey % 40 > 0 AND c_custkey % 17 <> 3
+  UNION ALL SELECT c_custkey // 40, c_custkey, c_custkey - 3, CAST(c_custkey % 7 AS DOUBLE) FROM customer WHERE c_custkey % 40 > 3 AND c_custkey % 13 = 5),
+d0 AS (SELECT f, a, b, min(d) AS d FROM (SELECT f, a, b, d FROM l UNION ALL SELECT f, b, a, d FROM l UNION ALL SELECT f, a, a, 0 FROM l UNION ALL SELECT f, b, b, 0 FROM l) GROUP BY ALL),
+{", ".join(doubled(f"d{i}", f"d{i + 1}") for i in range(6))},
+c AS (SELECT f, a, min(b) AS c FROM d6 GROUP BY f, a), z AS (SELECT f, c, count(*) AS n FROM c GROUP BY f, c QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, c) = 1),
+far AS (SELECT d6.f, d6.b FROM z JOIN d6 ON d6.f = z.f AND d6.a = z.c QUALIFY row_number() OVER (PARTITION BY d6.f ORDER BY d6.d DESC, d6.b) = 1),
+dia AS (SELECT d6.f, max(d6.d) AS diameter FROM far JOIN d6 ON d6.f = far.f AND d6.a = far.b GROUP BY d6.f),
+av AS (SELECT d6.f, avg(d6.d) AS m FROM z JOIN c USING (f, c) JOIN d6 ON d6.f = z.f AND d6.a = c.a WHERE d6.a < d6.b GROUP BY d6.f),
+k AS (SELECT f, count(DISTINCT a) AS n FROM c GROUP BY f)
+SELECT k.f AS feeder_id, k.n AS bus_count, 2.0 * (SELECT count(*) FROM l WHERE l.f = k.f) / k.n AS average_degree, coalesce(m, 0) AS mean_path_length, coalesce(diameter, 0) AS diameter
+FROM k LEFT JOIN av USING (f) LEFT JOIN dia USING (f)"""
+
+
+@query("graph_metrics", METRICS_SQL, average_degree=9, mean_path_length=6, diameter=6)
 def graph_metrics(t):
-    g = Net(t)
-    return N.graph_metrics(g.buses, g.lines, g.sources, g.loads)
+    return N.graph_metrics(looped_lines(t))
 
 
 @query("switch_rows", f"""WITH l AS (SELECT c_custkey AS k, c_custkey // 2 AS p FROM customer WHERE c_custkey > 0), ln AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment <> 'MACHINERY')
