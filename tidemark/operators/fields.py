@@ -35,24 +35,45 @@ def duration_depth(cells: DataFrame, d: int, stride: int = 1, by=None, time: str
     return out.withColumn("storm_date", start)
 
 
+def footprint_runs(offsets: DataFrame) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """The footprint's row runs (dr, first dc, last dc) and its cells: its shape is a parameter, not data."""
+    cells = sorted({(int(r["dr"]), int(r["dc"])) for r in offsets.select("dr", "dc").collect()})
+    runs: list[tuple[int, int, int]] = []
+    for dr, dc in cells:
+        if runs and runs[-1][0] == dr and runs[-1][2] == dc - 1:
+            runs[-1] = (dr, runs[-1][1], dc)
+        else:
+            runs.append((dr, dc, dc))
+    return runs, cells
+
+
 def footprint_max(depth: DataFrame, offsets: DataFrame, centres: DataFrame, by=None, end: str = "storm_end",
                   row: str = "row", col: str = "col") -> DataFrame:
     """Best place of a moving footprint at each window end.
 
-    Mean depth over the footprint cells around every allowed centre (cells present only); the largest
-    mean wins, then the smallest (row, col). Each depth cell goes to the centres that use it, so the
-    means are one aggregation with partial sums before the shuffle. `centres` must keep the footprint
-    inside the grid; `offsets` is the small footprint shape.
+    Mean depth over the footprint cells around every allowed centre (cells present only); the largest mean, to nine
+    digits, wins, then the smallest (row, col). The footprint is taken as runs of its rows: a cell adds its depth to the
+    centres of a run from one column on and takes it off behind the last, and running sums along each grid row give all
+    means. The cost grows with the number of runs and not with their width; cells are looked up again for the best
+    place alone. `centres` must keep the footprint inside the grid. Missing depths are left out.
     """
     by = listed(by)
-    spread = depth.join(F.broadcast(offsets.select("dr", "dc"))).select(
-        *by, end, (F.col(row) - F.col("dr")).alias(row), (F.col(col) - F.col("dc")).alias(col), "depth")
-    at = spread.join(centres.select(row, col), [row, col], "left_semi")
-    means = at.groupBy(*by, end, row, col).agg(F.avg("depth").alias("m"), F.max("depth").alias("x"), F.min("depth").alias("n"))
-    best = means.groupBy(*by, end).agg(F.max(F.struct(
-        "m", (-F.col(row)).alias("r"), (-F.col(col)).alias("c"), "x", "n")).alias("b"))
-    return best.select(*by, end, F.col("b.m").alias("mean"), F.col("b.x").alias("max"), F.col("b.n").alias("min"),
-                       (-F.col("b.r")).alias("centre_row"), (-F.col("b.c")).alias("centre_col"))
+    runs, shape = footprint_runs(offsets)
+    if not runs:
+        raise ValueError("the footprint has no cells")
+    d = depth.select(*by, end, row, col, finite("depth").alias("depth")).where("depth is not null")
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(at).alias("at"), F.lit(s).alias("s")) for dr, lo, hi in runs for at, s in ((-hi, 1), (1 - lo, -1))])
+    marks = d.withColumn("_e", F.explode(steps)).groupBy(*by, end, (F.col(row) - F.col("_e.dr")).alias("_r"), (F.col(col) + F.col("_e.at")).alias("_c")).agg(
+        F.sum(F.col("depth") * F.col("_e.s")).alias("_d"), F.sum(F.col("_e.s").cast("long")).alias("_n"))
+    along = Window.partitionBy(*by, end, "_r").orderBy("_c")  # one row of the grid at one window end
+    swept = marks.select(*by, end, "_r", "_c", F.lead("_c").over(along).alias("_next"), F.sum("_d").over(along).alias("_sum"), F.sum("_n").over(along).alias("_k"))
+    means = swept.where("_k > 0").select(*by, end, F.col("_r").alias(row), F.explode(F.sequence(F.col("_c"), F.col("_next") - 1)).alias(col), F.round(F.col("_sum") / F.col("_k"), 9).alias("m"))
+    at = means.join(centres.select(row, col), [row, col], "left_semi")
+    best = at.groupBy(*by, end).agg(F.min(F.struct((-F.col("m")).alias("m"), F.col(row).alias("r"), F.col(col).alias("c"))).alias("b"))
+    cells = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in shape]))
+    looked = best.select(*by, end, "b.r", "b.c", cells.alias("_o")).select(*by, end, "r", "c", (F.col("r") + F.col("_o.dr")).alias(row), (F.col("c") + F.col("_o.dc")).alias(col))
+    return looked.join(d, [*by, end, row, col]).groupBy(*by, end, F.col("r").alias("centre_row"), F.col("c").alias("centre_col")).agg(
+        F.avg("depth").alias("mean"), F.max("depth").alias("max"), F.min("depth").alias("min")).select(*by, end, "mean", "max", "min", "centre_row", "centre_col")
 
 
 def allowed_centres(cells: DataFrame, offsets: DataFrame, stride: int = 1, row: str = "row", col: str = "col") -> DataFrame:

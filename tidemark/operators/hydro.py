@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kit.blocks import quantiles, row_numbers
+from ..kit.cells import in_boxes
 from ..kit.common import clip, cut, finite
 from ..kit.graph import drains_to
 from ..kit.intervals import knn, nearest, within_distance
@@ -140,13 +141,13 @@ def river_formulas(df: DataFrame, area: str = "totdasqkm") -> DataFrame:
 def inflow_crossings(lines: DataFrame, boxes: DataFrame, min_area: float, line: str = "line_id") -> DataFrame:
     """Points where rivers that end inside a box meet its boundary, ranked by drainage area per box.
 
-    `lines` has vertices array<struct<x,y>> and uparea; `boxes` is small (box_id, xmin, ymin, xmax, ymax). A stretch lying
+    `lines` has vertices array<struct<x,y>> and uparea; `boxes` is (box_id, xmin, ymin, xmax, ymax); river ends and boxes meet on quadtree cells. A stretch lying
     on an edge counts once, at its middle.
     """
     v = lines.where(finite("uparea") >= min_area)
     last = F.element_at("vertices", -1)
-    b = F.broadcast(boxes)
-    ends = v.join(b, (last["x"] >= F.col("xmin")) & (last["x"] <= F.col("xmax")) & (last["y"] >= F.col("ymin")) & (last["y"] <= F.col("ymax")))
+    ended = v.withColumn("_ex", last["x"]).withColumn("_ey", last["y"])
+    ends = in_boxes(ended, boxes.select("box_id", "xmin", "ymin", "xmax", "ymax"), "_ex", "_ey", "xmin", "xmax", "ymin", "ymax")
     seg = ends.select(line, "uparea", "box_id", "xmin", "ymin", "xmax", "ymax", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("vertices") - 1), lambda i: F.struct(F.element_at("vertices", i).alias("a"), F.element_at("vertices", i + 1).alias("b")))).alias("s"))
     ax, ay, bx, by = (F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y"))

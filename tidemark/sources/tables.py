@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kit.blocks import quantiles, row_numbers
+from ..kit.cells import in_boxes, in_rings
 from ..kit.common import clip, finite, listed, secs
 from ..kit.intervals import nearest, within_distance
 
@@ -40,22 +41,9 @@ def assign_gauge_roles(gauges: DataFrame, rules: DataFrame, handoff: DataFrame,
                     F.coalesce("_st", F.lit("accepted_with_warning")).alias("review_status"), "handoff_id")
 
 
-def inside(px: Column, py: Column, vertices: Column) -> Column:
-    """Even-odd test of a point against a closed ring array<struct<x,y>>."""
-    n = F.size(vertices)
-    def step(acc, i):
-        a, b = F.element_at(vertices, i), F.element_at(vertices, F.when(i == n, F.lit(1)).otherwise(i + 1))
-        cross = ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-        return F.when(F.coalesce(cross, F.lit(False)), ~acc).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), step)
-
-
 def assign_region(points: DataFrame, polygons: DataFrame, pid: str = "site_no", x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """First region (by level, then id) holding each point. Region boxes are a broadcast range join before the ring test."""
-    box = polygons.withColumn("_x0", F.array_min(F.transform("vertices", lambda v: v["x"]))).withColumn("_x1", F.array_max(F.transform("vertices", lambda v: v["x"]))).withColumn(
-        "_y0", F.array_min(F.transform("vertices", lambda v: v["y"]))).withColumn("_y1", F.array_max(F.transform("vertices", lambda v: v["y"])))
-    near = points.join(F.broadcast(box), F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1")))
-    hit = near.where(inside(F.col(x), F.col(y), F.col("vertices"))).groupBy(pid).agg(F.min(F.struct("level", "region_id")).alias("r"))
+    """First region (by level, then id) holding each point, even-odd. Points and regions meet on quadtree cells."""
+    hit = in_rings(points.select(pid, x, y), polygons.select("region_id", "level", "vertices"), x, y).groupBy(pid).agg(F.min(F.struct("level", "region_id")).alias("r"))
     return points.select(pid).join(hit, pid, "left").select(pid, F.col("r.region_id").alias("region_id"), F.col("r.level").alias("level"))
 
 
@@ -179,9 +167,9 @@ def gauge_roles(gauges: DataFrame, roles: str = "roles") -> DataFrame:
 
 def gauges_by_domain(gauges: DataFrame, boxes: DataFrame, site: str = "site_no", x: str = "longitude", y: str = "latitude") -> DataFrame:
     """Gauges per domain by declared id; by box containment only when no id matches at all."""
-    by_id = gauges.join(F.broadcast(boxes.select("domain_id")), "domain_id").select("domain_id", site)
+    by_id = gauges.join(boxes.select("domain_id"), "domain_id").select("domain_id", site)
     found = by_id.limit(1).agg(F.count(F.lit(1)).alias("_f"))
-    inbox = gauges.drop("domain_id").join(F.broadcast(boxes), F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax")))
+    inbox = in_boxes(gauges.drop("domain_id"), boxes, x, y, "xmin", "xmax", "ymin", "ymax")
     alt = inbox.join(F.broadcast(found)).where("_f = 0").select("domain_id", site)
     return by_id.unionByName(alt)
 

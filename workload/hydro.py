@@ -97,7 +97,23 @@ def river_formulas(t):
     return Y.river_formulas(t.part.select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size") - 8.0).alias("totdasqkm"))).drop("totdasqkm")
 
 
-@query("inflow_crossings")
+def crossing_sql(c, p, q, r0, r1, lo, hi, vertical):
+    xy = f"{c} AS px, {r0} + t * ({r1} - {r0}) AS py" if vertical else f"{r0} + t * ({r1} - {r0}) AS px, {c} AS py"
+    return f"""SELECT box_id, line_id, uparea, round(px, 6) + 0.0 AS x, round(py, 6) + 0.0 AS y FROM (SELECT *, {xy} FROM (SELECT *, ({c} - s.{p}) / nullif(s.{q} - s.{p}, 0) AS t FROM seg))
+      WHERE t BETWEEN 0 AND 1 AND {"py" if vertical else "px"} BETWEEN {lo} AND {hi}"""
+
+
+INFLOW_SQL = f"""WITH l AS (SELECT c_custkey AS line_id, abs(c_acctbal) AS uparea, CAST(c_custkey * 7919 % 10007 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 10009 AS DOUBLE) AS y FROM customer WHERE abs(c_acctbal) >= 1000),
+b AS (SELECT n_nationkey AS box_id, n_nationkey % 5 * 2000.0 AS xmin, n_nationkey // 5 * 2000.0 AS ymin, n_nationkey % 5 * 2000.0 + 1500 AS xmax, n_nationkey // 5 * 2000.0 + 1500 AS ymax FROM nation),
+e AS (SELECT * FROM l JOIN b ON x + 500 BETWEEN xmin AND xmax AND y + 900 BETWEEN ymin AND ymax),
+seg AS (SELECT box_id, line_id, uparea, xmin, xmax, ymin, ymax, unnest([struct_pack(ax := x, ay := y, bx := x + 300, "by" := y + 50), struct_pack(ax := x + 300, ay := y + 50, bx := x + 450, "by" := y + 400),
+  struct_pack(ax := x + 450, ay := y + 400, bx := x + 500, "by" := y + 900)]) AS s FROM e),
+hit AS ({crossing_sql("xmin", "ax", "bx", "s.ay", 's."by"', "ymin", "ymax", True)} UNION {crossing_sql("xmax", "ax", "bx", "s.ay", 's."by"', "ymin", "ymax", True)}
+  UNION {crossing_sql("ymin", "ay", '"by"', "s.ax", "s.bx", "xmin", "xmax", False)} UNION {crossing_sql("ymax", "ay", '"by"', "s.ax", "s.bx", "xmin", "xmax", False)})
+SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY uparea DESC, line_id, x, y) AS crossing_rank FROM hit"""
+
+
+@query("inflow_crossings", INFLOW_SQL, x=6, y=6)
 def inflow_crossings(t):
     """Customer polylines of four vertices against one box per nation."""
     k = F.col("c_custkey")
