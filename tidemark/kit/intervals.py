@@ -119,41 +119,3 @@ def knn_1d(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid: str,
     near = cand.join(ranked, "_rk").withColumn("gap", F.abs(F.col(tv) - F.col(mv)))
     w = Window.partitionBy(tid).orderBy("gap", mid)  # at most 2k rows per target
     return near.withColumn("near_rank", F.row_number().over(w)).where(F.col("near_rank") <= k).drop("_rk")
-
-
-def knn(targets: DataFrame, members: DataFrame, tid: str, mid: str, dims: list[str], distance: Column,
-        k: int, first_gap: Column, start: int = 64) -> DataFrame:
-    """k nearest members under `distance`, exact, by widening rank windows on the first dimension.
-
-    Target columns are `t_<dim>`, member columns `m_<dim>`. `first_gap` is a lower bound of `distance`
-    from the first dimension alone. A target is settled once its k-th distance is no larger than the
-    lower bound at both window edges; only unsettled targets widen (x4). Where no distance can be
-    taken, for a null coordinate, it counts as 0 and the window first looked at gives the members.
-    """
-    m0, t0 = f"m_{dims[0]}", f"t_{dims[0]}"
-    ranked = cut(row_numbers(members.withColumn("_tie", F.xxhash64(mid).cast("double")), None, m0, "_tie", "_rk").drop("_tie"))
-    total = ranked.count()
-    marks = ranked.select(F.col(m0).alias("_t"), F.lit(0).alias("_tag"), F.col("_rk"))
-    probe = targets.withColumn("_t", F.col(t0).cast("double")).withColumn("_tag", F.lit(1))
-    left = cut(running(probe.unionByName(marks, allowMissingColumns=True), None, "_t",
-                       {"_at": ("max", F.coalesce("_rk", F.lit(0)))}, tie="_tag").where("_tag = 1").drop("_rk", "_t", "_tag"))
-    out, half = None, max(start, k)
-    w = Window.partitionBy(tid).orderBy("distance", mid)
-    while True:
-        lo, hi = F.greatest(F.lit(1), F.col("_at") - (half - 1)), F.least(F.lit(total), F.col("_at") + half)
-        cand = left.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(
-            "_rk", F.explode(F.sequence("_lo", "_hi")))
-        near = cand.join(ranked, "_rk").withColumn("distance", F.coalesce(distance, F.lit(0.0))).withColumn("_edge", first_gap)
-        near = near.withColumn("near_rank", F.row_number().over(w))
-        full = Window.partitionBy(tid)
-        low_edge = F.max(F.when((F.col("_rk") == F.col("_lo")) & (F.col("_lo") > 1), F.col("_edge"))).over(full)
-        high_edge = F.max(F.when((F.col("_rk") == F.col("_hi")) & (F.col("_hi") < total), F.col("_edge"))).over(full)
-        kth = F.max(F.when(F.col("near_rank") <= k, F.col("distance"))).over(full)
-        settled = (low_edge.isNull() | (kth < low_edge)) & (high_edge.isNull() | (kth < high_edge))
-        near = cut(near.withColumn("_ok", F.coalesce(settled, F.lit(True))).where(F.col("near_rank") <= k))
-        good = near.where("_ok").drop("_ok", "_lo", "_hi", "_rk", "_edge", "_at")
-        out = good if out is None else out.unionByName(good)
-        rest = left.join(near.where("not _ok").select(tid).distinct(), tid, "left_semi")
-        if half >= total or rest.isEmpty():
-            return out
-        left, half = cut(rest), half * 4

@@ -11,7 +11,8 @@ from ..kit.blocks import quantiles, row_numbers
 from ..kit.cells import in_boxes
 from ..kit.common import clip, cut, finite
 from ..kit.graph import drains_to
-from ..kit.intervals import knn, nearest, within_distance
+from ..kit.intervals import nearest, within_distance
+from ..kit.neighbours import nearest_members
 
 # Usable soil groups in order, layer depths (cm), organic-matter to carbon factor, ksat um/s to mm/h.
 SOIL_GROUPS = ("A", "B", "C", "D")
@@ -85,13 +86,13 @@ def enrich_rivers(rivers: DataFrame, geometry: DataFrame, key: str = "comid", la
 def transfer_attributes(rivers: DataFrame, reference: DataFrame, k: int = 5, rid: str = "river_id", ref_id: str = "ref_id") -> DataFrame:
     """Median width and depth of the k reference rivers nearest in (2 x order, log10 area, log10 length), exact.
 
-    The search widens rank windows on log area until the k-th distance is proven, so no river meets all references.
+    The search goes down a tree of boxes over all three, so a river meets the references of a few leaves.
     """
     def feats(df, p, key, *more):
         lg = lambda c: F.log10(F.greatest(F.coalesce(finite(c), F.lit(0.0)), F.lit(1e-6)))
         return df.select(F.col(key), lg("area").alias(f"{p}_a"), (F.greatest(F.coalesce(finite("order"), F.lit(0.0)), F.lit(0.0)) * 2.0).alias(f"{p}_o"), lg("length").alias(f"{p}_l"), *more)
     dist = F.sqrt((F.col("t_a") - F.col("m_a")) ** 2 + (F.col("t_o") - F.col("m_o")) ** 2 + (F.col("t_l") - F.col("m_l")) ** 2)
-    near = knn(feats(rivers, "t", rid), feats(reference, "m", ref_id, "width_m", "depth_m"), rid, ref_id, ["a"], dist, k, F.abs(F.col("t_a") - F.col("m_a")), start=256)
+    near = nearest_members(feats(rivers, "t", rid), feats(reference, "m", ref_id, "width_m", "depth_m"), rid, ref_id, {"a": 1.0, "o": 1.0, "l": 1.0}, dist, k)
     # At most k rows per river, so the built-in exact median is bounded.
     return near.groupBy(rid).agg(F.percentile("width_m", 0.5).alias("width_m"), F.percentile("depth_m", 0.5).alias("depth_m"), F.max("distance").alias("farthest"))
 
