@@ -1,7 +1,7 @@
 """Exact k nearest members in several dimensions through a tree of boxes over a space-filling order.
 
 Members are sorted by the interleaved bits of their quantile numbers (a Morton key), cut into leaves of equal size, and leaves are
-gathered sixteen at a time into nodes with the box of their members. All targets go down the tree in step: at each
+gathered eight at a time into nodes with the box of their members. All targets go down the tree in step: at each
 level a target keeps the nodes whose box may hold one of its k nearest, for the nodes that lie wholly within some distance already
 hold k members. Depth grows with the logarithm of the members, and a target meets the members of a few leaves.
 """
@@ -15,7 +15,7 @@ from .blocks import row_numbers
 from .common import settle
 
 #: Members of a leaf, children of a node, bits of a quantile number.
-LEAF, FAN, BITS = 64, 16, 6
+LEAF, FAN, BITS = 16, 8, 6
 #: Rows of a tree level or of the members that are told to all tasks; larger ones are joined by node.
 TOLD_ROWS = 100_000
 
@@ -66,7 +66,9 @@ def nearest_members(targets: DataFrame, members: DataFrame, tid: str, mid: str,
 
     told = lambda df, n: F.broadcast(df) if n <= told_rows else df
     mine = Window.partitionBy(tid)
-    front = probes.where("_whole").withColumn("_node", F.lit(0).cast("long"))
+    # Few bytes of targets grow to many rows on the way down: a fixed number of partitions is not put together before that.
+    spread = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    front = probes.where("_whole").repartition(spread, tid).withColumn("_node", F.lit(0).cast("long"))
     for level, n in list(zip(levels, sizes, strict=True))[-2::-1]:
         children = level.withColumnRenamed("_node", "_child").withColumn("_node", F.floor(F.col("_child") / FAN))
         seen = front.join(told(children, n), "_node")
