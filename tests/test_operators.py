@@ -181,7 +181,7 @@ def test_tree_metrics(spark):
     buses = spark.createDataFrame([(x,) for x in "abcd"], "bus string")
     src = spark.createDataFrame([("a",)], "bus string")
     loads = spark.createDataFrame([("c", 1.0), ("d", 2.0)], "bus string, kw double")
-    r = N.graph_metrics(buses, lines, src, loads).first()
+    r = N.graph_metrics(lines.withColumn("feeder_id", F.lit(1))).first()
     assert r.mean_path_length == pytest.approx((2 + 5 + 6 + 3 + 4 + 7) / 6) and r.diameter == 7.0 and r.average_degree == 1.5
     tree = N.orient_feeders(buses, lines, src, loads)
     best = {x.node: x.benefit for x in N.switch_benefit(tree, loads).collect()}
