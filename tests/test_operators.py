@@ -1,6 +1,7 @@
 """Operators on small hand-made frames with worked-out results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,18 @@ def test_realize_draws_only_near_members(spark):
     assert got[2].template_value == pytest.approx(100.0) and got[2].scale_factor == 1.0
 
 
+def test_isolines_keep_every_target(spark):
+    rng = random.Random(5)
+    rows = [(i, 1.0 + i % 12, rng.gauss(0, 1), rng.gauss(3, 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, and_return_period_years double, x double, y double")
+    got = {r.target_return_period_years: r for r in X.isoline_events(df, [5.0, 5000.0], ["x", "y"], min_points=5).collect()}
+    assert set(got) == {5.0, 5000.0} and got[5.0].isoline_points >= 5 and got[5.0].kde_density > 0
+    lost = got[5000.0]
+    assert (lost.isoline_points, lost.id, lost.kde_density, lost.x) == (0, None, None, None) and lost.relative_tolerance >= 4.0
+    flat = X.isoline_events(df.withColumn("x", F.lit(1.0)), [5.0], ["x", "y"], min_points=5).first()
+    assert flat.kde_density is None and flat.id == 4 and flat.x == 1.0
+
+
 def test_season_wraps_the_year(spark):
     ev = spark.createDataFrame([(1, "2020-12-31"), (2, "2020-07-01")], "event_id int, time string").withColumn("time", F.to_timestamp("time"))
     mem = spark.createDataFrame([(10, "2001-01-03"), (11, "2001-03-20")], "member_id int, member_time string").withColumn("member_time", F.to_timestamp("member_time"))
