@@ -11,7 +11,7 @@ from tidemark.kit.common import ensure_checkpoint_dir
 from tidemark.streaming import live as L
 
 from .base import query
-from .impact import curves, kinds
+from .impact import CURVE_SQL, KIND_SQL, P_SQL, curves, kinds
 
 
 def run(t, stream: DataFrame, name: str) -> DataFrame:
@@ -41,10 +41,16 @@ def stream_exceedance_sessions(t):
     return run(t, L.stream_exceedance_sessions(s, 100.0, "2 hours"), "sessions")
 
 
-@query("stream_impacts", """SELECT event_id, user_id AS asset_id, CASE c_mktsegment WHEN 'MACHINERY' THEN 'transformer' WHEN 'BUILDING' THEN 'source' WHEN 'HOUSEHOLD' THEN 'fuse_proxy' WHEN 'FURNITURE' THEN 'overhead_line' ELSE 'load_bus' END AS asset_type, value / 60 AS sampled_depth_m FROM events JOIN customer ON c_custkey = user_id""", sampled_depth_m=5)
+SCORED_SQL = f"""WITH {CURVE_SQL}, dp AS (SELECT event_id, user_id AS asset_id, value / 60 AS d FROM events),
+im AS (SELECT event_id, dp.asset_id, {KIND_SQL} AS asset_type, d, {P_SQL} AS p FROM dp JOIN customer ON c_custkey = asset_id LEFT JOIN cv ON cv.asset_type = {KIND_SQL})
+SELECT event_id, asset_id, asset_type, d AS sampled_depth_m, p AS failure_probability, coalesce(p >= 0.5, false) AS affected, p IS NULL AS unmapped_class FROM im"""
+
+
+@query("stream_impacts", SCORED_SQL, sampled_depth_m=5, failure_probability=6)
 def stream_impacts(t):
     s = events(t).select("event_id", F.col("user_id").alias("asset_id"), (F.col("value") / 60).alias("sampled_depth_m"))
-    return run(t, L.stream_impacts(s, kinds(t), curves(t)), "impacts").select("event_id", "asset_id", "asset_type", "sampled_depth_m")
+    return run(t, L.stream_impacts(s, kinds(t), curves(t)), "impacts").select(
+        "event_id", "asset_id", "asset_type", "sampled_depth_m", "failure_probability", "affected", "unmapped_class")
 
 
 @query("stream_duration_depth")
