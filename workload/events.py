@@ -340,3 +340,13 @@ def lag_contract(t):
                         (k % 90 - 40.0).alias("rainfall_peak_offset_hours"), (k % 120 + 10.0).alias("rainfall_end_offset_hours"),
                         (F.col("o_orderkey") % 200 - 100.0).alias("rainfall_pairing_lag_hours"))
     return V.lag_contract(c, 72.0)
+
+
+@query("compound_lag", """SELECT o_orderkey AS event_id, coalesce(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 90 - 40.0 END, CASE WHEN o_custkey % 4 > 0 THEN o_orderkey % 200 - 100.0 END,
+ CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey % 48 - 24.0 END) AS compound_lag_hours FROM orders""", compound_lag_hours=3)
+def compound_lag(t):
+    k, n = F.col("o_custkey"), F.col("o_orderkey")
+    c = t.orders.select(n.alias("event_id"), F.when(F.col("o_orderpriority") == "5-LOW", "historical_compound").otherwise("synthetic_body").alias("event_origin"),
+                        F.when(k % 3 > 0, k % 90 - 40.0).alias("rainfall_peak_offset_hours"), F.when(k % 4 > 0, n % 200 - 100.0).alias("rainfall_pairing_lag_hours"),
+                        (n % 48 - 24.0).alias("rainfall_realization_lag_hours"))
+    return V.compound_lag(c).select("event_id", "compound_lag_hours")

@@ -212,3 +212,26 @@ def impact_class(t):
 def points(df, key, pid, x="x", y="y", *more):
     k = F.col(key)
     return df.select(k.alias(pid), (k * 7919 % 10007).cast("double").alias(x), (k * 104729 % 10009).cast("double").alias(y), *more)
+
+
+def outcome_rows(t):
+    """One outcome row per customer: origin and storm type by key, severity by return period."""
+    k, rp = F.col("c_custkey"), F.abs("c_acctbal") / 10
+    group = F.when(k % 3 == 0, "historical").otherwise("synthetic")
+    rows = t.customer.select(k.alias("event_id"), group.alias("event_origin_group"), F.concat(group, F.lit("_"), (k % 2).cast("string")).alias("event_origin"),
+                             F.when(k % 5 > 0, F.col("c_mktsegment")).alias("storm_type"), F.when(k % 7 > 0, rp).alias("sample_rp_years"), F.when(k % 11 > 0, k % 13 / 2.0).alias("peak_incremental_land_depth_m"))
+    return rows.withColumn("severity_band", X.band_column(F.col("sample_rp_years")))
+
+
+@query("order_catalogue", f"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'historical' ELSE 'synthetic' END AS g, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS st,
+ CASE WHEN c_custkey % 7 > 0 THEN abs(c_acctbal) / 10 END AS rp, CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 13 / CAST(2 AS DOUBLE) END AS d FROM customer),
+b AS (SELECT *, {BAND_SQL.format(rp='rp')} AS band FROM c)
+SELECT k AS event_id, row_number() OVER (ORDER BY g, g || '_' || (k % 2), st NULLS FIRST, coalesce(list_position({list(O.SEVERITY_ORDER)!r}, band), 100), rp NULLS LAST, d DESC NULLS LAST, k) AS place FROM b""")
+def order_catalogue(t):
+    """The sorted rows with the place of each: partitions of a sort are numbered in order."""
+    from tidemark.kit.common import settle
+
+    part = settle(O.order_catalogue(outcome_rows(t)).select("event_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
+    before = part.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    start = before.select(F.col("p").alias("q"), "n").join(before.select("p"), F.col("q") < F.col("p"), "right").groupBy("p").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("start"))
+    return part.join(F.broadcast(start), "p").select("event_id", (F.col("start") + F.col("i").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
