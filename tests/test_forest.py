@@ -63,7 +63,7 @@ def test_nearest_seed_is_the_walk(spark, looped):
 
 
 def test_long_path_takes_logarithmic_rounds(spark, monkeypatch):
-    n, rounds = 3000, []
+    n, rounds = 1000, []
     ids = spark.range(1, n).select(((F.col("id") * 7) % n).alias("u"), (((F.col("id") - 1) * 7) % n).alias("v"))
     path = ids.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(0).alias("component"))
@@ -71,20 +71,20 @@ def test_long_path_takes_logarithmic_rounds(spark, monkeypatch):
     monkeypatch.setattr(forest, "settle", lambda df: rounds.append(df.columns) or held(df))
     seen = forest.orient(path, spark.createDataFrame([(0, 0)], "node long, label long"), nodes)
     assert seen.agg(F.max("depth"), F.sum("size")).first() == (n - 1, n * (n + 1) // 2)
-    assert sum(c == ["id", "nx", "left"] for c in rounds) <= 15
+    assert sum(c == ["id", "nx", "left"] for c in rounds) <= 13
     depth = root_sums(seen.withColumn("one", F.lit(1.0)), "node", "parent", "one")
     assert depth.agg(F.max("one")).first()[0] == n
 
 
 def test_metrics_of_feeders(spark):
     rng, rows = random.Random(2), []
-    for f in range(5):
+    for f in range(0, 5, 2):
         n = 12 + f
         rows += [(f, f"b{k:02d}", f"b{rng.randrange(k):02d}", float(rng.randrange(0, 9))) for k in range(1, n) if k % 7 != 5]
         rows += [(f, f"b{rng.randrange(n):02d}", f"b{rng.randrange(n):02d}", float(rng.randrange(1, 9))) for _ in range(f)]
     rows += [(6, "x", "x", 1.0), (7, "", "y", 1.0), (8, "p", "q", None), (0, None, "b00", 4.0)]
     got = {r.feeder_id: tuple(r)[1:] for r in network.graph_metrics(spark.createDataFrame(rows, "feeder_id long, from_bus string, to_bus string, length double")).collect()}
-    assert set(got) == {0, 1, 2, 3, 4, 6, 7, 8}
+    assert set(got) == {0, 2, 4, 6, 7, 8}
     for f in got:
         mine = [(a, b, w or 0.0) for g, a, b, w in rows if g == f and a and b]
         adj = neighbours(mine)
