@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..kit.common import cut, ensure_checkpoint_dir
 
 __all__ = ["arrow_pass", "cut", "documents", "ensure_checkpoint_dir", "let", "lower_ascii", "md5_long", "shared_folder",
-           "small_batches", "spaced_words", "text_bytes"]
+           "set_apart", "small_batches", "spaced_words", "text_bytes"]
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: A-Z to a-z; every other byte stays, so UTF-8 sequences are never touched.
@@ -34,6 +34,13 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def set_apart(df: DataFrame, **more: Column) -> tuple[DataFrame, list[Column]]:
+    """`df` under positional names beside the columns `more`, and the columns that give its own back: no name can clash."""
+    inner = [f"in_{i}" for i in range(len(df.columns))]
+    held = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(df.columns, inner)], *[v.alias(k) for k, v in more.items()])
+    return held, [F.col(i).alias(c) for c, i in zip(df.columns, inner)]
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply `fn` to every Arrow batch of `df`."""
     small_batches(df.sparkSession)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import md5_long
+from .common import md5_long, set_apart
 
 OTHER = "*"
 SCALE = float(16**15)
@@ -82,14 +82,24 @@ def counts(seed: int, doc_id: Column, rate: Column) -> Column:
     return F.when(rate <= WHOLE, copies(uniform(key, doc_id), rate)).otherwise(summed)
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], seed: int = 0, total: float | None = None) -> DataFrame:
-    """Rows of `docs` by their counts, in shuffled order, with rate, copy (from 1) and place, the hash that orders them."""
+#: Columns that the operator adds.
+ADDED = ("rate", "copy", "place")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float], seed: int = 0, total: float | None = None, added: bool = True) -> DataFrame:
+    """Rows of `docs` by their counts, in shuffled order, with rate, copy (from 1) and place, the hash that orders them.
+
+    An input column named as one of these gives way to it; with `added` false the result has just the columns of `docs`.
+    """
     table = F.broadcast(rates(docs, weights, total))  # bounded: see rates
-    drawn = docs.withColumn("mix_group", group_of(F.col("source"), weights)).join(table, "mix_group").withColumn(
-        "_n", counts(seed, F.col("doc_id"), F.col("rate")))
-    many = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "mix_group")
-    placed = many.withColumn("place", md5_long(F.lit(f"order{seed}"), F.col("doc_id"), F.col("copy")))
-    return placed.repartition("place").sortWithinPartitions("place", "doc_id", "copy")
+    held, own = set_apart(docs, key=F.col("doc_id"), mix_group=group_of(F.col("source"), weights))
+    drawn = held.join(table, "mix_group").withColumn("n", counts(seed, F.col("key"), F.col("rate")))
+    many = drawn.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "mix_group")
+    placed = many.withColumn("place", md5_long(F.lit(f"order{seed}"), F.col("key"), F.col("copy")))
+    dealt = placed.repartition("place").sortWithinPartitions("place", "key", "copy")
+    if not added:
+        return dealt.select(*own)
+    return dealt.select(*[c for c, name in zip(own, docs.columns) if name.lower() not in ADDED], *ADDED)
 
 
 def expected_shares(weights: dict[str, float]) -> dict[str, float]:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kit.graph import components
-from .common import LOWER_SPACED, arrow_pass, cut, documents, mix64, text_bytes
+from .common import LOWER_SPACED, arrow_pass, cut, documents, mix64, set_apart, text_bytes
 
 ROWS = 5
 SKETCH_BITS = 512
@@ -329,5 +329,6 @@ def survivors(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """One row of `docs` for each component, that of its spot, and every row without words."""
     signed = cut(signatures(docs, plan))
     chosen = classes(docs, signed, plan).select(F.col("spot").alias("_spot")).distinct()
-    standing = docs.withColumn("_spot", spot()).join(chosen, "_spot", "left_semi").dropDuplicates(["_spot"]).select(*docs.columns)
+    held, own = set_apart(docs, _spot=spot())
+    standing = held.join(chosen, "_spot", "left_semi").dropDuplicates(["_spot"]).select(*own)
     return standing.union(docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))

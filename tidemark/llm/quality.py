@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, set_apart
 
 #: Rows that decide the order of the rules.
 SAMPLE_ROWS = 4_000
@@ -153,6 +153,12 @@ def verdicts(docs: DataFrame, rules=RULES) -> DataFrame:
     return told.drop(*[f"_{n}" for n in SHARED])
 
 
+def passed(docs: DataFrame, rules=RULES) -> DataFrame:
+    """Rows of `docs` that no rule rejects, with the columns of `docs`, whatever their names."""
+    held, own = set_apart(docs, text=F.col("text"))
+    return verdicts(held, rules).where("kept").select(*own)
+
+
 def measured_verdicts(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, all measures, base_failed and kept of every row."""
     full = measured(docs.select("doc_id", "text"), list(MEASURES))
