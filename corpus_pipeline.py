@@ -18,7 +18,7 @@ SEED = 17
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.verdicts(docs).where("kept").select(*docs.columns)
+    return quality.passed(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to the target weights, in shuffled order; a document may be absent or repeated."""
-    return mixing.mixed(docs, WEIGHTS, SEED).select(*docs.columns)
+    return mixing.mixed(docs, WEIGHTS, SEED, added=False)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
