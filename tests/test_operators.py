@@ -232,3 +232,11 @@ def test_readers(spark, tmp_path):
     assert [(r.site_no, r.discharge_cfs, r.source) for r in rdb] == [("01234567", 5.5, "usgs_iv")]
     R.write_catalog(spark.createDataFrame([("e1", 2.0)], "event_id string, x double"), str(tmp_path / "cat"))
     assert spark.read.parquet(str(tmp_path / "cat")).columns[:3] == ["event_id", "event_role", "event_origin"]
+
+
+def test_facility_profiles(spark):
+    f = spark.createDataFrame([("a:b:7", "school"), ("8", "unheard"), (None, None)], "facility_id string, facility_class string")
+    got = {r.facility_class: r for r in I.facility_profiles(f, "town").collect()}
+    assert got["school"].loadshape_id == "town:loadshape:7:comstock:PrimarySchool:school_calendar"
+    assert got["unheard"].loadshape_id == "town:loadshape:8:comstock:SmallOffice:business_hours" and got[None].loadshape_id is None
+    assert got[None].customer_class == "critical_facility"

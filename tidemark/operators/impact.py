@@ -185,6 +185,40 @@ def assign_profiles(loads: DataFrame, pool: DataFrame, seed: int, name: str = "l
     return j.withColumn("archetype", F.element_at("_opts", pick)).withColumn("tariff", tariff(finite(kw), F.col("customer_class"))).drop("_opts")
 
 
+# Profile source, building type, schedule and customer class of each facility class, and of any other.
+FACILITY_ARCHETYPES = {
+    "police_eoc": ("comstock", "SmallOffice", "24x7", "critical_facility"),
+    "fire_station": ("comstock", "SmallOffice", "24x7", "critical_facility"),
+    "communications_exchange": ("comstock", "SmallOffice", "24x7", "critical_facility"),
+    "responder_radio": ("comstock", "SmallOffice", "24x7", "critical_facility"),
+    "municipal_facility": ("comstock", "SmallOffice", "business_hours", "critical_facility"),
+    "senior_center": ("comstock", "MediumOffice", "business_hours", "critical_facility"),
+    "school": ("comstock", "PrimarySchool", "school_calendar", "critical_facility"),
+    "school_administration": ("comstock", "SmallOffice", "business_hours", "critical_facility"),
+    "public_housing": ("resstock", "MultiFamily", "extended_residential", "residential"),
+    "healthcare_residential": ("comstock", "Outpatient", "extended_residential", "critical_facility"),
+    "wastewater_treatment_plant": ("comstock", "Warehouse", "industrial_continuous", "critical_facility"),
+    "public_works": ("comstock", "Warehouse", "business_hours", "critical_facility"),
+}
+OTHER_ARCHETYPE = ("comstock", "SmallOffice", "business_hours", "critical_facility")
+CLIMATE_ZONE = "ASHRAE_5A"
+ARCHETYPE_COLUMNS = ("profile_source", "source_building_type", "schedule_overlay", "customer_class")
+
+
+def facility_profiles(facilities: DataFrame, location: str, fid: str = "facility_id", kind: str = "facility_class") -> DataFrame:
+    """`facilities` with the archetype of their class (the default for unknown and null ones) and a load-shape id.
+
+    The id joins the location, the last colon-parted piece of the facility id, source, building and schedule; a null
+    facility id has a null load shape.
+    """
+    table = F.create_map(*[x for k, v in FACILITY_ARCHETYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    found = facilities.withColumn("_a", F.coalesce(F.try_element_at(table, F.col(kind)), F.array(*map(F.lit, OTHER_ARCHETYPE))))
+    found = found.withColumns({c: F.col("_a")[i] for i, c in enumerate(ARCHETYPE_COLUMNS)}).withColumn("source_geography", F.lit(CLIMATE_ZONE)).drop("_a")
+    token = F.element_at(F.split(F.col(fid).cast("string"), ":"), -1)
+    shape = F.concat(F.lit(f"{location}:loadshape:"), token, *[F.concat(F.lit(":"), F.col(c)) for c in ARCHETYPE_COLUMNS[:3]])
+    return found.withColumn("diversity_group_id", token).withColumn("loadshape_id", shape)
+
+
 # The five schedule shapes in `load_shape`, with their hours, levels and slopes.
 def load_shape(kind: Column, hour: Column) -> Column:
     """Share of peak load at an hour of the year for the five schedule shapes (business hours when unknown)."""

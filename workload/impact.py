@@ -178,6 +178,26 @@ def assign_profiles(t):
     return profiled(t)
 
 
+CLASSES = ["police_eoc", "fire_station", "communications_exchange", "responder_radio", "municipal_facility", "senior_center", "school",
+           "school_administration", "public_housing", "healthcare_residential", "wastewater_treatment_plant", "public_works", "library", None]
+
+
+@query("facility_profiles", f"""WITH f AS (SELECT 'town:facility:' || c_custkey AS facility_id,
+  {[c or '' for c in CLASSES]}[c_custkey % 14 + 1] AS k FROM customer),
+a AS (SELECT facility_id, nullif(k, '') AS facility_class, CASE WHEN k = 'public_housing' THEN 'resstock' ELSE 'comstock' END AS profile_source,
+  CASE k WHEN 'public_housing' THEN 'MultiFamily' WHEN 'healthcare_residential' THEN 'Outpatient' WHEN 'senior_center' THEN 'MediumOffice' WHEN 'school' THEN 'PrimarySchool'
+    WHEN 'wastewater_treatment_plant' THEN 'Warehouse' WHEN 'public_works' THEN 'Warehouse' ELSE 'SmallOffice' END AS source_building_type,
+  CASE WHEN k IN ('police_eoc', 'fire_station', 'communications_exchange', 'responder_radio') THEN '24x7' WHEN k = 'school' THEN 'school_calendar'
+    WHEN k IN ('public_housing', 'healthcare_residential') THEN 'extended_residential' WHEN k = 'wastewater_treatment_plant' THEN 'industrial_continuous' ELSE 'business_hours' END AS schedule_overlay,
+  CASE WHEN k = 'public_housing' THEN 'residential' ELSE 'critical_facility' END AS customer_class, 'ASHRAE_5A' AS source_geography,
+  split_part(facility_id, ':', 3) AS diversity_group_id FROM f)
+SELECT *, 'town:loadshape:' || diversity_group_id || ':' || profile_source || ':' || source_building_type || ':' || schedule_overlay AS loadshape_id FROM a""")
+def facility_profiles(t):
+    kind = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("c_custkey") % 14 + 1).cast("int"))
+    f = t.customer.select(F.concat(F.lit("town:facility:"), F.col("c_custkey")).alias("facility_id"), kind.alias("facility_class"))
+    return I.facility_profiles(f, "town")
+
+
 SHAPE_SQL = """CASE kind WHEN '24x7' THEN least(1, greatest(0.62, 0.8 + 0.2 * sin(pi() * (h % 24 - 1) / 24)))
  WHEN 'school_calendar' THEN CASE WHEN h // 24 % 7 >= 5 OR h // 24 % 365 BETWEEN 165 AND 244 THEN 0.05 WHEN h % 24 BETWEEN 7 AND 15 THEN 0.1 + 0.9 * sin(pi() * (h % 24 - 6.5) / 9) ELSE 0.1 END
  WHEN 'extended_residential' THEN least(1, (0.3 + 0.4 * exp(-((h % 24 - 7) ** 2) / 6.0) + 0.7 * exp(-((h % 24 - 19) ** 2) / 8.0)) * CASE WHEN h // 24 % 7 >= 5 THEN 1.1 ELSE 1.0 END)
