@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, let
+from .common import cut, documents
 
 # The pattern of the tokenizer, in Java's notation (its \s and \S are ASCII there, so the Unicode property
 # is named). The alternatives and their order are those of public_tokenizers.PATTERN.
@@ -31,6 +31,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L
 ID_BITS, START_BITS = 17, 29
 NONE = (1 << ID_BITS) - 1
 CLOSED = NONE << (START_BITS + ID_BITS)
+REST = (1 << (START_BITS + ID_BITS)) - 1
 RANK_SLOTS = 1 << 16
 PAIR_SLOTS = 1 << 18
 WORD_SLOTS = 1 << 17
@@ -39,6 +40,12 @@ SAMPLE_DOCS = 24_000
 MOST_WORDS = 120_000
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` computed once: a fold over nothing. Unlike an element of a one-element array it asks for no
+    types while rows are computed, and it copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
 def slots(df: DataFrame, key: str, value: Column, n: int, at: Column | None = None) -> Column:
     """A constant array of n small maps that holds (key, value) at the slot of the key's hash, or at the slot given."""
     small = df.groupBy((F.pmod(F.xxhash64(key), F.lit(n)) if at is None else at).alias("slot")).agg(
@@ -56,7 +63,7 @@ def with_constants(df: DataFrame, to: str, constants: dict[str, Column], body: C
     reference, which the optimizer puts in place, so they are never copied into rows."""
     held = df.withColumns({f"_const_{k}": v for k, v in constants.items()})
     bound = F.struct(*[F.col(f"_const_{k}").alias(k) for k in constants])
-    return held.select(*[c for c in df.columns if c != to], let(bound, body).alias(to))
+    return held.select(*[c for c in df.columns if c != to], bind(bound, body).alias(to))
 
 
 class Bpe:
@@ -114,13 +121,13 @@ def rank(c: Column, a: Column, b: Column) -> Column:
 
 def fold(c: Column, word: Column) -> Column:
     """Ids of one word (binary): itself if it is a piece, else ranked merges folded over its bytes."""
-    return let(look_up(c["ranks"], RANK_SLOTS, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(c, word)))
+    return bind(look_up(c["ranks"], RANK_SLOTS, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(c, word)))
 
 
-def entry(c: Column, a: Column, b: Column, start: Column) -> Column:
+def entry(opens: Column, rest: Column) -> Column:
     """A piece in the fold, as one long: rank of the pair that it opens, its first byte's place, its id. The least entry
     is therefore the leftmost pair of lowest rank."""
-    return F.shiftleft(rank(c, a, b), START_BITS + ID_BITS).bitwiseOR(start).bitwiseOR(a)
+    return F.shiftleft(opens, START_BITS + ID_BITS).bitwiseOR(rest)
 
 
 def entry_id(e: Column) -> Column:
@@ -128,26 +135,23 @@ def entry_id(e: Column) -> Column:
 
 
 def merged(c: Column, word: Column) -> Column:
-    # Places in an entry are unique, so an entry is replaced by removing its value and inserting the new one: array_remove
-    # and array_insert copy the array once, where slices and their concatenation go through lazy lists.
     def step(acc: Column, _: Column) -> Column:
-        place = lambda low: F.array_position(acc, low).cast("int")
-        return F.when(F.array_min(acc) >= CLOSED, acc).otherwise(let(F.array_min(acc), lambda low: let(place(low), lambda i: joined(
-            acc, low, i, F.shiftright(low, START_BITS + ID_BITS)))))
-
-    def joined(acc: Column, low: Column, i: Column, new: Column) -> Column:
-        def put(entries: Column, old: Column, at: Column, e: Column) -> Column:
-            return F.array_insert(F.array_remove(entries, old), at, e)
+        return bind(F.array_min(acc), lambda low: F.when(low >= CLOSED, acc).otherwise(
+            bind(F.array_position(acc, low).cast("int"), lambda i: joined(acc, low, i))))
 
-        here = put(F.array_remove(acc, F.get(acc, i)), low, i, entry(c, new, entry_id(F.get(acc, i + 1)), start_of(low)))
-        before = F.get(acc, i - 2)
-        return F.when(i == 1, here).otherwise(put(here, before, i - 1, entry(c, entry_id(before), new, start_of(before))))
+    def joined(acc: Column, low: Column, i: Column) -> Column:
+        # Places in an entry are unique, so an entry is known by its value: the right half goes, the left half becomes
+        # the joined piece, and the entry before it opens another pair. There is none before the first one: null.
+        return bind(F.shiftright(low, START_BITS + ID_BITS), lambda new: bind(entry_id(F.get(acc, i + 1)), lambda right: bind(
+            entry(rank(c, new, right), start_of(low).bitwiseOR(new)), lambda here: bind(F.get(acc, i - 2), lambda before: bind(
+                bind(entry_id(before), lambda left: entry(rank(c, left, new), before.bitwiseAND(long(REST)))),
+                lambda opener: F.transform(F.array_remove(acc, F.get(acc, i)), lambda e: F.when(e == low, here).when(e == before, opener).otherwise(e)))))))
 
     # Bytes as the characters of a one-byte character set, for their numbers.
-    chars = F.decode(word, "ISO-8859-1")
-    singles = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(c["bytes"], F.ascii(F.substring(chars, i, F.lit(1)))))
-    entries = let(singles, lambda ids: F.transform(ids, lambda a, i: entry(c, a, F.get(ids, i + 1), F.shiftleft(i.cast("long"), ID_BITS))))
-    return let(entries, lambda e: F.aggregate(e, e, step, lambda acc: F.transform(acc, entry_id)))
+    singles = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda x: F.get(c["bytes"], F.ascii(x)))
+    entries = bind(singles, lambda ids: F.transform(ids, lambda a, i: bind(
+        F.get(ids, i + 1), lambda b: entry(rank(c, a, b), F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(a)))))
+    return bind(entries, lambda e: F.aggregate(e, e, step, lambda acc: F.transform(acc, entry_id)))
 
 
 def start_of(e: Column) -> Column:
@@ -161,9 +165,10 @@ def words(text: Column) -> Column:
 
 
 def coded(c: Column, word: Column) -> Column:
-    """struct(ids, raw) of a word as hex strings: its ids, and the bytes that decoding these ids gives."""
-    return let(fold(c, F.encode(word, "UTF-8")), lambda ids: F.struct(
-        F.array_join(F.transform(ids, lambda i: F.get(c["codes"], i)), "").alias("ids"), decode_hex(c, ids).alias("raw")))
+    """struct(ids, raw) of a word: its ids as a hex string, and what decoding these ids gives. A word is whole characters,
+    so its decoded bytes are a string, half as long as their hex digits."""
+    return bind(fold(c, word.cast("binary")), lambda ids: F.struct(
+        F.array_join(F.transform(ids, lambda i: F.get(c["codes"], i)), "").alias("ids"), F.unhex(decode_hex(c, ids)).cast("string").alias("raw")))
 
 
 def decode_hex(c: Column, ids: Column) -> Column:
@@ -194,7 +199,7 @@ def frequent(docs: DataFrame, bpe: Bpe, sample_docs: int, most_words: int) -> Co
 
 
 def encode(docs: DataFrame, bpe: Bpe, sample_docs: int = SAMPLE_DOCS, most_words: int = MOST_WORDS) -> DataFrame:
-    """`docs` with `pieces`: per pre-token its ids and decoded bytes (hex strings), in text order. `sample_docs` and
+    """`docs` with `pieces`: per pre-token its ids (hex string) and decoded text, in text order. `sample_docs` and
     `most_words` bound the constant of frequent words, which trades driver memory for time."""
     constants = bpe.constants | {"known": frequent(documents(docs), bpe, sample_docs, most_words)}
     return with_constants(docs, "pieces", constants, lambda c: F.transform(words(F.col("text")), lambda w: F.coalesce(
@@ -203,16 +208,16 @@ def encode(docs: DataFrame, bpe: Bpe, sample_docs: int = SAMPLE_DOCS, most_words
 
 def ids_of(pieces: Column) -> Column:
     """The ids of encoded pieces as an array of integers."""
-    h = F.array_join(F.transform(pieces, lambda p: p["ids"]), "")
-    return let(h, lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), (F.length(s) / 8 - 1).cast("int")), lambda i: F.conv(
+    h = F.array_join(pieces["ids"], "")
+    return bind(h, lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(0), (F.length(s) / 8 - 1).cast("int")), lambda i: F.conv(
         F.concat(*[F.substring(s, i * 8 + at, F.lit(2)) for at in (7, 5, 3, 1)]), 16, 10).cast("int"))).otherwise(
         F.array().cast("array<int>")))
 
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
-    ids = F.unhex(F.array_join(F.transform("pieces", lambda p: p["ids"]), ""))
-    raw = F.unhex(F.array_join(F.transform("pieces", lambda p: p["raw"]), ""))
+    ids = F.unhex(F.array_join("pieces.ids", ""))
+    raw = F.array_join("pieces.raw", "").cast("binary")
     return encoded.select("doc_id", ids.alias("_ids"), raw.alias("_raw")).select(
         "doc_id", (F.length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
         F.sha2("_raw", 256).alias("decoded_sha256"))
