@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -422,3 +423,21 @@ def test_html_frame(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect())
     assert got == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "deep", 4)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<form id=aspnetForm><nav><a href=/>Home</a></nav><div>{}</div><input><select><option>x</option></select></form>",
+    "<form><div class=menu>Menu</div><article>{}</article><form class=login><label>User name</label></form></form>",
+    "<fieldset><div>{}</div></fieldset>", "<form action=/s><input name=q><div>{}</div>",
+    "<div>{}</div><form><label>Your e-mail</label><button>Go</button></form>"])
+def test_a_form_around_the_page_holds_its_article(page):
+    text = "The river rose over its banks in the night and the town woke to water. " * 6
+    assert html_text.main_text("<body>" + page.format(f"<p>{text}</p><p>{text}</p>") + "</body>") == (text + text).strip()
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "<p>x y z" * 3_000, "<div>" * 20_000 + "</span>" * 20_000,
+                                  "<nav>" + "<div>" * 20_000 + "</span>" * 20_000, "<b><p>word" * 20_000])
+def test_deep_markup_takes_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5

@@ -6,9 +6,9 @@ characters or tags belong to links, by the formula of Sun, Song and Liao (DOM ba
 lowest density on its path up to the body is the threshold: blocks outside the subtree are taken too where a node that
 holds them, below the body, reaches the threshold and its text is not mostly links.
 
-Regions that are no article by their element (menus, headers outside the article, footers, sidebars, forms, scripts,
-styles) or by the attribute `hidden` are cut while the page is read. Class names, ids, roles and aria-hidden are hints:
-such regions (notices, adverts, comments of readers) are read too and cut before densities are taken, unless they hold the
+Regions that are no article by their element (menus, headers outside the article, footers, sidebars, scripts, styles) or
+by the attribute `hidden` are cut while the page is read. Class names, ids, roles and aria-hidden are hints, and so are
+forms, since some sites put the whole page into one: such regions (notices, adverts, comments of readers) are read too and cut before densities are taken, unless they hold the
 page's `main`, its largest `article` or most of its text outside links. See cut_hinted.
 White space inside a block becomes one space; blocks are joined in page order by one space.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,9 @@ RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
           "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-CUT = {"nav", "aside", "footer", "form", "header", "menu", "dialog", "button", "select", "option", "head", "fieldset", "input", *RAW}
+CUT = {"nav", "aside", "footer", "header", "menu", "dialog", "button", "select", "option", "head", "input", *RAW}
+#: Elements that can stand around a whole page as well as around a few fields: hints, as a noise name is.
+FIELDS = {"form", "fieldset"}
 #: An open element of the key is closed by the start of one of the values.
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
           "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -55,12 +58,15 @@ NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "hint")
+    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "hint", "block", "in_article")
 
     def __init__(self, name: str, parent: "Node | None", hint: str = ""):
         self.name, self.parent, self.children, self.hint = name, parent, [], hint
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        # The nearest element around that is not inline, and whether an article holds it: no walk up per element.
+        self.block: Node = self if parent is None or name not in INLINE else parent.block
+        self.in_article: bool = name in ("article", "main") or parent is not None and parent.in_article
 
 
 def attributes_of(raw: str) -> dict[str, str]:
@@ -81,8 +87,9 @@ def standing(name: str, attributes: str, in_article: bool) -> str:
     """How an element stands: 'cut', or as a hint 'readers' or 'noise', or '' for text like any other."""
     if name in CUT and not (name == "header" and in_article):
         return "cut"
+    fields = "noise" if name in FIELDS else ""
     if name in ("html", "body") or not TELLS.search(attributes):
-        return ""
+        return fields
     given = attributes_of(attributes)
     roles = given.get("role", "").lower().split()
     plain = name not in ("article", "main") and "main" not in roles
@@ -94,7 +101,7 @@ def standing(name: str, attributes: str, in_article: bool) -> str:
         return "readers" if any(map(READERS.search, names)) else "noise"
     if plain and (given.get("aria-hidden", "").lower() == "true" or not NOISE_ROLES.isdisjoint(roles)):
         return "noise"
-    return ""
+    return fields
 
 
 def tree(page: str) -> Node:
@@ -102,11 +109,18 @@ def tree(page: str) -> Node:
     root = Node("html", None)
     at, pos, size = root, 0, len(page)
     skipped: list[str] = []  # open elements of the region being cut
+    opened, cut_open = Counter(), Counter()  # open elements by name, so that a stray end tag walks nowhere
 
     def text(a: int, b: int) -> None:
         if not skipped and a < b:
             at.children.append(html.unescape(page[a:b]))
 
+    def leave(to: Node) -> None:
+        nonlocal at
+        while at is not to:
+            opened[at.name] -= 1
+            at = at.parent
+
     while pos < size:
         m = TAG.search(page, pos)
         if m is None:
@@ -119,32 +133,32 @@ def tree(page: str) -> Node:
         name, closing = m[2].lower(), m[1] == "/"
         if skipped:
             if closing:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
+                while cut_open[name]:
+                    last = skipped.pop()
+                    cut_open[last] -= 1
+                    if last == name:
+                        break
             elif name in RAW:
                 pos = after_raw(page, pos, name)
             elif name not in VOID and not m[3].endswith("/"):
-                if name == "p" and skipped[-1] == "p":
-                    skipped.pop()
-                skipped.append(name)
+                if name != "p" or skipped[-1] != "p":
+                    skipped.append(name)
+                    cut_open[name] += 1
             continue
         if closing:
-            up = at
+            up = at if opened[name] else None
             while up is not None and up.name != name:
                 up = None if up.name in ("td", "th", "table") and name in INLINE else up.parent
             if up is not None and up is not root:
-                at = up.parent
+                leave(up.parent)
             continue
         while at.name in ENDS and name in ENDS[at.name]:
-            at = at.parent
+            leave(at.parent)
         if name in BLOCKS or name in ENDS:
             # An inline element left open inside a paragraph does not keep the paragraph open.
-            up = at
-            while up is not root and up.name in INLINE:
-                up = up.parent
+            up = at.block
             if up.name in ENDS and name in ENDS[up.name]:
-                at = up.parent
+                leave(up.parent)
         if name in RAW:
             pos = after_raw(page, pos, name)
         elif name in VOID:
@@ -152,14 +166,10 @@ def tree(page: str) -> Node:
                 at.children.append(" " if name in ("br", "img", "hr") else "")
                 at.tags += name != "br"
         else:
-            up, in_article = at, False
-            while up is not None and not in_article:
-                in_article = up.name in ("article", "main")
-                up = up.parent
-            hint = standing(name, m[3], in_article)
+            hint = standing(name, m[3], at.in_article)
             if hint == "cut":
                 if not m[3].endswith("/") and name not in VOID:
-                    skipped = [name]
+                    skipped, cut_open = [name], Counter({name: 1})
                 continue
             if name == "html" and at is root:
                 continue
@@ -167,6 +177,7 @@ def tree(page: str) -> Node:
             at.children.append(node)
             if not m[3].endswith("/"):
                 at = node
+                opened[name] += 1
     cut_hinted(root)
     return root
 
