@@ -125,3 +125,16 @@ def test_unbounded_nearest(spark):
     c = spark.createDataFrame([(9, 3.0, 4.0), (7, 3.0, 4.0)], "c int, cx double, cy double")
     got = {r.p: (r.c, r.distance) for r in intervals.nearest(p, c, "p", "x", "y", "c", "cx", "cy", 10.0, unbounded=True).collect()}
     assert got[1] == (7, 5.0) and got[2][0] == 7
+
+
+@pytest.mark.parametrize("unbounded", [False, True])
+def test_nearest_meets_few_cells_whatever_the_radius(spark, monkeypatch, unbounded):
+    rng = np.random.default_rng(4)
+    cells = pd.DataFrame({"c": range(900), "cx": np.r_[rng.uniform(0, 900, 600), rng.uniform(500, 503, 300)].round(1), "cy": np.r_[rng.uniform(0, 900, 600), rng.uniform(500, 503, 300)].round(1)})
+    pts = pd.DataFrame({"p": range(300), "x": np.r_[rng.uniform(0, 900, 299), 2000.0].round(1), "y": np.r_[rng.uniform(0, 900, 299), 2000.0].round(1)})
+    sides, ring = [], intervals._ring
+    monkeypatch.setattr(intervals, "_ring", lambda p, s, pid, cid, size: sides.append(size) or ring(p, s, pid, cid, size))
+    got = {(r.p, r.c) for r in intervals.nearest(spark.createDataFrame(pts), spark.createDataFrame(cells), "p", "x", "y", "c", "cx", "cy", 800.0, unbounded).collect()}
+    d = np.sqrt((pts.x.values[:, None] - cells.cx.values) ** 2 + (pts.y.values[:, None] - cells.cy.values) ** 2)
+    assert got == {(i, int(d[i].argmin())) for i in range(300) if unbounded or d[i].min() <= 800.0}
+    assert sides[0] < 20 and (unbounded or sides[-1] == 800.0)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .blocks import row_numbers, running
 from .common import cut, listed
 
+#: Other spots that a spot may share its grid square with on average, and halvings of a side to get there.
+CROWD, HALVINGS = 8, 40
+
 
 def interval_join(left: DataFrame, right: DataFrame, lo: str, hi: str, t: str, by=None,
                   width: float = 86400.0, how: str = "inner", lo_open=False, hi_open=False) -> DataFrame:
@@ -52,30 +55,46 @@ def nearest(points: DataFrame, cells: DataFrame, pid: str, px: str, py: str, cid
             radius: float, unbounded: bool = False) -> DataFrame:
     """Nearest cell of each point: (pid, cid, distance); ties take the smallest cid.
 
-    Points look at the 3x3 grid squares of size `radius`. With `unbounded`, points that found
-    nothing within the square size try again with squares twice as large, until every point has its
-    cell. Points and cells without finite coordinates take no part.
+    Points look at the 3x3 grid squares around them, first squares that hold about one cell each. What lies within one
+    side is proven; the other points try again with sides twice as long, up to `radius`, or with `unbounded` until every
+    point has its cell. So a point meets a few cells however many lie within the radius. Points and cells without finite
+    coordinates take no part.
     """
     # Cells on the same spot are one candidate; copies collapse before any join.
     spots = cells.groupBy(F.col(cx).cast("double").alias("_cx"), F.col(cy).cast("double").alias("_cy")).agg(
         F.min(cid).alias(cid))
-    spots = spots.where(F.abs("_cx") + F.abs("_cy") < float("inf"))
-    pts = points.select(pid, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py")).where(
+    spots = cut(spots.where(F.abs("_cx") + F.abs("_cy") < float("inf")))
+    left = points.select(pid, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py")).where(
         F.abs("_px") + F.abs("_py") < float("inf"))
-    if unbounded:
-        spots, pts = cut(spots), cut(pts)
-    size, out, left = float(radius), None, pts
+    size, out = _first_side(spots, float(radius)), None
     while True:
-        found = _ring(left, spots, pid, cid, size)
-        hits = found.where(F.col("distance") <= size)
-        if not unbounded:
-            return hits
-        hits = cut(hits)
+        last = not unbounded and size >= radius
+        hits = _ring(left, spots, pid, cid, size).where(F.col("distance") <= size)
+        hits = hits if last else cut(hits)
         out = hits if out is None else out.unionByName(hits)
+        if last:
+            return out
         left = cut(left.join(hits.select(pid), pid, "left_anti"))
         if left.isEmpty() or spots.isEmpty():
             return out
-        size *= 2.0
+        size = size * 2.0 if unbounded else min(size * 2.0, float(radius))
+
+
+def _first_side(spots: DataFrame, radius: float) -> float:
+    """A side, at most `radius`, of squares with few spots: a spot shares its square with CROWD others at most, on average."""
+    b = spots.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{m}{c}") for c in ("_cx", "_cy") for f, m in ((F.min, "lo"), (F.max, "hi"))]).first()
+    wide = max(b["hi_cx"] - b["lo_cx"], b["hi_cy"] - b["lo_cy"]) if b["n"] else 0.0
+    thin = min(b["hi_cx"] - b["lo_cx"], b["hi_cy"] - b["lo_cy"]) if b["n"] else 0.0
+    if wide <= 0:
+        return radius
+    # One spot a square over the box of all spots; a box like a line has as many squares as spots along it.
+    side = min(radius, max((wide * thin / b["n"]) ** 0.5, wide / b["n"]))
+    for _ in range(HALVINGS):
+        squares = spots.groupBy(F.floor(F.col("_cx") / side), F.floor(F.col("_cy") / side)).agg(F.count(F.lit(1)).cast("double").alias("k"))
+        if squares.agg(F.sum(F.col("k") * F.col("k"))).first()[0] <= (CROWD + 1) * b["n"]:
+            break
+        side /= 2.0
+    return side
 
 
 def _ring(pts: DataFrame, spots: DataFrame, pid: str, cid: str, size: float) -> DataFrame:
