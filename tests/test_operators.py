@@ -240,3 +240,16 @@ def test_facility_profiles(spark):
     assert got["school"].loadshape_id == "town:loadshape:7:comstock:PrimarySchool:school_calendar"
     assert got["unheard"].loadshape_id == "town:loadshape:8:comstock:SmallOffice:business_hours" and got[None].loadshape_id is None
     assert got[None].customer_class == "critical_facility"
+
+
+def test_dedupe_joins_no_crowds(spark, monkeypatch):
+    rng, sizes, join = random.Random(5), [], Y.within_distance
+    monkeypatch.setattr(Y, "within_distance", lambda a, b, *more: sizes.append(min(a.count(), b.count())) or join(a, b, *more))
+    pts = [(i, rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(1500)]
+    kept = []
+    for p in pts:
+        if all(math.dist(p[1:], q[1:]) > 2.0 for q in kept):
+            kept.append(p)
+    got = Y.dedupe_points(spark.createDataFrame(pts, "point_id int, x double, y double"), 2.0)
+    assert {r.point_id for r in got.collect()} == {p[0] for p in kept}
+    assert max(sizes) < 750

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..kit.blocks import quantiles, row_numbers
 from ..kit.cells import in_boxes
-from ..kit.common import clip, cut, finite
+from ..kit.common import clip, cut, finite, settle
 from ..kit.graph import drains_to
 from ..kit.intervals import nearest, within_distance
 from ..kit.neighbours import nearest_members
@@ -19,6 +19,8 @@ SOIL_GROUPS = ("A", "B", "C", "D")
 LAYER_DEPTHS_CM = (0.0, 5.0, 15.0, 30.0, 60.0, 100.0, 200.0)
 OM_TO_OC = 1.724
 UMS_TO_MMHR = 3.6
+#: Points around a point in one round of the ordered dedupe, roughly.
+ROUND_NEIGHBOURS = 8
 
 
 def upstream(reaches: DataFrame, outlets: DataFrame, node: str = "hydroseq", down: str = "dnhydroseq", outlet: str = "outlet") -> DataFrame:
@@ -205,16 +207,44 @@ def dedupe_points(points: DataFrame, d: float = 0.0, pid: str = "point_id", x: s
         first = points.groupBy(F.round(x, 3).alias("_x"), F.round(y, 3).alias("_y")).agg(F.min(pid).alias(pid))
         return points.join(first.select(pid), pid, "left_semi")
     # Copies on one spot: only the first can be kept, so they collapse before neighbours are sought.
-    left = cut(points.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.min(pid).alias("_id")))
-    kept = None
+    left = settle(points.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.min(pid).alias("_id")))
+    kept, n = [], left.count()
+    while n:
+        # The first ids go ahead, so few that a point has some ROUND_NEIGHBOURS others around it: kept points lie d apart, so
+        # what these leave over of the rest meets few of them, and no two crowds are ever joined with each other.
+        crowd = left.groupBy(F.floor(F.col("_x") / d), F.floor(F.col("_y") / d)).agg(F.count(F.lit(1)).alias("k"))
+        share = ROUND_NEIGHBOURS * n / crowd.agg(F.sum(F.col("k").cast("double") * F.col("k"))).first()[0]
+        now = left
+        if share < 0.5:
+            seen = left.sample(min(1.0, 4000.0 / n), seed=1).orderBy("_id").select("_id").collect()  # decides the batch, not the result
+            if seen:
+                now = left.where(F.col("_id") <= F.lit(seen[int(share * len(seen))][0]))
+        first = _first_apart(now, d)
+        kept.append(first)
+        left = settle(left.join(_beside(left, first, d), "_id", "left_anti"))
+        n = left.count()
+    if not kept:
+        return points
+    every = kept[0]
+    for k in kept[1:]:
+        every = every.unionByName(k)
+    return points.join(every.select(F.col("_id").alias(pid)), pid, "left_semi")
+
+
+def _beside(left: DataFrame, chosen: DataFrame, d: float) -> DataFrame:
+    return within_distance(left, chosen.select(F.col("_x").alias("_ox"), F.col("_y").alias("_oy")), "_x", "_y", "_ox", "_oy", d).select("_id").distinct()
+
+
+def _first_apart(left: DataFrame, d: float) -> DataFrame:
+    """The rows that the ordered rule keeps: in rounds, those before all their remaining neighbours."""
+    left, kept = settle(left), None
     while not left.isEmpty():
         other = left.select(F.col("_id").alias("_o"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
         near = within_distance(left, other, "_x", "_y", "_ox", "_oy", d)
-        first = cut(near.groupBy("_id", "_x", "_y").agg(F.min("_o").alias("_m")).where("_m = _id").drop("_m"))
+        first = settle(near.groupBy("_id", "_x", "_y").agg(F.min("_o").alias("_m")).where("_m = _id").drop("_m"))
         kept = first if kept is None else kept.unionByName(first)
-        gone = within_distance(left, first.select(F.col("_x").alias("_ox"), F.col("_y").alias("_oy")), "_x", "_y", "_ox", "_oy", d).select("_id").distinct()
-        left = cut(left.join(gone, "_id", "left_anti"))
-    return points.join(kept.select(F.col("_id").alias(pid)), pid, "left_semi")
+        left = settle(left.join(_beside(left, first, d), "_id", "left_anti"))
+    return settle(kept)
 
 
 def river_qa(rivers: DataFrame, numeric: list[str], sources: list[str], label: str) -> DataFrame:
