@@ -138,3 +138,8 @@ def test_nearest_meets_few_cells_whatever_the_radius(spark, monkeypatch, unbound
     d = np.sqrt((pts.x.values[:, None] - cells.cx.values) ** 2 + (pts.y.values[:, None] - cells.cy.values) ** 2)
     assert got == {(i, int(d[i].argmin())) for i in range(300) if unbounded or d[i].min() <= 800.0}
     assert sides[0] < 20 and (unbounded or sides[-1] == 800.0)
+
+
+def test_next_reads_no_frame_to_the_end(data):
+    plan = blocks.running(data[1], ["k"], "t", {"n": ("next", "v")}, tie="id")._jdf.queryExecution().analyzed().toString().lower()
+    assert "currentrow$(), unboundedfollowing" not in plan

@@ -80,7 +80,8 @@ def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | s
     after = over_blocks.orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
     inside = Window.partitionBy(*keys).orderBy(*place)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards, since a frame that ends at the last row is read anew for every row: a block's square.
+    onward = Window.partitionBy(*keys).orderBy(*[c.desc() for c in place]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     for i, (name, (kind, col)) in enumerate(outs.items()):
         c = F.col(col) if isinstance(col, str) else col
@@ -105,7 +106,7 @@ def running(df: DataFrame, by, order: str, outs: dict[str, tuple[str, Column | s
         elif kind == "next":
             partial.append(F.min(F.when(c.isNotNull(), boxed)).alias(a))
             carry.append(F.first(a, True).over(after).alias(p))
-            final.append((name, F.coalesce(F.first(c, True).over(onward), F.col(p)["v"])))
+            final.append((name, F.coalesce(F.last(c, True).over(onward), F.col(p)["v"])))
         elif kind == "lag":
             partial.append(F.max(boxed).alias(a))
             carry.append(F.last(a, True).over(before).alias(p))
