@@ -108,3 +108,16 @@ def test_empty_law(spark):
     empty = spark.createDataFrame([], "eid int, storm_type string, a double, b double")
     law = M.fit_mixture_law(empty, ["a", "b"], 3.0, "eid")
     assert law.isEmpty() and M.simulate_mixture_pool(law, ["a", "b"], 100, 1).isEmpty()
+
+
+def test_pool_is_not_told_to_all_tasks(spark):
+    tail = "struct<dist:string,shape:double,loc:double,scale:double>"
+    law = spark.createDataFrame([("a", 9, 1.0, True, False, [("exp", 0.0, 0.0, 1.0)] * 2, [1.0, 0.2, 0.9])],
+                                f"storm_type string, n_events long, rate double, fitted boolean, low_confidence boolean, margins array<{tail}>, factor array<double>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        plan = M.simulate_mixture_pool(law, ["x", "y"], 20_000, 3, nodes=4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin [id" not in plan and "SortMergeJoin [id" in plan

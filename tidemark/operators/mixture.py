@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mathx
 from ..functions.rand import uniform
-from ..kit.common import CLIP_EPS, clip, over
+from ..kit.common import CLIP_EPS, clip, over, settle
 from .extremes import assign_band, fit_tail, pseudo_obs, tail_cdf, tail_ppf
 
 #: One prime per driver: base of its digit reversal, and root of its node sequence.
@@ -232,4 +232,6 @@ def simulate_mixture_pool(law: DataFrame, cols: list[str], n: int, seed: int, ki
         rows = _per_margin(rows, F.col("margins")[i], f"_x{i}", lambda i=i: tail_ppf(F.col(f"_v{i}")))
     pool = rows.select(F.concat_ws("-", kind, "_k").alias("id"), kind, *[F.col(f"_x{i}").alias(c) for i, c in enumerate(cols)],
                        *[F.col(f"_v{i}").alias(f"{c}_u") for i, c in enumerate(cols)])
+    # Written, for the pool comes from a few rows: the planner would take it for small and tell it whole to all tasks.
+    pool = settle(pool)
     return assign_band(pool.join(combined_frequency(pool, law, "id", cols, nodes), "id"), "return_period_years")
