@@ -143,3 +143,19 @@ def test_nearest_meets_few_cells_whatever_the_radius(spark, monkeypatch, unbound
 def test_next_reads_no_frame_to_the_end(data):
     plan = blocks.running(data[1], ["k"], "t", {"n": ("next", "v")}, tie="id")._jdf.queryExecution().analyzed().toString().lower()
     assert "currentrow$(), unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_two_dimensions_count_in_strips(spark, monkeypatch, by, strict):
+    monkeypatch.setattr(dominance, "STRIP_ROWS", 20)
+    monkeypatch.setattr(dominance, "_dyadic", None)  # copies of rows are for more dimensions
+    rng = np.random.default_rng(8)
+    n = 600
+    d = pd.DataFrame({"id": range(n), "g": rng.integers(0, 2, n), "x": np.where(rng.random(n) < 0.4, 3.0, rng.uniform(0, 9, n).round(1)), "y": np.where(rng.random(n) < 0.3, 1.0, rng.normal(0, 3, n).round(1))})
+    s = spark.createDataFrame(d)
+    got = dominance.count_exceeding(s.where("id < 90"), s.drop("id"), "id", ["x", "y"], by, strict=strict).toPandas().set_index("id").n_exceeding
+    more = np.greater if strict else np.greater_equal
+    for i in range(90):
+        e = d.iloc[i]
+        assert got[i] == (more(d.x, e.x) & more(d.y, e.y) & ((d.g == e.g) | (not by))).sum()
