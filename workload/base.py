@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,13 @@ def us(c):
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as the SQL side does: the scaled double to a whole number. F.round goes by decimal digits, so the two part at ties."""
+    whole = F.round(c * 10.0**digits) / 10.0**digits
+    # Adding zero turns a negative zero into zero; a value too large to be scaled stays.
+    return F.when(F.abs(c * 10.0**digits) < float("inf"), whole).otherwise(c) + F.lit(0.0)
+
+
 def query(name: str, sql: str | None = None, **digits: int):
     """Register a query. `digits` names double columns rounded alike on both sides."""
 
@@ -68,8 +75,7 @@ def query(name: str, sql: str | None = None, **digits: int):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             out = fn(Tables(spark, folder))
             for c, d in digits.items():
-                # Adding zero turns a negative zero into zero.
-                out = out.withColumn(c, F.round(F.col(c).cast("double"), d) + F.lit(0.0))
+                out = out.withColumn(c, rounded(F.col(c).cast("double"), d))
             return out
 
         QUERIES[name] = run
