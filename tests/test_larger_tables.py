@@ -8,6 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import workload
+from tidemark.operators import fields
 from workload.base import rounded
 
 
@@ -36,3 +37,18 @@ def test_ties_round_as_in_sql(spark):
     got = spark.range(40000).select((F.col("id") * 2.5e-7).alias("x")).select(rounded(F.col("x"), 5)).collect()
     ref = duckdb.sql("SELECT round(i * CAST(2.5e-7 AS DOUBLE), 5) + 0.0 FROM range(40000) t(i) ORDER BY i").fetchall()
     assert [tuple(r) for r in got] == ref
+
+
+def test_window_peak_meets_runs_not_instants(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, float(rng.randrange(300)), float(rng.randrange(9))) for k in "ab" for _ in range(400)]
+    wins = [(i, "ab"[i % 2], float(rng.randrange(-20, 320)), float(rng.randrange(-20, 320))) for i in range(60)]
+    monkeypatch.setattr(fields, "interval_join", None, raising=False)
+    got = fields.window_peak(spark.createDataFrame(rows, "k string, time double, value double"), spark.createDataFrame(wins, "wid int, k string, a double, z double"),
+                             "wid", "a", "z", "k")
+    want = {}
+    for i, k, a, z in wins:
+        inside = [(v, -t) for kk, t, v in rows if kk == k and a <= t <= z]
+        if inside:
+            want[i] = (-max(inside)[1], max(inside)[0])
+    assert {r.wid: (r.peak_time, r.peak_value) for r in got.collect()} == want and len(want) > 20

@@ -10,6 +10,8 @@ from .common import cut, listed
 
 #: Other spots that a spot may share its grid square with on average, and halvings of a side to get there.
 CROWD, HALVINGS = 8, 40
+#: Runs of one level that make a run of the next.
+PEAK_FAN = 4
 
 
 def interval_join(left: DataFrame, right: DataFrame, lo: str, hi: str, t: str, by=None,
@@ -32,6 +34,50 @@ def interval_join(left: DataFrame, right: DataFrame, lo: str, hi: str, t: str, b
     raise ValueError("interval_join is inner; left-join the aggregate back on the left key")
 
 
+def range_peak(windows: DataFrame, series: DataFrame, lo: str, hi: str, t: str, v: str, by=None) -> DataFrame:
+    """Largest `v` of `series` with `t` in [lo, hi] and the earliest instant that has it, per (by, lo, hi): columns `t`, `v`.
+
+    Instants are numbered, runs of PEAK_FAN of them have a peak, runs of those one more, and so on. A window is put
+    together from the longest runs inside it, so it meets a few rows a level and never its instants.
+    """
+    by = listed(by)
+    best = F.max(F.struct(F.col(v).alias("v"), (-F.col(t)).alias("nt"))).alias("_m")
+    inst = series.groupBy(*by, t).agg(best)
+    ranked = cut(row_numbers(inst, by, t, name="_i"))
+    asked = windows.select(*by, lo, hi).where(F.col(lo) <= F.col(hi)).distinct()
+    marks = ranked.select(*by, F.col(t).alias("_t"), F.lit(1).alias("_tag"), "_i")
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("_t"), F.lit(g).alias("_tag")) for c, g in ((lo, 0), (hi, 2))]))
+    probe = asked.withColumn("_e", ends).select(*by, lo, hi, "_e._t", "_e._tag")
+    placed = running(probe.unionByName(marks, allowMissingColumns=True), by, "_t", {"_at": ("max", F.coalesce("_i", F.lit(0)))}, tie="_tag")
+    at = lambda g: F.max(F.when(F.col("_tag") == g, F.col("_at")))
+    spans = placed.where("_tag != 1").groupBy(*by, lo, hi).agg(at(0).alias("_a"), at(2).alias("_z")).where("_a < _z")
+
+    level = cut(ranked.select(*by, (F.col("_i") - 1).alias("_node"), "_m"))
+    runs, depth, size = [level.withColumn("_level", F.lit(0))], 1, level.agg(F.max("_node")).first()[0] or 0
+    while size >= PEAK_FAN:
+        level = cut(level.groupBy(*by, F.floor(F.col("_node") / PEAK_FAN).alias("_node")).agg(F.max("_m").alias("_m")))
+        runs.append(level.withColumn("_level", F.lit(depth)))
+        depth, size = depth + 1, size // PEAK_FAN
+    table = runs[0]
+    for r in runs[1:]:
+        table = table.unionByName(r)
+
+    parts = []
+    for i in range(depth):
+        first, last = F.ceil(F.col("_a") / PEAK_FAN**i), F.floor(F.col("_z") / PEAK_FAN**i)
+        if i + 1 < depth:
+            # What the next level's whole runs hold is left to it.
+            a, z = F.ceil(F.col("_a") / PEAK_FAN ** (i + 1)), F.floor(F.col("_z") / PEAK_FAN ** (i + 1))
+            left, right = F.when(a < z, a * PEAK_FAN).otherwise(last), F.when(a < z, z * PEAK_FAN).otherwise(last)
+        else:
+            left = right = last
+        upto = lambda x, y: F.when(x < y, F.sequence(x.cast("bigint"), (y - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        parts.append(F.struct(F.lit(i).alias("_level"), F.concat(upto(first, left), upto(right, last)).alias("_nodes")))
+    need = spans.select(*by, lo, hi, F.explode(F.array(*parts)).alias("_e")).select(*by, lo, hi, "_e._level", F.explode("_e._nodes").alias("_node"))
+    got = need.join(table, by + ["_level", "_node"]).groupBy(*by, lo, hi).agg(F.max("_m").alias("_m"))
+    return got.select(*by, lo, hi, (-F.col("_m.nt")).alias(t), F.col("_m.v").alias(v))
+
+
 def asof(left: DataFrame, right: DataFrame, lt: str, rt: str, values: list[str], by=None,
          direction: str = "backward") -> DataFrame:
     """Each left row with `values` of the last right row at or before it (or next at or after).
