@@ -8,7 +8,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 import workload
-from tidemark.operators import fields
+from tidemark.kit import intervals
+from tidemark.kit.common import cut
+from tidemark.operators import events, fields
 from workload.base import rounded
 
 
@@ -52,3 +54,24 @@ def test_window_peak_meets_runs_not_instants(spark, monkeypatch):
         if inside:
             want[i] = (-max(inside)[1], max(inside)[0])
     assert {r.wid: (r.peak_time, r.peak_value) for r in got.collect()} == want and len(want) > 20
+
+
+def test_reweighted_draws_keep_no_candidates(spark, monkeypatch):
+    kept = []
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(events, "cut", counted)
+    monkeypatch.setattr(intervals, "cut", counted)
+    monkeypatch.setattr(intervals, "PAGE_TARGETS", 3)
+    cat = spark.range(40).select(F.col("id").alias("event_id"), (F.col("id") * 3.0 - 5.0).alias("x"))
+    mem = spark.range(1, 91).select(F.col("id").alias("member_id"), F.col("id").cast("double").alias("value"))
+    got = events.realize_driver(cat, mem, "rain", "x", "value", 7, k=20, reuse_penalty=0.15, rounds=2).collect()
+    assert len(got) == 40 and max(kept) <= 90
+    near = {r.event_id: {m.member_id for m in r._near} for r in intervals.near_lists_1d(cat, mem, "event_id", "x", "member_id", "value", 20).collect()}
+    for r in got:
+        ranked = sorted(range(1, 91), key=lambda i: (abs(r.x - i), i))[:20]
+        assert near[r.event_id] == set(ranked) and (r.x <= 0 or r.member_id is not None)

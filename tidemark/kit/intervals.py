@@ -10,6 +10,8 @@ from .common import cut, listed
 
 #: Other spots that a spot may share its grid square with on average, and halvings of a side to get there.
 CROWD, HALVINGS = 8, 40
+#: Targets that one copy of a page of members serves, on average.
+PAGE_TARGETS = 2_000
 #: Runs of one level that make a run of the next.
 PEAK_FAN = 4
 
@@ -168,19 +170,44 @@ def within_distance(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str
     return lo.join(ro, ["_gx", "_gy"]).withColumn("distance", dist).where(near).drop("_gx", "_gy")
 
 
-def knn_1d(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid: str, mv: str, k: int) -> DataFrame:
-    """The k members nearest in value to each target, exact: (tid, tv, mid, mv, gap, near_rank).
+def near_lists_1d(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid: str, mv: str, k: int, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The k members nearest in value to each target, exact, as one row a target: its columns and `_near`, an array of (gap, mid, mv, *beside).
 
-    Members are ranked by (value, id); a target sees only the 2k ranks around its place.
-    Ties in distance go to the smaller id among those candidates.
+    Members are ranked by value and cut into pages of 2k with k ranks of margin on both sides. A target joins the one page
+    its place falls on and looks at the 2k ranks around it there, so only targets and pages are shuffled. Pages that many
+    targets ask for are told to several tasks. Ties in distance go to the smaller id among those candidates.
     """
-    m = members.select(F.col(mid), F.col(mv).cast("double").alias(mv))
-    ranked = row_numbers(m.withColumn("_tie", F.xxhash64(mid).cast("double")), None, mv, "_tie", "_rk").drop("_tie")
+    ranked, page = _ranked(members, mid, mv, beside), 2 * k
     marks = ranked.select(F.col(mv).alias("_t"), F.lit(0).alias("_tag"), F.col("_rk"))
-    probe = targets.select(F.col(tv).cast("double").alias("_t"), F.lit(1).alias("_tag"), F.col(tid), F.col(tv))
-    placed = running(probe.unionByName(marks, allowMissingColumns=True), None, "_t",
-                     {"_at": ("max", F.coalesce("_rk", F.lit(0)))}, tie="_tag").where("_tag = 1")
-    cand = placed.select(tid, tv, F.explode(F.sequence(F.col("_at") - (k - 1), F.col("_at") + k)).alias("_rk"))
-    near = cand.join(ranked, "_rk").withColumn("gap", F.abs(F.col(tv) - F.col(mv)))
-    w = Window.partitionBy(tid).orderBy("gap", mid)  # at most 2k rows per target
-    return near.withColumn("near_rank", F.row_number().over(w)).where(F.col("near_rank") <= k).drop("_rk")
+    probe = targets.withColumn("_t", F.col(tv).cast("double")).withColumn("_tag", F.lit(1))
+    placed = cut(running(probe.unionByName(marks, allowMissingColumns=True), None, "_t",
+                         {"_at": ("max", F.coalesce("_rk", F.lit(0)))}, tie="_tag").where("_tag = 1").select(*targets.columns, "_at")
+                 .withColumn("_page", F.floor(F.col("_at") / page)))
+    # Shares of a page: PAGE_TARGETS targets each, on average.
+    shares = cut(placed.groupBy("_page").agg(F.ceil(F.count(F.lit(1)) / PAGE_TARGETS).cast("int").alias("_shares")))
+    # Page p serves places p * page to p * page + page - 1, which see ranks from k - 1 before to k after.
+    first = F.floor((F.col("_rk") - k) / page)
+    pages = ranked.select("*", F.explode(F.sequence(first, F.floor((F.col("_rk") + k - 1) / page))).alias("_page"))
+    pages = pages.groupBy("_page").agg(F.sort_array(F.collect_list(F.struct("_rk", mid, mv, *beside))).alias("_list"))
+    pages = pages.join(shares, "_page").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    asked = placed.join(shares, "_page").withColumn("_share", F.pmod(F.xxhash64(tid), F.col("_shares")).cast("int")).drop("_shares")
+    # The list starts at its first rank and holds every rank to its last.
+    lo = F.greatest(F.col("_at") - (k - 1), F.col("_list")[0]["_rk"])
+    around = F.slice("_list", (lo - F.col("_list")[0]["_rk"] + 1).cast("int"), F.greatest(F.col("_at") + k - lo + 1, F.lit(0)).cast("int"))
+    near = F.transform(around, lambda m: F.struct(F.abs(F.col(tv) - m[mv]).alias("gap"), *[m[c].alias(c) for c in (mid, mv, *beside)]))
+    # Few bytes, but a long look at each: a fixed number of partitions is not put together.
+    spread = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = asked.repartition(spread, "_page", "_share").join(pages.hint("merge"), ["_page", "_share"])
+    return met.select(*targets.columns, F.slice(F.sort_array(near), 1, k).alias("_near"))
+
+
+def _ranked(members: DataFrame, mid: str, mv: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    m = members.select(F.col(mid), F.col(mv).cast("double").alias(mv), *beside)
+    return cut(row_numbers(m.withColumn("_tie", F.xxhash64(mid).cast("double")), None, mv, "_tie", "_rk").drop("_tie"))
+
+
+def knn_1d(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid: str, mv: str, k: int) -> DataFrame:
+    """The k members nearest in value to each target, exact, as rows: (tid, tv, mid, mv, gap, near_rank)."""
+    lists = near_lists_1d(targets.select(tid, tv), members, tid, tv, mid, mv, k)
+    return lists.select(tid, tv, F.posexplode("_near").alias("_i", "_m")).select(
+        tid, tv, f"_m.{mid}", f"_m.{mv}", "_m.gap", (F.col("_i") + 1).alias("near_rank"))
