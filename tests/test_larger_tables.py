@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import workload
-from tidemark.kit import intervals
+from tidemark.kit import intervals, neighbours
 from tidemark.kit.common import cut
 from tidemark.operators import events, fields
 from workload.base import rounded
@@ -75,3 +75,20 @@ def test_reweighted_draws_keep_no_candidates(spark, monkeypatch):
     for r in got:
         ranked = sorted(range(1, 91), key=lambda i: (abs(r.x - i), i))[:20]
         assert near[r.event_id] == set(ranked) and (r.x <= 0 or r.member_id is not None)
+
+
+def test_season_keeps_targets_from_far_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    rng = random.Random(8)
+    day = lambda: rng.choice((None, 1.0, 366.0, float(rng.randint(1, 366)), float(rng.randint(1, 366))))
+    mem = [(i, rng.gauss(0, 1), day()) for i in range(500)]
+    tar = [(i, rng.gauss(0, 1), day()) for i in range(50)]
+    met = spark.sparkContext.accumulator(0)
+    way = lambda a, b: 0.0 if a is None or b is None else min(abs(a - b), 366 - abs(a - b)) / 40
+    look = F.udf(lambda x: met.add(1) or x, "double").asNondeterministic()
+    gap = F.abs(F.col("t_d") - F.col("m_d"))
+    dist = F.sqrt((F.col("t_a") - F.col("m_a")) ** 2 + F.coalesce((F.least(gap, 366 - gap) / 40) ** 2, F.lit(0.0)))
+    got = neighbours.nearest_members(spark.createDataFrame(tar, "tid int, t_a double, t_d double"), spark.createDataFrame(mem, "mid int, m_a double, m_d double"),
+                                     "tid", "mid", {"a": 1.0}, look(dist), 5, ring=("d", 1 / 40, 366.0)).collect()
+    want = {(t, m[0]) for t, a, d in tar for m in sorted(mem, key=lambda m: (math.sqrt((a - m[1]) ** 2 + way(d, m[2]) ** 2), m[0]))[:5]}
+    assert {(r.tid, r.mid) for r in got} == want and met.value < 50 * 500 / 2

@@ -37,27 +37,43 @@ def _at_most(column: str):
     return lambda b: b <= F.col(column)
 
 
+def _around(t: Column, length: float) -> tuple[Column, Column]:
+    """Least and most way round from t to a box's stretch of the circle; a box with a null has a member at no way."""
+    lo, hi = F.col("_ring_lo"), F.col("_ring_hi")
+    way = lambda x: F.least(F.abs(t - x), F.lit(length) - F.abs(t - x))
+    across = t.between(lo - length / 2, hi - length / 2) | t.between(lo + length / 2, hi + length / 2)
+    least = F.when(F.col("_ring_free") | t.between(lo, hi), F.lit(0.0)).otherwise(F.least(way(lo), way(hi)))
+    most = F.when(across, F.lit(length / 2)).otherwise(F.greatest(way(lo), way(hi)))
+    return F.coalesce(least, F.lit(0.0)), F.coalesce(most, F.lit(0.0))
+
+
 def nearest_members(targets: DataFrame, members: DataFrame, tid: str, mid: str, scale: dict[str, float], distance: Column, k: int,
-                    beside: tuple[str, ...] = (), slack: float = 0.0, told_rows: int = TOLD_ROWS) -> DataFrame:
+                    beside: tuple[str, ...] = (), slack: float = 0.0, told_rows: int = TOLD_ROWS, ring: tuple[str, float, float] | None = None) -> DataFrame:
     """The k members nearest to each target, exact: columns of both, `distance` and `near_rank`.
 
     Target columns are `t_<dim>`, member columns `m_<dim>`. `distance` must lie between the Euclidean distance of the
     dimensions, each times its scale, and the root of its square plus `slack`; it may also look at the member columns `beside`.
+    `ring` names one more dimension that runs in a circle, its scale and its length: the square of the way round, times the scale, is
+    part of the square of `distance`, nothing where either side is null. Boxes hold it too, so unlike slack it keeps targets from far leaves.
     Ties go to the smaller member id. Members without all coordinates have no distance. A target without all coordinates
     has none either: it takes the k members of smallest id at distance 0.
     """
     dims = list(scale)
     whole = lambda p: F.coalesce(sum((F.abs(F.col(f"{p}_{d}")) for d in dims), F.lit(0.0)) < float("inf"), F.lit(False))
+    around = [f"m_{ring[0]}"] if ring else []
     probes = settle(targets.withColumn("_whole", whole("t")))
     # More than k members on one spot cannot all be chosen; the rest leave before anything is sorted.
-    spot = Window.partitionBy(*[f"m_{d}" for d in dims], *beside).orderBy(mid)
+    spot = Window.partitionBy(*[f"m_{d}" for d in dims], *beside, *around).orderBy(mid)
     few = members.where(whole("m")).withColumn("_same", F.row_number().over(spot)).where(F.col("_same") <= k).drop("_same")
     few = settle(few)
-    ordered = row_numbers(few.withColumn("_z", morton(few, [f"m_{d}" for d in dims])), None, "_z", f"m_{dims[0]}", "_rank", then=(mid,))
+    ordered = row_numbers(few.withColumn("_z", morton(few, [f"m_{d}" for d in dims] + around)), None, "_z", f"m_{dims[0]}", "_rank", then=(mid,))
     leaves = settle(ordered.withColumn("_node", F.floor((F.col("_rank") - 1) / LEAF)).drop("_rank", "_z"))
 
     box = [f(c).alias(f"{n}_{d}") for d in dims for f, n, c in ((F.min, "_lo", f"m_{d}"), (F.max, "_hi", f"m_{d}"))]
     again = [f(c).alias(c) for d in dims for f, c in ((F.min, f"_lo_{d}"), (F.max, f"_hi_{d}"))]
+    for c in around:
+        box += [F.min(c).alias("_ring_lo"), F.max(c).alias("_ring_hi"), F.max(F.col(c).isNull()).alias("_ring_free")]
+        again += [F.min("_ring_lo").alias("_ring_lo"), F.max("_ring_hi").alias("_ring_hi"), F.max("_ring_free").alias("_ring_free")]
     levels = [settle(leaves.groupBy("_node").agg(*box, F.count(F.lit(1)).alias("_count")))]
     sizes = [levels[0].count()]
     while sizes[-1] > 1:
@@ -77,6 +93,9 @@ def nearest_members(targets: DataFrame, members: DataFrame, tid: str, mid: str,
             t, lo, hi = F.col(f"t_{d}"), F.col(f"_lo_{d}"), F.col(f"_hi_{d}")
             low = low + (F.greatest(lo - t, t - hi, F.lit(0.0)) * s) ** 2
             high = high + (F.greatest(F.abs(t - lo), F.abs(t - hi)) * s) ** 2
+        if ring:
+            least, most = _around(F.col(f"t_{ring[0]}"), ring[2])
+            low, high = low + (least * ring[1]) ** 2, high + (most * ring[1]) ** 2
         seen = seen.withColumn("_low", low).withColumn("_high", high)
         held = F.sum("_count").over(mine.orderBy("_high").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # the nodes a target still looks at
         seen = seen.withColumn("_held", held).withColumn("_reach", F.min(F.when(F.col("_held") >= k, F.col("_high"))).over(mine))
