@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import workload
 from tidemark.kit import intervals, neighbours
 from tidemark.kit.common import cut
-from tidemark.operators import events, extremes, fields
+from tidemark.operators import events, extremes, fields, hydro
 from workload.base import rounded
 
 
@@ -109,3 +109,35 @@ def test_densities_meet_cells_not_rows(spark, monkeypatch):
         near = np.abs(np.log(rp / r.target_return_period_years)) <= np.log1p(r.relative_tolerance)
         best = np.flatnonzero(near)[d[near].argmax()]
         assert r.isoline_points == near.sum() >= 25 and r.id == best and abs(r.kde_density / d[best] - 1) < 1e-11
+
+
+def test_flowlines_meet_few_points(spark):
+    rng = random.Random(11)
+    at = lambda n: round(rng.uniform(0, n), 1)
+    lines = [(i // 2, at(300), at(300)) for i in range(600)]
+    lines = [(i, x, y, x + rng.choice((0.0, -9.0, 12.5)), y + rng.choice((0.0, 7.0, -15.0))) for i, x, y in lines] + [(999, 900.0, 0.0, 900.0, 300.0)]
+    pts = [(i, at(300), at(300)) for i in range(80)] + [(80, 870.0, 150.0), (81, 600.0, 150.0)]
+    # Two lines as far from a point as one another, but for the last bits.
+    lines += [(1001, -60.1, -50.0, -60.1, -40.0), (1002, -59.9, -50.0, -59.9, -40.0)]
+    pts += [(82, -60.0, -45.0)]
+    met = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda v: met.add(1) or v, "double").asNondeterministic()
+    joined = hydro._crossed
+    try:
+        hydro._crossed = lambda *a: joined(*a).withColumn("distance", look(F.col("distance")))
+        got = hydro.nearest_flowline(spark.createDataFrame(pts, "point_id int, x double, y double"),
+                                     spark.createDataFrame(lines, "line_id int, x1 double, y1 double, x2 double, y2 double"), 40.0).collect()
+    finally:
+        hydro._crossed = joined
+
+    def far(p, s):
+        dx, dy = s[3] - s[1], s[4] - s[2]
+        t = min(max(((p[1] - s[1]) * dx + (p[2] - s[2]) * dy) / (dx * dx + dy * dy or 1.0), 0.0), 1.0)
+        return math.hypot(p[1] - s[1] - t * dx, p[2] - s[2] - t * dy)
+
+    want = set()
+    for p in pts:
+        best = min(round(far(p, s), 9) for s in lines)
+        want |= {(p[0], s[0]) for s in lines if round(far(p, s), 9) == best <= 40}
+    assert {(r.point_id, r.line_id) for r in got} == want and len(got) == len(want) and {(82, 1001), (82, 1002)} <= want
+    assert all(abs(r.distance - min(far(pts[r.point_id], s) for s in lines)) < 1e-8 for r in got) and met.value < len(pts) * 60

@@ -11,7 +11,7 @@ from ..kit.blocks import quantiles, row_numbers
 from ..kit.cells import in_boxes
 from ..kit.common import clip, cut, finite, settle
 from ..kit.graph import drains_to
-from ..kit.intervals import nearest, within_distance
+from ..kit.intervals import _first_side, nearest, within_distance
 from ..kit.neighbours import nearest_members
 
 # Usable soil groups in order, layer depths (cm), organic-matter to carbon factor, ksat um/s to mm/h.
@@ -99,24 +99,64 @@ def transfer_attributes(rivers: DataFrame, reference: DataFrame, k: int = 5, rid
     return near.groupBy(rid).agg(F.percentile("width_m", 0.5).alias("width_m"), F.percentile("depth_m", 0.5).alias("depth_m"), F.max("distance").alias("farthest"))
 
 
+#: Squares that a segment crosses at first, on average at most.
+PIECES = 16
+
+
 def nearest_flowline(points: DataFrame, segments: DataFrame, limit: float, pid: str = "point_id", line: str = "line_id") -> DataFrame:
     """Nearest line of each point within the limit, ties kept: (pid, line, distance).
 
-    `segments` has x1, y1, x2, y2. A segment is put on every grid square its box touches; a point looks at 3 x 3 squares.
+    `segments` has x1, y1, x2, y2; distances equal to nine decimals tie. A segment is put on every grid square it crosses. A point
+    looks at its own square, small at first, and what is nearer than the border is proven; the others look at 3 x 3 squares,
+    then at larger ones up to the limit. So a point meets a few segments however many lie within the limit.
     """
-    size = float(limit)
+    size, around, spot = float(limit), 0, [pid, "_px", "_py"]
+    whole = lambda *c: sum(F.abs(x) for x in c) < float("inf")
+    ends = ["x1", "y1", "x2", "y2"]
+    seg = cut(segments.where(whole(*ends)).select(line, *[F.col(c).cast("double").alias(c) for c in ends]))
+    left = points.where(whole("x", "y") & F.col(pid).isNotNull()).select(pid, F.col("x").cast("double").alias("_px"), F.col("y").cast("double").alias("_py"))
+    span = seg.agg(F.avg(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))).first()[0] or 0.0
+    middle = seg.select(((F.col("x1") + F.col("x2")) / 2).alias("_cx"), ((F.col("y1") + F.col("y2")) / 2).alias("_cy")).distinct()
+    size, out = min(size, max(_first_side(middle, size), span / PIECES)), None
+    while True:
+        last = around > 0 and size >= limit
+        near = _crossed(left, seg, size, around).where(F.col("distance") <= float(limit)).withColumn("_key", F.floor(F.col("distance") * 1e9 + 0.5))
+        near = near.withColumn("_r", F.rank().over(Window.partitionBy(*spot).orderBy("_key"))).where("_r = 1")
+        if not last:
+            near = cut(near.where(F.col("_key") / 1e9 + 1e-8 <= F.col("_safe")))
+        near = near.select(*spot, line, "distance", "_key")
+        out = near if out is None else out.unionByName(near)
+        if last:
+            break
+        left = cut(left.join(near.select(*spot).distinct(), spot, "left_anti"))
+        if left.isEmpty():
+            break
+        around, size = 1, size if around == 0 else min(size * 4.0, float(limit))
+    best = out.withColumn("_r", F.rank().over(Window.partitionBy(pid).orderBy("_key"))).where("_r = 1")
+    return best.groupBy(pid, line).agg(F.min("distance").alias("distance"))
+
+
+def _crossed(points: DataFrame, seg: DataFrame, size: float, around: int) -> DataFrame:
+    """Points with the segments of the squares around them: all columns, `distance` and `_safe`, up to which no segment is missed."""
     fl = lambda c: F.floor(c / size)
-    box = segments.withColumn("_gx", F.explode(F.sequence(fl(F.least("x1", "x2")), fl(F.greatest("x1", "x2"))))).withColumn(
-        "_gy", F.explode(F.sequence(fl(F.least("y1", "y2")), fl(F.greatest("y1", "y2")))))
-    p = points.select(pid, F.col("x").alias("_px"), F.col("y").alias("_py")).withColumn("_gx", F.explode(F.sequence(fl(F.col("_px")) - 1, fl(F.col("_px")) + 1))).withColumn(
-        "_gy", F.explode(F.sequence(fl(F.col("_py")) - 1, fl(F.col("_py")) + 1)))
+    x, y = F.col("_px"), F.col("_py")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.coalesce(((F.col("_px") - F.col("x1")) * dx + (F.col("_py") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    cols = seg.withColumn("_gx", F.explode(F.sequence(fl(F.least("x1", "x2")), fl(F.greatest("x1", "x2")))))
+    # The part of the segment between the sides of the column; a little more, for rounding.
+    share = lambda i: F.when(dx != 0, F.least(F.greatest(((F.col("_gx") + i) * size - F.col("x1")) / dx, F.lit(0.0)), F.lit(1.0))).otherwise(float(i))
+    ya, yb = (F.col("y1") + dy * share(i) for i in (0, 1))
+    pad = size * 1e-6 + F.greatest(F.abs("x1"), F.abs("x2"), F.abs("y1"), F.abs("y2")) * 1e-12
+    squares = cols.withColumn("_gy", F.explode(F.sequence(fl(F.least(ya, yb) - pad), fl(F.greatest(ya, yb) + pad))))
+    ways = range(-around, around + 1)
+    p = points.withColumn("_gx", fl(x)).withColumn("_gy", fl(y))
+    edge = F.least(x - F.col("_gx") * size, (F.col("_gx") + 1) * size - x, y - F.col("_gy") * size, (F.col("_gy") + 1) * size - y)
+    p = p.withColumn("_safe", edge + around * size)
+    for c in ("_gx", "_gy"):
+        p = p.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in ways])))
+    t = F.coalesce(((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    d = F.sqrt((F.col("_px") - F.col("x1") - t * dx) ** 2 + (F.col("_py") - F.col("y1") - t * dy) ** 2)
-    near = cut(p.join(box, ["_gx", "_gy"]).withColumn("distance", d).where(F.col("distance") <= limit).groupBy(pid, line).agg(F.min("distance").alias("distance")))
-    best = near.groupBy(pid).agg(F.min("distance").alias("_b"))
-    return near.join(best, pid).where("distance = _b").drop("_b")
+    d = F.sqrt((x - F.col("x1") - t * dx) ** 2 + (y - F.col("y1") - t * dy) ** 2)
+    return p.join(squares, ["_gx", "_gy"]).withColumn("distance", d)
 
 
 def waterbodies(df: DataFrame, rivers: DataFrame | None, depth_m: float = 3.0, discharge: float = 1.0, min_km2: float = 1.0, ftype: int = 390, limit: float = 5000.0) -> DataFrame:
