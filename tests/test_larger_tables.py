@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import workload
 from tidemark.kit import intervals, neighbours
 from tidemark.kit.common import cut
-from tidemark.operators import events, extremes, fields, hydro
+from tidemark.operators import events, extremes, fields, flows, hydro, peaks
 from workload.base import rounded
 
 
@@ -141,3 +141,47 @@ def test_flowlines_meet_few_points(spark):
         want |= {(p[0], s[0]) for s in lines if round(far(p, s), 9) == best <= 40}
     assert {(r.point_id, r.line_id) for r in got} == want and len(got) == len(want) and {(82, 1001), (82, 1002)} <= want
     assert all(abs(r.distance - min(far(pts[r.point_id], s) for s in lines)) < 1e-8 for r in got) and met.value < len(pts) * 60
+
+
+def test_hours_of_a_hydrograph_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(flows, "interpolate", None)
+    hour, rng = 3600.0, random.Random(4)
+    rec = [(s, hour * rng.randrange(0, 400) / 4, float(rng.randrange(1, 90))) for s in "ab" for _ in range(150)]
+    ev = [(i, "ab"[i % 2], 40 * hour + i * 1000.0, 1e6 + i, 1e6 + i - 9.5 * hour, 1e6 + i + 20.25 * hour, 50.0 + i) for i in range(8)]
+    ev += [(3, "a", 50 * hour, 1e6 + 3, 1e6 + 3 - 9.5 * hour, 1e6 + 3 + 20.25 * hour, 53.0), (99, "a", 1e9, 1e6, 1e6 - hour, 1e6 + hour, 5.0)]
+    got = flows.transfer_hydrograph(spark.createDataFrame(rec, "site_no string, t double, v double"), spark.createDataFrame(
+        ev, "event_id int, site_no string, analog_time double, reference_time double, start double, end double, target_peak_cfs double"), "site_no", "t", "v")
+    mean = {}
+    for s, t, v in rec:
+        mean.setdefault((s, t), []).append(v)
+    want = {}
+    for i in range(8):
+        shape = {}
+        for e, s, at, ref, a, z, target in ev:
+            for (ss, t), v in mean.items():
+                if e == i and ss == s and at - ref + a <= t <= at - ref + z:
+                    shape[t - at + ref] = max(shape.get(t - at + ref, 0.0), sum(v) / len(v))
+        ticks = ev[i][4] + np.arange(30) * hour
+        q = np.interp(ticks, sorted(shape), [shape[t] for t in sorted(shape)])
+        want |= {(i, round(t, 3)): x for t, x in zip(ticks, q * (50.0 + i) / q.max() * 0.028316846592)}
+    rows = {(r.event_id, round(r.time, 3)): r.q_cms for r in got.collect()}
+    assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_lookback_meets_runs_not_instants(spark, monkeypatch):
+    monkeypatch.setattr(flows, "interval_join", None)
+    rng = random.Random(6)
+    ser = [("ab"[i % 2], float(rng.randrange(500)), rng.choice((None, float(rng.randrange(50))))) for i in range(900)]
+    ev = [(i, "ab"[i % 2], float(rng.randrange(-20, 540))) for i in range(60)] + [(7, "b", 100.0)]
+    got = flows.lookback_summary(spark.createDataFrame(ev, "event_id int, k string, time double"), spark.createDataFrame(ser, "k string, time double, value double"), 0.01, "k")
+    want = {}
+    for i, k, t in ev:
+        inside = [v for kk, tt, v in ser if kk == k and t - 36 <= tt <= t]
+        if inside:
+            want.setdefault(i, []).extend(inside)
+    rows = {r.event_id: r for r in got.collect()}
+    assert rows.keys() == want.keys() and len(want) > 40
+    for i, inside in want.items():
+        v = [x for x in inside if x is not None]
+        assert rows[i].row_count == len(v) and (rows[i].min_value, rows[i].max_value) == (min(v, default=None), max(v, default=None))
+        assert not v or abs(rows[i].mean_value - sum(v) / len(v)) < 1e-9

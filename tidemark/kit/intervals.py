@@ -37,14 +37,21 @@ def interval_join(left: DataFrame, right: DataFrame, lo: str, hi: str, t: str, b
 
 
 def range_peak(windows: DataFrame, series: DataFrame, lo: str, hi: str, t: str, v: str, by=None) -> DataFrame:
-    """Largest `v` of `series` with `t` in [lo, hi] and the earliest instant that has it, per (by, lo, hi): columns `t`, `v`.
+    """Largest `v` of `series` with `t` in [lo, hi] and the earliest instant that has it, per (by, lo, hi): columns `t`, `v`."""
+    best = F.max(F.struct(F.col(v).alias("v"), (-F.col(t)).alias("nt")))
+    got = range_fold(windows, series, lo, hi, t, {"_m": best}, {"_m": F.max("_m")}, by)
+    return got.select(*listed(by), lo, hi, (-F.col("_m.nt")).alias(t), F.col("_m.v").alias(v))
 
-    Instants are numbered, runs of PEAK_FAN of them have a peak, runs of those one more, and so on. A window is put
+
+def range_fold(windows: DataFrame, series: DataFrame, lo: str, hi: str, t: str, first: dict[str, Column], again: dict[str, Column], by=None) -> DataFrame:
+    """Aggregates of `series` with `t` in [lo, hi] per (by, lo, hi): `first` over rows, `again` over columns of the same names.
+
+    Instants are numbered, runs of PEAK_FAN of them have a value, runs of those one more, and so on. A window is put
     together from the longest runs inside it, so it meets a few rows a level and never its instants.
     """
     by = listed(by)
-    best = F.max(F.struct(F.col(v).alias("v"), (-F.col(t)).alias("nt"))).alias("_m")
-    inst = series.groupBy(*by, t).agg(best)
+    again = [c.alias(n) for n, c in again.items()]
+    inst = series.groupBy(*by, t).agg(*[c.alias(n) for n, c in first.items()])
     ranked = cut(row_numbers(inst, by, t, name="_i"))
     asked = windows.select(*by, lo, hi).where(F.col(lo) <= F.col(hi)).distinct()
     marks = ranked.select(*by, F.col(t).alias("_t"), F.lit(1).alias("_tag"), "_i")
@@ -54,10 +61,10 @@ def range_peak(windows: DataFrame, series: DataFrame, lo: str, hi: str, t: str,
     at = lambda g: F.max(F.when(F.col("_tag") == g, F.col("_at")))
     spans = placed.where("_tag != 1").groupBy(*by, lo, hi).agg(at(0).alias("_a"), at(2).alias("_z")).where("_a < _z")
 
-    level = cut(ranked.select(*by, (F.col("_i") - 1).alias("_node"), "_m"))
+    level = cut(ranked.select(*by, (F.col("_i") - 1).alias("_node"), *first))
     runs, depth, size = [level.withColumn("_level", F.lit(0))], 1, level.agg(F.max("_node")).first()[0] or 0
     while size >= PEAK_FAN:
-        level = cut(level.groupBy(*by, F.floor(F.col("_node") / PEAK_FAN).alias("_node")).agg(F.max("_m").alias("_m")))
+        level = cut(level.groupBy(*by, F.floor(F.col("_node") / PEAK_FAN).alias("_node")).agg(*again))
         runs.append(level.withColumn("_level", F.lit(depth)))
         depth, size = depth + 1, size // PEAK_FAN
     table = runs[0]
@@ -76,8 +83,7 @@ def range_peak(windows: DataFrame, series: DataFrame, lo: str, hi: str, t: str,
         upto = lambda x, y: F.when(x < y, F.sequence(x.cast("bigint"), (y - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
         parts.append(F.struct(F.lit(i).alias("_level"), F.concat(upto(first, left), upto(right, last)).alias("_nodes")))
     need = spans.select(*by, lo, hi, F.explode(F.array(*parts)).alias("_e")).select(*by, lo, hi, "_e._level", F.explode("_e._nodes").alias("_node"))
-    got = need.join(table, by + ["_level", "_node"]).groupBy(*by, lo, hi).agg(F.max("_m").alias("_m"))
-    return got.select(*by, lo, hi, (-F.col("_m.nt")).alias(t), F.col("_m.v").alias(v))
+    return need.join(table, by + ["_level", "_node"]).groupBy(*by, lo, hi).agg(*again)
 
 
 def asof(left: DataFrame, right: DataFrame, lt: str, rt: str, values: list[str], by=None,

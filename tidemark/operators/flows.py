@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kit.blocks import quantiles, running
-from ..kit.common import CFS_TO_CMS, HOUR, clip, finite, from_secs, listed, secs
-from ..kit.intervals import asof, interval_join
+from ..kit.common import CFS_TO_CMS, HOUR, clip, finite, from_secs, listed, over, secs
+from ..kit.intervals import asof, interval_join, range_fold
 from .fields import season
 
 
@@ -62,21 +62,41 @@ def transfer_hydrograph(records: DataFrame, events: DataFrame, site: str = "site
     """Observed hydrograph around an analog instant, moved to the event and scaled to its peak (m3/s).
 
     `events` has event, site, analog_time, reference_time, start, end (seconds) and target_peak_cfs.
-    Mean per site and instant, largest over sites, hourly with ends held.
+    Mean per site and instant, largest over sites, hourly with ends held. An event holds the records of its window, and its hours
+    are made beside them, so no hour is shuffled.
     """
     r = records.select(F.col(site), secs(records, time).alias("_t"), finite(flow).alias("_q")).where("_q is not null")
     r = r.groupBy(site, "_t").agg(F.avg("_q").alias("_q"))
-    e = events.withColumn("_lo", F.col("analog_time") - F.col("reference_time") + F.col("start")).withColumn(
-        "_hi", F.col("analog_time") - F.col("reference_time") + F.col("end"))
-    j = interval_join(e.select(event, site, "_lo", "_hi", "analog_time", "reference_time"), r, "_lo", "_hi", "_t", [site], 72 * HOUR)
-    shape = j.groupBy(event, (F.col("_t") - F.col("analog_time") + F.col("reference_time")).alias("t")).agg(F.max("_q").alias("v"))
-    one = e.groupBy(event).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("target_peak_cfs").alias("_target"))
-    ticks = hourly_clock(one.join(shape.select(event).distinct(), event), "start", "end")
-    hourly = interpolate(shape, ticks, [event], fill_ends=True)
-    peak = hourly.groupBy(event).agg(F.max("v").alias("_peak"))
-    k = peak.join(one, event).where("_peak > 0").select(event, (F.col("_target") / F.col("_peak")).alias("scale_factor"))
-    return hourly.join(k, event).select(event, F.col("t").alias("time"), "scale_factor",
-                                        (F.col("v") * F.col("scale_factor") * CFS_TO_CMS).alias("q_cms"))
+    shift = F.col("analog_time") - F.col("reference_time")
+    e = events.withColumn("_lo", shift + F.col("start")).withColumn("_hi", shift + F.col("end"))
+    # Events that ask for the same stretch of a record share its list.
+    keys = [site, "_lo", "_hi"]
+    asked = e.select(*keys).distinct()
+    lists = interval_join(asked, r, "_lo", "_hi", "_t", [site], 72 * HOUR).groupBy(*keys).agg(F.collect_list(F.struct("_t", "_q")).alias("_w"))
+    moved = e.join(lists, keys, "left").withColumn("_w", F.transform("_w", lambda x: F.struct(
+        (x["_t"] - F.col("analog_time") + F.col("reference_time")).alias("t"), x["_q"].alias("v"))))
+    one = moved.groupBy(event).agg(F.min("start").alias("_start"), F.max("end").alias("_end"), F.max("target_peak_cfs").alias("_target"),
+                                   F.array_sort(F.flatten(F.collect_list("_w"))).alias("_w")).where(F.size("_w") > 0)
+    # In order of instant and value, the last of equal instants is the largest over sites.
+    w = F.col("_w")
+    one = one.withColumn("_w", F.filter(w, lambda x, i: F.coalesce(F.get(w, i + 1)["t"] != x["t"], F.lit(True))))
+    # A stretch between two instants has the ticks from the first on: numbers _a to _z.
+    n = F.floor((F.col("_end") - F.col("_start")) / HOUR).cast("int")
+    tick = lambda t: F.least(F.greatest(F.ceil((t - F.col("_start")) / HOUR), F.lit(0)), n + 1).cast("int")
+    at = lambda s, i: F.when(s["hi"].isNull(), s["lo"]["v"]).when(s["lo"].isNull(), s["hi"]["v"]).otherwise(
+        s["lo"]["v"] + (s["hi"]["v"] - s["lo"]["v"]) * (F.col("_start") + i * HOUR - s["lo"]["t"]) / (s["hi"]["t"] - s["lo"]["t"]))
+    parts = F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.struct(
+        F.when(i > 0, tick(F.get(w, i - 1)["t"])).otherwise(0).alias("a"), F.when(i < F.size(w), tick(F.get(w, i)["t"])).otherwise(n + 1).alias("z"),
+        F.get(w, i - 1).alias("lo"), F.get(w, i).alias("hi")))
+    one = one.withColumn("_parts", F.filter(parts, lambda s: s["a"] < s["z"]))
+    # Linear in between, so the largest value stands at the first or last tick of a stretch.
+    top = F.array_max(F.transform("_parts", lambda s: F.greatest(at(s, s["a"]), at(s, s["z"] - 1))))
+    scaled = one.withColumn("_peak", top).where("_peak > 0").withColumn("scale_factor", F.col("_target") / F.col("_peak"))
+    stretch = scaled.select(event, "_start", "scale_factor", F.explode("_parts").alias("_s"))
+    s = F.col("_s")
+    ticks = stretch.withColumn("_i", F.explode(F.sequence(s["a"], s["z"] - 1)))
+    return ticks.select(event, (F.col("_start") + F.col("_i") * HOUR).alias("time"), "scale_factor",
+                        (at(s, F.col("_i")) * F.col("scale_factor") * CFS_TO_CMS).alias("q_cms"))
 
 
 def align_observations(records: DataFrame, clock: DataFrame, step_s: float, origin: float, by, time: str = "time",
@@ -292,9 +312,17 @@ def initial_depth(q: DataFrame, hours: float, reference_q: float, reference_dept
 
 def lookback_summary(events: DataFrame, series: DataFrame, hours: float = 24.0, by=None, event: str = "event_id",
                      at: str = "time", time: str = "time", value: str = "value") -> DataFrame:
-    """Mean, min, max and rows of the series in the hours before each event (both ends included)."""
+    """Mean, min, max and rows of the series in the hours before each event (both ends included).
+
+    Events at one instant share a window, and windows are put together from runs of instants with known totals.
+    """
     by = listed(by)
     e = events.select(*by, event, secs(events, at).alias("_hi")).withColumn("_lo", F.col("_hi") - hours * HOUR)
-    s = series.select(*by, secs(series, time).alias("_t"), finite(value).alias("_v"))
-    return interval_join(e, s, "_lo", "_hi", "_t", by, hours * HOUR).groupBy(*by, event).agg(
-        F.avg("_v").alias("mean_value"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value"), F.count("_v").alias("row_count"))
+    s = series.select(*by, secs(series, time).alias("_t"), finite(value).alias("_v")).where("_t is not null")
+    first = {"_sum": F.sum("_v"), "min_value": F.min("_v"), "max_value": F.max("_v"), "row_count": F.count("_v")}
+    again = {"_sum": F.sum("_sum"), "min_value": F.min("min_value"), "max_value": F.max("max_value"), "row_count": F.sum("row_count")}
+    got = range_fold(e, s, "_lo", "_hi", "_t", first, again, by)
+    # An event that stands several times has one row, over the rows of all its windows.
+    return e.join(got, [*by, "_lo", "_hi"]).groupBy(*by, event).agg(
+        (F.sum("_sum") / over(F.sum("row_count"))).alias("mean_value"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+        F.sum("row_count").alias("row_count"))
