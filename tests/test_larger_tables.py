@@ -185,3 +185,17 @@ def test_lookback_meets_runs_not_instants(spark, monkeypatch):
         v = [x for x in inside if x is not None]
         assert rows[i].row_count == len(v) and (rows[i].min_value, rows[i].max_value) == (min(v, default=None), max(v, default=None))
         assert not v or abs(rows[i].mean_value - sum(v) / len(v)) < 1e-9
+
+
+def test_trend_counts_once_and_weighs_equal_rows(spark, monkeypatch):
+    asked = []
+    count = peaks.count_exceeding
+    monkeypatch.setattr(peaks, "count_exceeding", lambda e, r, *a, **k: asked.append((e.count(), r.count())) or count(e, r, *a, **k))
+    rng = random.Random(2)
+    one = [(float(rng.randrange(12)), float(rng.randrange(8))) for _ in range(60)]
+    rows = one * 5
+    r = peaks.mann_kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    sign = lambda d: (d > 0) - (d < 0)
+    s = sum(sign(b[0] - a[0]) * sign(b[1] - a[1]) for i, a in enumerate(rows) for b in rows[:i])
+    free = [sum(a[i] != b[i] for j, a in enumerate(rows) for b in rows[:j]) for i in (0, 1)]
+    assert asked == [(len(set(one)), len(set(one)))] and r.n == 300 and abs(r.tau - s / math.sqrt(free[0] * free[1])) < 1e-12

@@ -99,21 +99,22 @@ def detrend(df: DataFrame, slope, ref: float, time: str = "time", value: str = "
 def mann_kendall(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
     """Kendall tau-b and its normal-approximation p per group, with a verdict; counts, not pairs."""
     by = listed(by)
-    p = cut(df.select(*by, finite(x).alias("_x"), finite(y).alias("_y")).dropna(subset=["_x", "_y"]).withColumn(
-        "_ny", -F.col("_y")).withColumn("_id", F.monotonically_increasing_id()))
-
-    def pairs(cols, name):
-        return count_exceeding(p.select("_id", *by, *cols), p.select(*by, *cols), "_id", cols, by).groupBy(*by).agg(
-            F.sum("n_exceeding").cast("double").alias(name))
-
-    def ties(col, name):
-        c = p.groupBy(*by, col).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    p = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y")).dropna(subset=["_x", "_y"])
+    # Equal rows are weighted, not repeated.
+    p = cut(p.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_k")).withColumn("_id", F.monotonically_increasing_id()))
+    beyond = count_exceeding(p.select("_id", *by, "_x", "_y"), p, "_id", ["_x", "_y"], by, weight="_k")
+    con = beyond.join(p.select("_id", "_k"), "_id").groupBy(*by).agg(F.sum(F.col("_k") * F.col("n_exceeding")).alias("_con"))
+
+    def ties(cols, name):
+        c = p.groupBy(*by, *cols).agg(F.sum("_k").alias("c"))
         return c.groupBy(*by).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name),
                                   F.sum(F.col("c") * (F.col("c") - 1) * (2 * F.col("c") + 5)).alias(name + "v"))
 
-    base = p.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    for part in (pairs(["_x", "_y"], "_con"), pairs(["_x", "_ny"], "_dis"), ties("_x", "_tx"), ties("_y", "_ty")):
+    base = p.groupBy(*by).agg(F.sum("_k").alias("n"))
+    for part in (con, ties(["_x"], "_tx"), ties(["_y"], "_ty"), ties(["_x", "_y"], "_txy")):
         base = base.join(part, by) if by else base.join(F.broadcast(part))
+    # A pair either rises, falls, or ties in one or both.
+    base = base.withColumn("_dis", F.col("n") * (F.col("n") - 1) / 2 - F.col("_con") - F.col("_tx") - F.col("_ty") + F.col("_txy"))
     n = F.col("n")
     n0 = n * (n - 1) / 2
     s = F.col("_con") - F.col("_dis")
