@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import workload
 from tidemark.kit import intervals, neighbours
 from tidemark.kit.common import cut
-from tidemark.operators import events, extremes, fields, flows, hydro, peaks
+from tidemark.operators import events, extremes, fields, flows, hydro, impact, peaks
+from tidemark.sources import tables
 from workload.base import rounded
 
 
@@ -199,3 +200,12 @@ def test_trend_counts_once_and_weighs_equal_rows(spark, monkeypatch):
     s = sum(sign(b[0] - a[0]) * sign(b[1] - a[1]) for i, a in enumerate(rows) for b in rows[:i])
     free = [sum(a[i] != b[i] for j, a in enumerate(rows) for b in rows[:j]) for i in (0, 1)]
     assert asked == [(len(set(one)), len(set(one)))] and r.n == 300 and abs(r.tau - s / math.sqrt(free[0] * free[1])) < 1e-12
+
+
+def test_profiles_are_made_once_a_schedule(spark, tmp_path, monkeypatch):
+    loads = []
+    made = impact.hourly_profiles
+    monkeypatch.setattr(impact, "hourly_profiles", lambda a, *k: loads.append(a.count()) or made(a, *k))
+    sup = spark.createDataFrame([(i, i * 37.2531 - 400) for i in range(40)], "s_suppkey long, s_acctbal double")
+    got, ref = against_sql(spark, tmp_path, "hourly_profiles", {"supplier": sup})
+    assert loads == [5] and len(got) == 5 * 8760 and got == ref

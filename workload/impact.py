@@ -209,10 +209,10 @@ SHAPE_SQL = """CASE kind WHEN '24x7' THEN least(1, greatest(0.62, 0.8 + 0.2 * si
 hh AS (SELECT unnest(range(0, 8760)) AS h), s AS (SELECT l.*, h, CASE WHEN h % 24 BETWEEN 9 AND 17 THEN 0.18 + 0.82 * sin(pi() * (h % 24 - 8.5) / 9) ELSE 0.18 END AS x FROM l, hh)
 SELECT kind AS schedule_overlay, CAST(h AS INTEGER) AS hour, sum(kw * ({SHAPE_SQL})) AS kw FROM s GROUP BY ALL""", kw=2)
 def hourly_profiles(t):
-    """Every supplier's full year, totalled per schedule and hour."""
+    """Every supplier's full year, totalled per schedule and hour: loads of one schedule have one shape, so they are added up before the hours."""
     kind = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (F.col("s_suppkey") % 5 + 1).cast("int"))
     a = t.supplier.select(kind.alias("schedule_overlay"), (F.abs("s_acctbal") / 10).alias("peak_kw"))
-    return I.hourly_profiles(a).groupBy("schedule_overlay", "hour").agg(F.sum("kw").alias("kw"))
+    return I.hourly_profiles(a.groupBy("schedule_overlay").agg(F.sum("peak_kw").alias("peak_kw"))).select("schedule_overlay", "hour", "kw")
 
 
 WIN_SQL = f"""l AS (SELECT s_suppkey, s_nationkey, ['24x7', 'business_hours', 'school_calendar', 'extended_residential', 'industrial_continuous'][s_suppkey % 5 + 1] AS kind, abs(s_acctbal) / 10 AS kw FROM supplier),
