@@ -209,3 +209,15 @@ def test_profiles_are_made_once_a_schedule(spark, tmp_path, monkeypatch):
     sup = spark.createDataFrame([(i, i * 37.2531 - 400) for i in range(40)], "s_suppkey long, s_acctbal double")
     got, ref = against_sql(spark, tmp_path, "hourly_profiles", {"supplier": sup})
     assert loads == [5] and len(got) == 5 * 8760 and got == ref
+
+
+def test_sites_meet_the_nearest_primary_only(spark, monkeypatch):
+    monkeypatch.setattr(tables, "within_distance", None, raising=False)
+    rng = random.Random(12)
+    at = lambda: float(rng.randrange(400))
+    s = [(i, at(), at()) for i in range(200)] + [(900, None, 1.0)]
+    p = [(at(), at()) for _ in range(60)] + [(None, 3.0)]
+    got = tables.drop_overlapping_sites(spark.createDataFrame(s, "site_no int, x double, y double"), spark.createDataFrame(p, "x double, y double"), 13.0)
+    near = lambda x, y: x is not None and any(px is not None and math.sqrt((x - px) ** 2 + (y - py) ** 2) <= 13.0 for px, py in p)
+    want = {i for i, x, y in s if not near(x, y)}
+    assert {r.site_no for r in got.collect()} == want and 900 in want and 20 < len(want) < 180

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..kit.blocks import quantiles, row_numbers
 from ..kit.cells import in_boxes, in_rings
 from ..kit.common import clip, finite, listed, secs
-from ..kit.intervals import nearest, within_distance
+from ..kit.intervals import nearest
 
 
 def rollup_gauges(df: DataFrame, site: str = "site_no", parameter: str = "00060") -> DataFrame:
@@ -59,8 +59,9 @@ def accepted_gauges(df: DataFrame) -> DataFrame:
 def drop_overlapping_sites(sites: DataFrame, primary: DataFrame, d: float = 150.0, excluded=(), site: str = "site_no", x: str = "x", y: str = "y") -> DataFrame:
     """Sites farther than d from every primary site and not of an excluded agency."""
     keep = sites.where(~F.coalesce(F.upper("agency").isin([e.upper() for e in excluded]), F.lit(False))) if excluded else sites
-    p = primary.select(F.col(x).alias("_ox"), F.col(y).alias("_oy")).distinct()
-    near = within_distance(keep.select(site, x, y), p, x, y, "_ox", "_oy", d).select(site).distinct()
+    p = primary.select(F.col(x).alias("_ox"), F.col(y).alias("_oy"), F.lit(0).alias("_o"))
+    # The nearest primary site decides, so a site meets few of those within d.
+    near = nearest(keep.select(site, x, y), p, site, x, y, "_o", "_ox", "_oy", max(float(d), 1e-9)).where(F.col("distance") <= float(d)).select(site)
     return keep.join(near, site, "left_anti")
 
 
