@@ -221,3 +221,24 @@ def test_sites_meet_the_nearest_primary_only(spark, monkeypatch):
     near = lambda x, y: x is not None and any(px is not None and math.sqrt((x - px) ** 2 + (y - py) ** 2) <= 13.0 for px, py in p)
     want = {i for i, x, y in s if not near(x, y)}
     assert {r.site_no for r in got.collect()} == want and 900 in want and 20 < len(want) < 180
+
+
+def test_soil_layers_reduce_before_anything_is_shuffled(spark):
+    rng = random.Random(9)
+    tops = (0.0, 5.0, 15.0, 20.0, 60.0, 90.0, 150.0)
+    fields_ = ("dbthirdbar_r", "om_r", "ph1to1h2o_r", "claytotal_r", "silttotal_r", "sandtotal_r")
+    rows = [(k, t, t + rng.choice((-1.0, 5.0, 10.0, 40.0, 50.0)), *(float(rng.randrange(1, 4)) for _ in fields_)) for k in range(60) for t in rng.sample(tops, rng.randrange(1, 6)) for _ in (0, 1)]
+    got = hydro.soil_layers(spark.createDataFrame(rows, "mukey int, hzdept_r double, hzdepb_r double, " + ", ".join(f"{f} double" for f in fields_)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    want = {}
+    for k in range(60):
+        mine = [r for r in rows if r[0] == k and r[2] > r[1]]
+        if not mine:
+            continue
+        deep = max(r[2] for r in mine)
+        rank = lambda r, d: 0 if r[1] <= d < r[2] else 1 if d >= deep and r[2] >= d else 2
+        pick = [min(mine, key=lambda r: (rank(r, d), abs(r[1] - d) if rank(r, d) == 2 else 0.0, r[1], *r[3:])) for d in hydro.LAYER_DEPTHS_CM]
+        want[k] = (min(200.0, deep), [p[3] for p in pick], [p[8] for p in pick])
+    rows = {r.mukey: (r.soilthickness, [r[f"bd_sl{i}"] for i in range(1, 8)], [r[f"sndppt_sl{i}"] for i in range(1, 8)]) for r in got.collect()}
+    assert rows == want and any(v[0] in hydro.LAYER_DEPTHS_CM for v in want.values())

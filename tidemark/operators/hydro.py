@@ -61,20 +61,24 @@ SOIL_FIELDS = {"bd": "dbthirdbar_r", "oc": "om_r", "ph": "ph1to1h2o_r", "clyppt"
 def soil_layers(horizons: DataFrame, key: str = "mukey", depths=LAYER_DEPTHS_CM) -> DataFrame:
     """Soil properties at fixed depths: the horizon covering the depth, below the profile the deepest, else the nearest top.
 
-    Horizons go to the few depths by a small broadcast; the choice is one reduction per key and depth.
+    One reduction per key over all depths, before anything is shuffled. Below the profile only a horizon that ends at the depth
+    counts, and then the profile ends there too, so its depth need not be known first.
     """
     h = horizons.select(key, finite("hzdept_r").alias("_top"), finite("hzdepb_r").alias("_bot"), *[finite(c).alias(f"_{n}") for n, c in SOIL_FIELDS.items()]).where("_bot > _top")
-    deepest = h.groupBy(key).agg(F.max("_bot").alias("_max"))
-    at = h.join(deepest, key).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(len(depths)))))
-    d = F.element_at(F.array(*[F.lit(float(x)) for x in depths]), F.col("_i"))
-    covers = (F.col("_top") <= d) & (F.col("_bot") > d)
-    below = (d >= F.col("_max")) & (F.col("_bot") >= d)
-    rank = F.when(covers, 0).when(below, 1).otherwise(2)
-    pick = F.min(F.struct(rank.alias("r"), F.when(rank == 2, F.abs(F.col("_top") - d)).otherwise(0.0).alias("k"), F.col("_top").alias("t"), *[F.col(f"_{n}").alias(n) for n in SOIL_FIELDS]))
-    best = at.groupBy(key, "_max", "_i").agg(pick.alias("m"))
-    val = lambda n: F.col(f"m.{n}") / OM_TO_OC if n == "oc" else F.col(f"m.{n}")
-    cols = [F.max(F.when(F.col("_i") == i, val(n))).alias(f"{n}_sl{i}") for i in range(1, len(depths) + 1) for n in SOIL_FIELDS]
-    return best.groupBy(key).agg(F.least(F.lit(200.0), F.max("_max")).alias("soilthickness"), *cols).dropna()
+    rest = [F.col("_top").alias("t"), *[F.col(f"_{n}").alias(n) for n in SOIL_FIELDS]]
+    least = []
+    for i, d in enumerate(depths, 1):
+        covers = (F.col("_top") <= d) & (F.col("_bot") > d)
+        least += [F.min(F.when(covers, F.struct(*rest))).alias(f"_0_{i}"), F.min(F.when(F.col("_bot") == d, F.struct(*rest))).alias(f"_1_{i}"),
+                  F.min(F.when(~covers, F.struct(F.abs(F.col("_top") - d).alias("k"), *rest))).alias(f"_2_{i}")]
+    a = h.groupBy(key).agg(F.max("_bot").alias("_max"), *least)
+    cols = []
+    for i, d in enumerate(depths, 1):
+        first, ends, near = (F.col(f"_{r}_{i}") for r in range(3))
+        for n in SOIL_FIELDS:
+            got = F.when(first.isNotNull(), first[n]).when(F.col("_max") == d, ends[n]).otherwise(near[n])
+            cols.append((got / OM_TO_OC if n == "oc" else got).alias(f"{n}_sl{i}"))
+    return a.select(key, F.least(F.lit(200.0), F.col("_max")).alias("soilthickness"), *cols).dropna()
 
 
 def enrich_rivers(rivers: DataFrame, geometry: DataFrame, key: str = "comid", label: str = "measured", fallback: str = "fallback") -> DataFrame:
