@@ -242,3 +242,18 @@ def test_soil_layers_reduce_before_anything_is_shuffled(spark):
         want[k] = (min(200.0, deep), [p[3] for p in pick], [p[8] for p in pick])
     rows = {r.mukey: (r.soilthickness, [r[f"bd_sl{i}"] for i in range(1, 8)], [r[f"sndppt_sl{i}"] for i in range(1, 8)]) for r in got.collect()}
     assert rows == want and any(v[0] in hydro.LAYER_DEPTHS_CM for v in want.values())
+
+
+def test_shapes_are_made_once_a_schedule(spark, monkeypatch):
+    asked = []
+    shape = impact.load_shape
+    monkeypatch.setattr(impact, "load_shape", lambda kind, hour: asked.append(kind) or shape(kind, hour))
+    a = spark.createDataFrame([(i, (None, "24x7", "school_calendar")[i % 3], 2.0 + i) for i in range(30)], "load_asset_id int, schedule_overlay string, peak_kw double")
+    e = spark.createDataFrame([(1, 8758, 4), (2, 30, 5)], "event_id int, start_hour int, steps int")
+    got = impact.window_demand(a, e)
+    plain = a.join(e.selectExpr("event_id", "posexplode(transform(sequence(0, steps - 1), i -> (start_hour + i) % 8760)) AS (step, hour)")).withColumn(
+        "kw", F.round(F.col("peak_kw") * shape(F.col("schedule_overlay"), F.col("hour")), 6)).select("event_id", "load_asset_id", "step", "hour", "kw")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 270
+    assert "schedule_overlay" not in str(asked[0])
+    # A table in one file is worked on by all tasks.
+    assert impact.window_demand(a.coalesce(1), e).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
