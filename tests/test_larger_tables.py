@@ -257,3 +257,22 @@ def test_shapes_are_made_once_a_schedule(spark, monkeypatch):
     assert "schedule_overlay" not in str(asked[0])
     # A table in one file is worked on by all tasks.
     assert impact.window_demand(a.coalesce(1), e).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_meteo_sorts_only_rows_beside_a_tick(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([*[round(rng.uniform(-50, 900), 2)] * 30, float(rng.randrange(0, 900, 100))]), rng.uniform(0, 300)) for k in "ab" for _ in range(2000)]
+    rows += [("a", 300.0, None), ("b", None, 4.0), ("a", 300.0, 7.0), ("a", 300.0, 9.0)]
+    cells = spark.createDataFrame(rows, "k string, t double, v double")
+    # A regular clock with one instant far off, and two ticks close together.
+    clock = spark.createDataFrame([(float(x),) for x in [*range(0, 900, 100), 1.0, 1.5, 5000.0]], "t double")
+    held, plain = [], flows.interpolate
+    monkeypatch.setattr(flows, "interpolate", lambda k, *a: held.append(k.count()) or plain(k, *a))
+    got = {(r.k, r.t): r.v for r in flows.normalise_meteo(cells, clock, "k", "pressure", "t", "v").collect()}
+    ticks = cells.select("k").distinct().join(clock)
+    middle = float(np.median([v for _, _, v in rows if v is not None]))
+    want = {(r.k, r.t): middle if r.v is None else r.v for r in plain(cells, ticks, ["k"]).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
+    fine = spark.createDataFrame([(float(x),) for x in range(0, 900, 100)], "t double")
+    flows.normalise_meteo(cells, fine, "k", "pressure", "t", "v").collect()
+    assert held[1] < 600  # of 4,002 rows with a value: those of the instants beside nine ticks

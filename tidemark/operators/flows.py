@@ -30,6 +30,22 @@ def interpolate(known: DataFrame, clock: DataFrame, by, t: str = "t", v: str = "
     return near.select(*by, F.col("_t").alias(t), val.alias(v))
 
 
+def _beside_ticks(known: DataFrame, clock: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of `known` that a tick of the clock (t) may lie next to: all others leave before anything is sorted.
+
+    Time is cut into as many cells as there are ticks. Before the first tick of a cell, from its last one on, and in a cell without a
+    tick only the first and the last instant count; rows between two ticks of one cell all stay.
+    """
+    known = known.where("v is not null")
+    grid = clock.agg(F.min("t").alias("_t0"), F.coalesce(over((F.max("t") - F.min("t")) / over(F.count_distinct("t") - 1)), F.lit(1.0)).alias("_w"))
+    celled = lambda df: df.join(F.broadcast(grid)).withColumn("_cell", F.floor((F.col("t") - F.col("_t0")) / F.col("_w") + 0.5)).drop("_t0", "_w")
+    marks = celled(clock).groupBy("_cell").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    side = F.when(F.col("_a").isNull() | (F.col("t") <= F.col("_a")), 0).when(F.col("t") >= F.col("_b"), 2).otherwise(1)
+    put = celled(known).join(F.broadcast(marks), "_cell", "left").withColumn("_side", side)
+    ends = put.groupBy(*by, "_cell", "_side", F.when(F.col("_side") == 1, F.col("t")).alias("_own")).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    return known.join(ends.select(*by, F.explode(F.array("_lo", "_hi")).alias("t")).distinct(), [*by, "t"], "left_semi")
+
+
 def normalise_meteo(cells: DataFrame, clock: DataFrame, by, kind: str, time: str = "time", value: str = "value") -> DataFrame:
     """A field on the model clock: linear in time, gaps filled with the field median (0 for radiation), units fixed.
 
@@ -37,8 +53,9 @@ def normalise_meteo(cells: DataFrame, clock: DataFrame, by, kind: str, time: str
     """
     by = listed(by)
     known = cells.select(*by, secs(cells, time).alias("t"), finite(value).alias("v"))
-    ticks = known.select(*by).distinct().join(F.broadcast(clock.select(secs(clock, time).alias("t"))))
-    got = interpolate(known, ticks, by)
+    at = clock.select(secs(clock, time).alias("t"))
+    ticks = known.select(*by).distinct().join(F.broadcast(at))
+    got = interpolate(_beside_ticks(known, at, by), ticks, by)
     if kind == "radiation":
         v = F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0))
     else:
