@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import workload
-from tidemark.kit import intervals, neighbours
+from tidemark.kit import dominance, intervals, neighbours
 from tidemark.kit.common import cut
 from tidemark.operators import events, extremes, fields, flows, hydro, impact, peaks
 from tidemark.sources import tables
@@ -276,3 +276,17 @@ def test_meteo_sorts_only_rows_beside_a_tick(spark, monkeypatch):
     fine = spark.createDataFrame([(float(x),) for x in range(0, 900, 100)], "t double")
     flows.normalise_meteo(cells, fine, "k", "pressure", "t", "v").collect()
     assert held[1] < 600  # of 4,002 rows with a value: those of the instants beside nine ticks
+
+
+def test_survival_counts_only_where_few_rows_can_be_larger(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, float(rng.randrange(300)), rng.choice([1.0, 2.0, rng.random() * 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows + [(3000, None, 1.0)], "id long, x double, y double")
+    seen, plain = [], dominance._in_strips
+    monkeypatch.setattr(dominance, "_in_strips", lambda p, *a: seen.append(p.count()) or plain(p, *a))
+    monkeypatch.setattr(dominance, "STRIP_ROWS", 100)
+    n = {i: sum(x2 > x and y2 > y for _, x2, y2 in rows) for i, x, y in rows}
+    for most in (0, 37, 150.5):
+        got = {r.id: r.n_exceeding for r in dominance.count_exceeding(df, df, "id", ["x", "y"], most=most).collect()}
+        assert got == {i: c for i, c in n.items() if c <= most}
+    assert max(seen) < 2500  # of some 6,000 rows

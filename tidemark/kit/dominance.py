@@ -23,8 +23,12 @@ STRIP_ROWS, CUTS = 40_000, (8, 1000)
 
 
 def count_exceeding(events: DataFrame, refs: DataFrame, eid: str, cols: list[str], by=None,
-                    name: str = "n_exceeding", weight: str | None = None, strict: bool = True) -> DataFrame:
-    """(eid, by, name): weighted number of refs with ref > event in every column, per group; >= in one or two columns unless `strict`."""
+                    name: str = "n_exceeding", weight: str | None = None, strict: bool = True, most: float | None = None) -> DataFrame:
+    """(eid, by, name): weighted number of refs with ref > event in every column, per group; >= in one or two columns unless `strict`.
+
+    With `most` only events of at most that number are returned, and events without all columns are not; in two columns places
+    whose higher strips hold more are left before anything is counted in them.
+    """
     by = listed(by)
     if not strict and len(cols) > 2:
         raise ValueError("at most two columns with equal values counted")
@@ -35,7 +39,7 @@ def count_exceeding(events: DataFrame, refs: DataFrame, eid: str, cols: list[str
                                           F.lit(0.0).alias("_w"))
     both = cut(r.unionByName(e))
     if len(cols) == 2:
-        got = _two(both, by, *cols, strict)
+        got = _two(both, by, *cols, strict, most)
     else:
         groups = by
         for i, c in enumerate(cols[:-1]):
@@ -46,13 +50,17 @@ def count_exceeding(events: DataFrame, refs: DataFrame, eid: str, cols: list[str
         flipped = both.withColumn("_down", -F.col(cols[-1])).withColumn("_tag", F.when(F.col("_e").isNull(), second).otherwise(first))
         got = running(flipped, groups, "_down", {"_c": ("sum", "_w")}, tie="_tag").where("_e is not null")
     counts = got.groupBy("_e", *by).agg(F.sum("_c").alias("_c"))
-    base = events.select(F.col(eid).alias("_e"), *by)
-    out = base.join(counts, ["_e"] + by, "left")
+    if most is not None and len(cols) == 2:
+        out = counts.where(F.col("_c") <= most)  # every event that is left has its place among them
+    else:
+        base = (events if most is None else events.dropna(subset=cols)).select(F.col(eid).alias("_e"), *by)
+        out = base.join(counts, ["_e"] + by, "left")
+        out = out if most is None else out.where(F.coalesce("_c", F.lit(0.0)) <= most)
     return out.select(F.col("_e").alias(eid), *by, F.coalesce("_c", F.lit(0.0)).cast("bigint" if not weight else "double").alias(name))
 
 
-def _two(both: DataFrame, by: list[str], x: str, y: str, strict: bool) -> DataFrame:
-    """(_e, by, _c): parts of the count of each event in two dimensions, to be summed."""
+def _two(both: DataFrame, by: list[str], x: str, y: str, strict: bool, most: float | None = None) -> DataFrame:
+    """(_e, by, _c): parts of the count of each event in two dimensions, to be summed; with `most`, of events in places that may have so few."""
     n = int(min(max(both.count() // STRIP_ROWS, CUTS[0]), CUTS[1]))
     # The bounds of the strips, at most CUTS numbers an axis, go to the tasks with the function that looks them up.
     steps = [i / n for i in range(1, n)]
@@ -61,15 +69,23 @@ def _two(both: DataFrame, by: list[str], x: str, y: str, strict: bool) -> DataFr
     # Odd strips hold one value, however many rows: in them no ref is larger than an event, and each is as large.
     level = lambda b: 2 * F.col(b) - F.when(F.col("_e").isNotNull() & (F.col(b) % 2 == 1), 0 if strict else 1).otherwise(0)
     p = cut(p.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), "_w", "_e", F.col("_bx").alias("_sx"), F.col("_by").alias("_sy"), level("_bx").alias("_px"), level("_by").alias("_py")))
-    within = _in_strips(p.where("_sx % 2 = 0"), by, "_sx", F.col("_x"), F.col("_y"), strict, strict)
-    beside = _in_strips(p.where("_sy % 2 = 0"), by, "_sy", F.col("_px").cast("double"), F.col("_y"), True, strict)
     # Refs in higher strips of both: one row a pair of places, summed along one axis and then along the other.
     filled = p.groupBy(*by, "_px", "_py").agg(F.sum(F.when(F.col("_e").isNull(), F.col("_w")).otherwise(0.0)).alias("_w"))
     axis = lambda c, as_: filled.select(*by, F.col(c).alias(as_)).distinct()
     square = (axis("_px", "_px").join(axis("_py", "_py"), by) if by else axis("_px", "_px").crossJoin(axis("_py", "_py"))).join(filled, [*by, "_px", "_py"], "left")
     up = lambda one, along: Window.partitionBy(*by, one).orderBy(F.col(along).desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most CUTS twice over
     square = square.withColumn("_w", F.sum("_w").over(up("_px", "_py"))).withColumn("_c", F.sum("_w").over(up("_py", "_px")))
-    far = p.where("_e is not null").join(square.select(*by, "_px", "_py", "_c").where("_c > 0"), [*by, "_px", "_py"]).select("_e", *by, "_c")
+    square = square.select(*by, "_px", "_py", F.coalesce("_c", F.lit(0.0)).alias("_c"))
+    if most is not None:
+        # Counts fall along both axes, so what is left lies above an edge, and so does each row that is larger than one of it.
+        square = cut(square.where(F.col("_c") <= most))
+        edge = square.groupBy(*by, "_px").agg(F.min("_py").alias("_least"))
+        p = cut(p.join(edge if by else F.broadcast(edge), [*by, "_px"]).where(F.col("_py") >= F.col("_least")).drop("_least"))
+    else:
+        square = square.where("_c > 0")
+    within = _in_strips(p.where("_sx % 2 = 0"), by, "_sx", F.col("_x"), F.col("_y"), strict, strict)
+    beside = _in_strips(p.where("_sy % 2 = 0"), by, "_sy", F.col("_px").cast("double"), F.col("_y"), True, strict)
+    far = p.where("_e is not null").join(square, [*by, "_px", "_py"]).select("_e", *by, "_c")
     return within.unionByName(beside).unionByName(far)
 
 
