@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import workload
-from tidemark.kit import dominance, intervals, neighbours
+from tidemark.kit import dominance, graph, intervals, neighbours
 from tidemark.kit.common import cut
 from tidemark.operators import events, extremes, fields, flows, hydro, impact, peaks
 from tidemark.sources import tables
@@ -290,3 +290,28 @@ def test_survival_counts_only_where_few_rows_can_be_larger(spark, monkeypatch):
         got = {r.id: r.n_exceeding for r in dominance.count_exceeding(df, df, "id", ["x", "y"], most=most).collect()}
         assert got == {i: c for i, c in n.items() if c <= most}
     assert max(seen) < 2500  # of some 6,000 rows
+
+
+def test_components_of_stars_paths_and_lone_nodes(spark):
+    star = [(1000, i) for i in range(900, 1000)]
+    path = [(i, i + 1) for i in range(2000, 2100)]
+    rng = random.Random(7)
+    mixed = [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(220)]
+    e = star + path + mixed + [(5, 5), (8, 7), (7, 8), (7, 8)]
+    par = {}
+
+    def find(x):
+        while par.setdefault(x, x) != x:
+            x = par[x]
+        return x
+
+    for a, b in e:
+        a, b = find(a), find(b)
+        if a != b:
+            par[max(a, b)] = min(a, b)
+    nodes = [3, 5, 7, *range(900, 950), *range(3000, 3400)]
+    rounds = []
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([(x,) for x in nodes], "node long"), spark.createDataFrame(e, "src long, dst long"),
+                                                        hold=lambda d: rounds.append(1) or cut(d)).collect()}
+    assert got == {x: find(x) for x in {*nodes, *(y for a, b in e if a != b for y in (a, b))}}
+    assert len(rounds) < 40

@@ -17,25 +17,38 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str
                label: str = "component", hold: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, label) with the smallest node id of each connected component.
 
-    Parents hook onto the smallest grandparent seen across an edge and then jump to their
-    grandparent, so long chains close in logarithmic rounds. `hold` ends each round.
+    Every node points at its smallest neighbour; where two point at each other, the smaller is a root. It is the smallest of its
+    tree, for a node's second pointer never leads to a larger one. Pointers double until all are at roots, then each tree becomes
+    one node: groups at least halve each round, and an edge inside a tree is never looked at again. `hold` ends each round.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = hold(e.union(e.select("v", "u")).distinct())
-    f = hold(nodes.select(F.col(node).alias("n")).union(both.select("u")).distinct().withColumn("p", F.col("n")))
-    while True:
-        up = f.select(F.col("n").alias("p"), F.col("p").alias("g"))
-        gp = f.join(up, "p").select("n", "p", "g")
-        near = both.join(gp.select(F.col("n").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("m"))
-        per = gp.join(near, gp["n"] == near["u"], "left").select(
-            "n", "p", F.least("g", F.coalesce("m", "g")).alias("best"))
-        # The node and its parent both learn the best label.
-        told = per.select(F.explode(F.array("n", "p")).alias("n"), "best").groupBy("n").agg(F.min("best").alias("b"))
-        nxt = hold(f.join(told, "n").select("n", F.col("p").alias("old"), F.least("p", "b").alias("p")))
-        changed = not nxt.where("p <> old").isEmpty()
-        f = nxt.select("n", "p")
-        if not changed:
-            return f.select(F.col("n").alias(node), F.col("p").alias(label))
+    e = hold(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v"))
+    rounds = []
+    while not e.isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("p")), F.struct(F.col("v").alias("n"), F.col("u").alias("p")))).alias("s")
+        f = hold(e.select(ends).groupBy(F.col("s.n").alias("n")).agg(F.min("s.p").alias("p")))
+        step = f.join(f.select(F.col("n").alias("p"), F.col("p").alias("g")), "p")
+        # Of two that point at each other the smaller stays.
+        f = hold(step.select("n", F.when((F.col("g") == F.col("n")) & (F.col("n") < F.col("p")), F.col("n")).otherwise(F.col("p")).alias("p")))
+        while True:
+            step = f.join(f.select(F.col("n").alias("p"), F.col("p").alias("g")), "p").select("n", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
+            step = hold(step)
+            f = step.select("n", "p")
+            if step.where("moved").isEmpty():
+                break
+        rounds.append(f)
+        to = lambda c: f.select(F.col("n").alias(c), F.col("p").alias(f"_{c}"))
+        e = hold(e.join(to("u"), "u").join(to("v"), "v").where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
+    out = None
+    for f in reversed(rounds):
+        # Roots of a round are the nodes of the next.
+        if out is not None:
+            f = hold(f.join(out.select(F.col("n").alias("p"), F.col("p").alias("g")), "p", "left").select("n", F.coalesce("g", "p").alias("p")))
+        out = f
+    named = nodes.select(F.col(node).alias("n")).where("n is not null").distinct()
+    if out is None:
+        return hold(named.select(F.col("n").alias(node), F.col("n").alias(label)))
+    # Ends of edges need not be among the nodes.
+    return hold(named.join(out, "n", "full").select(F.col("n").alias(node), F.coalesce("p", "n").alias(label)))
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst",
