@@ -315,3 +315,10 @@ def test_components_of_stars_paths_and_lone_nodes(spark):
                                                         hold=lambda d: rounds.append(1) or cut(d)).collect()}
     assert got == {x: find(x) for x in {*nodes, *(y for a, b in e if a != b for y in (a, b))}}
     assert len(rounds) < 40
+
+
+def test_large_ids_keep_their_counts(spark):
+    rows = [(2**60 + i, float(i * 7 % 40), float(i * 11 % 40)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {r.id: r.n_exceeding for r in dominance.count_exceeding(df, df, "id", ["x", "y"]).collect()}
+    assert got == {i: sum(a > x and b > y for _, a, b in rows) for i, x, y in rows}

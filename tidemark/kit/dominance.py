@@ -104,7 +104,9 @@ def _strip(value: Column, bounds: list[float] | None) -> Column:
 
 def _in_strips(p: DataFrame, by: list[str], strip: str, a: Column, b: Column, strict_a: bool, strict_b: bool) -> DataFrame:
     """(_e, by, _c) for events with refs in their strip that exceed in a and b; a strip has about STRIP_ROWS rows."""
-    kept = p.select(*by, strip, "_e", "_w", F.col("_e").isNotNull().alias("_is"), a.alias("_a"), b.alias("_b"))
+    # Without nulls, which turn whole numbers into doubles in pandas: ids beyond 2^53 would no longer be told apart.
+    known = F.coalesce("_e", F.lit(0).cast("long")) if p.schema["_e"].dataType.simpleString() == "bigint" else F.col("_e")
+    kept = p.select(*by, strip, known.alias("_e"), "_w", F.col("_e").isNotNull().alias("_is"), a.alias("_a"), b.alias("_b"))
     keys = [*by, strip]
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
 
