@@ -190,7 +190,8 @@ def compound_pairing(t):
     rain = part_members(t).select("member_id", "member_time", (F.col("member_time") + F.expr("interval 30 hours")).alias("rainfall_peak_time"),
                                   F.col("value").alias("rainfall_metric"), F.lit(72.0).alias("duration_hours"))
     c = orders_time(t).withColumnRenamed("time", "event_time").withColumn("lag", (F.col("o_custkey") % 120 - 60).cast("double"))
-    return V.compound_pairing(c, rain, 5, 50, 72.0, 45, {"empirical_analog_lag": 0.6, "rainfall_before_coastal": 0.2, "rainfall_after_coastal": 0.2}, lag="lag")
+    return V.compound_pairing(c, rain, 5, 50, 72.0, 45, {"empirical_analog_lag": 0.6, "rainfall_before_coastal": 0.2, "rainfall_after_coastal": 0.2}, lag="lag",
+                              reuse_penalty=0.15, soil=part_members(t).withColumnRenamed("p_size", "soil_moisture_mean"))
 
 
 DRIVERS_SQL = """dr AS (SELECT l_orderkey AS event_id, CASE WHEN l_linenumber = 1 THEN 'rainfall' WHEN l_linenumber = 2 THEN 'streamflow' ELSE 'soil' END AS driver,
