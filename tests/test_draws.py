@@ -1,13 +1,16 @@
 """Draws from the nearest observations against all pairs."""
 
+import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.kit import draws
+from tidemark.operators import events
 
 
 @pytest.mark.parametrize(("cell", "leaf"), [(100_000, 32), (40, 4)])
@@ -49,3 +52,32 @@ def test_nearest_of_meets_few():
     assert sum(met) < 4000 * 4000 / 2
     d = pairs(t[:100], m)
     assert (np.sort(d, axis=1)[:, :5] == d2[:100]).all()
+
+
+@pytest.mark.parametrize(("page", "k", "rounds"), [(2_000, 20, 2), (16, 20, 2), (16, 5, 0), (2_000, 500, 1)])
+def test_analogs_are_drawn_by_one_number(spark, monkeypatch, page, k, rounds):
+    monkeypatch.setattr(draws, "PAGE", page)
+    monkeypatch.setattr(draws, "PAGE_TARGETS", 30)
+    monkeypatch.setattr(draws, "TOGETHER", 7)
+    rng = random.Random(9)
+    mem = [(i, rng.uniform(1, 90)) for i in range(150)] + [(200, 0.0), (201, None)]
+    tar = [(i, rng.choice((rng.uniform(0.5, 120), rng.uniform(20, 21)))) for i in range(120)] + [(500, None), (501, -1.0), (502, 1e9), (503, 1e-9)]
+    got = {r.event_id: r for r in events.realize_driver(spark.createDataFrame(tar, "event_id long, x double"), spark.createDataFrame(mem, "member_id long, value double"), "rain", "x", "value", 7,
+                                                        k=k, reuse_penalty=0.3, rounds=rounds).collect()}
+    u = {i: (int(hashlib.md5(f"7|rain|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for i, _ in tar}
+    live = sorted((math.log(v), i, v) for i, v in mem if v)
+    use = {}
+    for _ in range(rounds + 1):
+        want = {}
+        for i, x in tar:
+            if not x or x <= 0:
+                want[i] = live[-1]
+                continue
+            near = sorted(sorted(live, key=lambda m: abs(m[0] - math.log(x)))[:k])
+            sigma = max(0.5 * np.std([m[0] for m in near]), 1e-6)
+            w = np.array([math.exp(-0.5 * ((m[0] - math.log(x)) / sigma) ** 2) * math.exp(-0.3 * use.get(m[1], 0)) for m in near])
+            total = np.cumsum(w if w.sum() > 0 else np.ones(len(w)))
+            want[i] = near[int(np.searchsorted(total, u[i] * total[-1], side="right"))]
+        use = Counter(m[1] for m in want.values())
+    assert {i: (r.member_id, r.template_value) for i, r in got.items()} == {i: m[1:] for i, m in want.items()}
+    assert all(got[i].scale_factor == (pytest.approx(x / want[i][2]) if x and x > 0 else 1.0) for i, x in tar)

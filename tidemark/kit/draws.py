@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .intervals import by_rank
 
 #: Observations of a cell, of a leaf; targets of a group; observations of a stratum that choose the cuts.
 CELL, LEAF, GROUP, SAMPLE = 100_000, 32, 64, 20_000
 #: Least number of targets that one copy of a cell serves, on average, and the share of a cell's observations.
 SHARE_TARGETS, SHARE_OF_CELL = 8_000, 2
+#: Members of a page along one value, targets that one copy of it serves on average, and targets looked at together.
+PAGE, PAGE_TARGETS, TOGETHER = 2_000, 10_000, 4_000
 #: Neighbours looked at beyond the k, so that equal distances are seen.
 SPARE = 8
 WIDE = 1 + 1e-9
@@ -276,7 +279,7 @@ def draw_nearest(targets: DataFrame, members: DataFrame, tid: str, mid: str, k:
              "_reach double, _cells array<int>, _d2 array<double>, _ids array<long>, _ns array<int>"
     empty_first = _no_rows(targets.sparkSession, fields)
     dealt, told = spread(_with_cell(targets, trees, "t_r", "t_c"))
-    first = dealt.groupBy(*place).cogroup(told.groupBy(*place)).applyInArrow(own, fields)
+    first = _met(dealt, told, place, own, fields)
     drawn = ["_s", tid, "_sid", "_copy", "distance", "candidates"]
     if not trees:
         out = first.select(*drawn)
@@ -305,7 +308,7 @@ def _from_cells(asked: DataFrame, spread, metrics: dict[str, Metric], tid: str,
         return out
 
     dealt, told = spread(asked.select(tid, "_s", "t_r", "t_c", "t_d", "_reach", F.explode("_cells").alias("_cell")))
-    found = dealt.groupBy(*place).cogroup(told.groupBy(*place)).applyInArrow(look, lists)
+    found = _met(dealt, told, place, look, lists)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # a few times k entries
     both = found.withColumn("_u", F.lit(None).cast("double")).unionByName(asked.select(tid, "_s", "_d2", "_ids", "_ns", "_u"))
     both = both.withColumn("_l", F.arrays_zip("_d2", "_ids", "_ns")).groupBy(tid, "_s").agg(flat("_l"), F.max("_u").alias("_u"))
@@ -324,5 +327,82 @@ def _from_cells(asked: DataFrame, spread, metrics: dict[str, Metric], tid: str,
     return both.select("_s", tid, "_u", "_d2", "_ids", "_ns").mapInArrow(finish, f"_s string, `{tid}` {kind}, _sid long, _copy long, distance double, candidates long")
 
 
+def _met(left: DataFrame, right: DataFrame, place: tuple[str, ...], look, fields: str) -> DataFrame:
+    # Few bytes, but a long look at each: a fixed number of partitions is not put together.
+    spread = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(spread, *place).groupBy(*place).cogroup(right.repartition(spread, *place).groupBy(*place)).applyInArrow(look, fields)
+
+
 def _no_rows(spark, fields: str) -> pa.Table:
     return spark.createDataFrame([], fields).toArrow()
+
+
+def paged(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid: str, mv: str, beside: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Targets with the page of members that their value falls on and a share of its targets; members with their rank `_rk` by value."""
+    ranked = by_rank(members, mid, mv, beside)
+    starts = np.array([r[1] for r in sorted(ranked.where((F.col("_rk") - 1) % PAGE == 0).select("_rk", mv).collect())])  # a number a page
+
+    @F.pandas_udf("int")
+    def page(x: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(starts, x.to_numpy(), side="right") - 1, 0).astype(np.int32))
+
+    placed = cut(targets.withColumn("_page", page(F.col(tv).cast("double"))))
+    shares = placed.groupBy("_page").agg(F.ceil(F.count(F.lit(1)) / PAGE_TARGETS).cast("int").alias("_shares"))
+    return placed.join(F.broadcast(shares), "_page").withColumn("_share", F.pmod(F.xxhash64(tid), F.col("_shares")).cast("int")), ranked
+
+
+def pick_near(v: np.ndarray, less: np.ndarray, t: np.ndarray, u: np.ndarray, k: int, sigma_scale: float, sigma_min: float) -> np.ndarray:
+    """For each of t the row of one of the k values of v (ascending) nearest to it, by weight exp(-(gap / sigma)^2 / 2) * less, where sigma
+    is `sigma_scale` deviations of the k, and at least `sigma_min`. Of two at one distance the smaller value is nearer. All weigh the same
+    where no weight is above zero."""
+    k = min(k, len(v))
+    windows, thin = np.lib.stride_tricks.sliding_window_view(v, k), np.lib.stride_tricks.sliding_window_view(less, k)
+    sigma = np.maximum(windows.std(axis=1) * sigma_scale, sigma_min)
+    out = np.empty(len(t), np.int64)
+    for i in range(0, len(t), TOGETHER):
+        x, at = t[i : i + TOGETHER], np.searchsorted(v, t[i : i + TOGETHER], side="right")
+        # The first window whose next value to the right is not nearer than its first one.
+        lo, hi = np.clip(at - k, 0, len(v) - k), np.minimum(at, len(v) - k)
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            on = (lo < hi) & (v[np.minimum(mid + k, len(v) - 1)] - x < x - v[mid])
+            lo, hi = np.where(on, mid + 1, lo), np.where(on, hi, np.minimum(hi, mid))
+        w = windows[lo] - x[:, None]
+        w /= sigma[lo, None]
+        w *= w
+        w *= -0.5
+        np.exp(w, out=w)
+        w *= thin[lo]
+        w[~(w.sum(axis=1) > 0)] = 1.0
+        total = np.cumsum(w, axis=1)
+        out[i : i + TOGETHER] = lo + np.minimum((total <= (u[i : i + TOGETHER] * total[:, -1])[:, None]).sum(axis=1), k - 1)
+    return out
+
+
+def draw_paged(placed: DataFrame, ranked: DataFrame, tid: str, tv: str, mid: str, mv: str, k: int, keep: tuple[str, ...] | None, beside: tuple[str, ...] = (),
+               sigma_scale: float = 0.5, sigma_min: float = 1e-6) -> DataFrame:
+    """A member per target of `paged`, drawn by pick_near with the numbers `_u` of targets and weights `_less` of members: tid, the target columns `keep`,
+    mid and the member columns `beside`. Without `keep` only (mid, `_n`), how often members were drawn, in parts."""
+    t_kind, m_kind = {f.name: f.dataType.simpleString() for f in placed.schema}, {f.name: f.dataType.simpleString() for f in ranked.schema}
+    fields = ", ".join([f"`{c}` {t_kind[c]}" for c in (tid, *keep)] + [f"`{c}` {m_kind[c]}" for c in (mid, *beside)]) if keep is not None else f"`{mid}` {m_kind[mid]}, _n long"
+    empty = _no_rows(placed.sparkSession, fields)
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        order = np.argsort(right.column("_rk").to_numpy())
+        v, less = right.column(mv).to_numpy()[order], right.column("_less").to_numpy()[order]
+        got = order[pick_near(v, less, left.column(tv).to_numpy(), left.column("_u").to_numpy(), k, sigma_scale, sigma_min)]
+        if keep is None:
+            rows, n = np.unique(got, return_counts=True)
+            return right.select([mid]).take(pa.array(rows)).append_column("_n", pa.array(n, pa.int64()))
+        out, mine = left.select([tid, *keep]), right.take(pa.array(got))
+        for c in (mid, *beside):
+            out = out.append_column(c, mine.column(c))
+        return out
+
+    place = ("_page", "_share")
+    first = F.greatest(F.floor((F.col("_rk") - 1 - k) / PAGE), F.lit(0)).cast("int")
+    told = ranked.withColumn("_page", F.explode(F.sequence(first, F.floor((F.col("_rk") - 1 + k) / PAGE).cast("int"))))
+    told = told.join(F.broadcast(placed.select("_page", "_shares").distinct()), "_page").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    return _met(placed.select(*place, tid, *[c for c in (keep or ()) if c != tv], tv, "_u"), told.select(*place, "_rk", mv, "_less", mid, *[c for c in beside if c != mv]), place, look, fields)

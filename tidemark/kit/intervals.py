@@ -183,7 +183,7 @@ def near_lists_1d(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid
     its place falls on and looks at the 2k ranks around it there, so only targets and pages are shuffled. Pages that many
     targets ask for are told to several tasks. Ties in distance go to the smaller id among those candidates.
     """
-    ranked, page = _ranked(members, mid, mv, beside), 2 * k
+    ranked, page = by_rank(members, mid, mv, beside), 2 * k
     marks = ranked.select(F.col(mv).alias("_t"), F.lit(0).alias("_tag"), F.col("_rk"))
     probe = targets.withColumn("_t", F.col(tv).cast("double")).withColumn("_tag", F.lit(1))
     placed = cut(running(probe.unionByName(marks, allowMissingColumns=True), None, "_t",
@@ -207,7 +207,8 @@ def near_lists_1d(targets: DataFrame, members: DataFrame, tid: str, tv: str, mid
     return met.select(*targets.columns, F.slice(F.sort_array(near), 1, k).alias("_near"))
 
 
-def _ranked(members: DataFrame, mid: str, mv: str, beside: tuple[str, ...] = ()) -> DataFrame:
+def by_rank(members: DataFrame, mid: str, mv: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Members with their rank `_rk` by value; equal values go by a hash of their id."""
     m = members.select(F.col(mid), F.col(mv).cast("double").alias(mv), *beside)
     return cut(row_numbers(m.withColumn("_tie", F.xxhash64(mid).cast("double")), None, mv, "_tie", "_rk").drop("_tie"))
 
