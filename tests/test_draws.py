@@ -13,9 +13,11 @@ from tidemark.kit import draws
 from tidemark.operators import events
 
 
-@pytest.mark.parametrize(("cell", "leaf"), [(100_000, 32), (40, 4)])
-def test_draws_from_the_nearest(spark, monkeypatch, cell, leaf):
+@pytest.mark.parametrize(("cell", "leaf", "share"), [(100_000, 32, 8_000), (40, 4, 3)])
+def test_draws_from_the_nearest(spark, monkeypatch, cell, leaf, share):
     monkeypatch.setattr(draws, "CELL", cell)
+    monkeypatch.setattr(draws, "SHARE_TARGETS", share)
+    monkeypatch.setattr(draws, "SHARE_OF_CELL", 1e9)
     monkeypatch.setattr(draws, "LEAF", leaf)
     monkeypatch.setattr(draws, "GROUP", 8)
     rng = random.Random(4)
@@ -24,6 +26,7 @@ def test_draws_from_the_nearest(spark, monkeypatch, cell, leaf):
     mem = [(i, rng.choice("ab"), *spot()) for i in range(400)]
     mem += [(1000 + i, "a", 1.0, 4.0, 50.0) for i in range(30)] + [(2000 + i, "a", 1.0, 5.0 - 2 * (i % 2), 300.0) for i in range(20)]
     tar = [(i, rng.choice("ab"), *spot(), rng.random()) for i in range(200)] + [(900, "a", 1.0, 4.0, 300.0, 0.4), (901, "b", 60.0, -90.0, 3.0, 0.99), (902, "a", 1.0, 4.0, 50.0, 0.01)]
+    tar += [(1000 + i, "a", 0.5, 4.5, 40.0, (i + 0.5) / 60) for i in range(60)]
     m = spark.createDataFrame(mem, "mid long, _s string, m_r double, m_c double, m_d double").withColumn("_w_r", F.lit(1.5)).withColumn("_w_c", F.lit(3.0)).withColumn("extra", F.col("mid") * 2)
     t = spark.createDataFrame(tar, "tid long, _s string, t_r double, t_c double, t_d double, _u double")
     k = 7

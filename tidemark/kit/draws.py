@@ -21,6 +21,8 @@ from .intervals import by_rank
 CELL, LEAF, GROUP, SAMPLE = 100_000, 32, 64, 20_000
 #: Least number of targets that one copy of a cell serves, on average, and the share of a cell's observations.
 SHARE_TARGETS, SHARE_OF_CELL = 8_000, 2
+#: Times that number at which a share is cut by id, which only many equal targets reach.
+CROWD = 4
 #: Members of a page along one value, targets that one copy of it serves on average, and targets looked at together.
 PAGE, PAGE_TARGETS, TOGETHER = 2_000, 10_000, 4_000
 #: Neighbours looked at beyond the k, so that equal distances are seen.
@@ -214,14 +216,18 @@ def draw_nearest(targets: DataFrame, members: DataFrame, tid: str, mid: str, k:
             boxes.setdefault(b["_s"], []).append((b["_cell"], b["lom_r"], b["him_r"], b["lom_c"], b["him_c"]))
     held = spots.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_held"))
     kind = targets.schema[tid].dataType.simpleString()
-    place = ("_s", "_cell", "_share")
+    place = ("_s", "_cell", "_share", "_part")
 
     def spread(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Targets dealt to shares of their cell, equal ones together, and each cell's spots once a share."""
+        """Targets dealt to shares of their cell, equal ones together unless they are many, and each cell's spots once a share."""
+        per = F.greatest(F.lit(SHARE_TARGETS), F.col("_held") / SHARE_OF_CELL)
         sizes = cut(asked.groupBy("_s", "_cell").agg(F.count(F.lit(1)).alias("_n")).join(held, ["_s", "_cell"]).select(
-            "_s", "_cell", F.ceil(F.col("_n") / F.greatest(F.lit(SHARE_TARGETS), F.col("_held") / SHARE_OF_CELL)).cast("int").alias("_shares")))
+            "_s", "_cell", per.alias("_per"), F.ceil(F.col("_n") / per).cast("int").alias("_shares")))
         dealt = asked.join(F.broadcast(sizes), ["_s", "_cell"]).withColumn("_share", F.pmod(F.xxhash64("t_r", "t_c", "t_d"), F.col("_shares")).cast("int")).drop("_shares")
-        told = spots.join(F.broadcast(sizes), ["_s", "_cell"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select(
+        parts = cut(dealt.groupBy("_s", "_cell", "_share").agg(F.ceil(F.count(F.lit(1)) / F.first("_per") / CROWD).cast("int").alias("_parts")))
+        parts = parts.select(*[F.col(c).alias(c) for c in parts.columns])  # columns of its own, for it is joined to what it comes from
+        dealt = dealt.drop("_per").join(F.broadcast(parts), ["_s", "_cell", "_share"]).withColumn("_part", F.pmod(F.xxhash64(tid), F.col("_parts")).cast("int")).drop("_parts")
+        told = spots.join(F.broadcast(parts), ["_s", "_cell"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
             *place, "m_r", "m_c", "m_d", "_sid", "_count")
         return dealt, told
 
